@@ -117,7 +117,7 @@ def descend(X, y, zeta, beta, p: MarginParams, m: float, sweeps: int):
     return zeta, beta
 
 
-def _solve_in_tasks(duals, k, p, m, sweeps, scale):
+def _solve_in_tasks(duals, tasks, p, m, sweeps, scale):
     def solve(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         n = table.num_rows
@@ -134,8 +134,9 @@ def _solve_in_tasks(duals, k, p, m, sweeps, scale):
         names = ["id", "x", "y", "zeta", "beta", "slot", "part"]
         return pa.table([fresh.get(c, table[c]) for c in names], names=names)
 
-    placed = placement.place(duals, k) if k > 1 else duals
-    return placed.groupBy("part").applyInArrow(solve, schema.DUALS)
+    return placement.place(duals, tasks).groupBy("part").applyInArrow(
+        solve, schema.DUALS
+    )
 
 
 # --- one part over many tasks ------------------------------------------------
@@ -322,8 +323,11 @@ def solve_parts(
     if scale not in ("global", "local"):
         raise ValueError(f"unknown scale {scale!r}")
     sizes = sizes or part_sizes(duals, max_part_rows)
+    # One task per part, or several small parts to a task when there are many.
+    cores = duals.sparkSession.sparkContext.defaultParallelism
+    tasks = min(k, max(4 * cores, -(-2 * sizes.n_rows // max(max_part_rows, 1))))
     if not sizes.n_split_parts:
-        return _solve_in_tasks(duals, k, p, m, sweeps, scale)
+        return _solve_in_tasks(duals, tasks, p, m, sweeps, scale)
     if sizes.n_split_parts == sizes.n_parts:
         return _solve_over_tasks(duals, p, m, scale, workspace)
     # At most n_rows / max_part_rows rows; the stored size picks the join.
@@ -334,7 +338,7 @@ def solve_parts(
     small = duals.join(large, "part", "left_anti")
     big = duals.join(large, "part", "left_semi").select(*duals.columns)
     return _solve_in_tasks(
-        small.select(*duals.columns), k, p, m, sweeps, scale
+        small.select(*duals.columns), tasks, p, m, sweeps, scale
     ).unionByName(_solve_over_tasks(big, p, m, scale, workspace))
 
 

@@ -47,14 +47,27 @@ def _model(spark, w: np.ndarray) -> DataFrame:
 
 def inner_mean(X, y, start, anchor, full, p: MarginParams, pull: float = 0.0):
     """Mean of the iterates of one pass of corrected steps over the rows, in
-    order.  ``pull`` ties the iterate to where it started."""
+    order.  ``pull`` ties the iterate to where it started.
+
+    A step is ``x -= eta * (grad(x) - grad(anchor) + full + pull * (x - start))``
+    with the sample gradients; their norm terms leave ``x - anchor``.
+    """
+    S = X * y[:, None]
+    at_anchor = B.slope(S @ anchor, p).tolist()
+    c_low, c_high = 2.0 * p.loss_weight(1.0), 2.0 * p.loss_weight(1.0) * p.mu
+    shrink = 1.0 - p.eta * (1.0 + pull)
+    drift = p.eta * (anchor + pull * np.asarray(start) - full)
     x = np.array(start, dtype=float)
     total = np.zeros_like(x)
-    for row, label in zip(X, y):
-        s_x, s_anchor = label * (row @ x), label * (row @ anchor)
-        a = (B.slope(s_x, p) - B.slope(s_anchor, p)) * label
-        step = (x - anchor) + a * row + full + pull * (x - start)
-        x = x - p.eta * step
+    for row, known in zip(S, at_anchor):
+        s = float(row @ x)
+        if s < p.low:
+            slope = c_low * (s - p.low)
+        elif s > p.high:
+            slope = c_high * (s - p.high)
+        else:
+            slope = 0.0
+        x = shrink * x + drift - (p.eta * (slope - known)) * row
         total += x
     return total / len(X)
 

@@ -25,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
             "set spark.checkpoint.dir to a folder that every executor can reach"
         )
     root = tempfile.mkdtemp(prefix="marginspark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    context.setCheckpointDir(root)
+    return context.getCheckpointDir()
 
 
 class Workspace:

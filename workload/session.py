@@ -12,6 +12,8 @@ def local_session(cpus: str | int = "*", name: str = "marginspark") -> SparkSess
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    # Each Python worker has one core: keep numpy from starting more threads.
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
