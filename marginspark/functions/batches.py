@@ -51,12 +51,15 @@ def nearest(X: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Index of and squared distance to the nearest center; exact ties go to
     the lowest index.  The products find the candidates, and rows with more
     than one candidate within rounding are settled by the difference form."""
-    x2 = np.einsum("ij,ij->i", X, X)
     c2 = np.einsum("ij,ij->i", centers, centers)
-    d2 = x2[:, None] + c2[None, :] - 2.0 * (X @ centers.T)
-    best = d2.argmin(axis=1)
-    slack = 1e-9 * (1.0 + x2 + c2.max())
-    close = d2 <= d2[np.arange(len(X)), best][:, None] + slack[:, None]
+    # the row's own square is the same for all centers
+    rank = X @ centers.T
+    rank *= -2.0
+    rank += c2
+    best = rank.argmin(axis=1)
+    slack = 1e-9 * (1.0 + np.einsum("ij,ij->i", X, X) + c2.max())
+    limit = rank[np.arange(len(X)), best] + slack
+    close = rank <= limit[:, None]
     ties = np.flatnonzero(close.sum(axis=1) > 1)
     if len(ties):
         rows = X[ties]

@@ -9,8 +9,8 @@ gradients are
 so no Gram matrix is ever formed.  A part whose rows fit a task is solved by
 cyclic projected coordinate descent inside a grouped map.  A larger part is
 never gathered: its optimum is the optimum of the equivalent problem in ``u``,
-``n`` unknowns, which Newton steps over partial sums find, and from which each
-row's ``zeta`` and ``beta`` follow as column expressions.
+``n`` unknowns, which damped steps over partial sums find (see ``damped``), and
+from which each row's ``zeta`` and ``beta`` follow as column expressions.
 """
 
 from __future__ import annotations
@@ -21,23 +21,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginspark.functions import batches as B
 from marginspark.functions import margin as M
 from marginspark.functions import vectors as V
-from marginspark.operators import placement
+from marginspark.operators import damped, placement
 from marginspark.params import MarginParams
 from marginspark.sources import schema
 from marginspark.workspace import Workspace
 
-# Parts above this many rows are solved by distributed Newton steps.
+# Parts above this many rows are solved over many tasks.
 MAX_PART_ROWS = 200_000
 
 # Rows visited together.
 _CHUNK = 64
-_NEWTON_PASSES = 60
 
 
 def zero_duals(points: DataFrame) -> DataFrame:
@@ -117,15 +116,23 @@ def descend(X, y, zeta, beta, p: MarginParams, m: float, sweeps: int):
     return zeta, beta
 
 
+def settle(X, y, zeta, beta, p: MarginParams, m: float):
+    """The optimum that the sweeps converge to."""
+    S, c = X * y[:, None], p.ridge(m)
+    s = S @ damped.optimum(S, (zeta - beta) @ S, c, p)
+    return np.maximum(p.low - s, 0.0) / c, np.maximum(s - p.high, 0.0) * p.mu / c
+
+
 def _solve_in_tasks(duals, tasks, p, m, sweeps, scale):
     def solve(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         n = table.num_rows
-        zeta, beta = descend(
+        state = (
             B.matrix(table["x"]), B.numbers(table["y"]).astype(float),
             B.numbers(table["zeta"]), B.numbers(table["beta"]),
-            p, n if scale == "local" else m, sweeps,
+            p, n if scale == "local" else m,
         )
+        zeta, beta = settle(*state) if sweeps is None else descend(*state, sweeps)
         fresh = {
             "zeta": pa.array(zeta),
             "beta": pa.array(beta),
@@ -141,38 +148,27 @@ def _solve_in_tasks(duals, tasks, p, m, sweeps, scale):
 
 # --- one part over many tasks ------------------------------------------------
 
+_VECTORS = "array<array<double>>"
 _STATE = (
     "part int, c double, w array<double>, base array<double>, f double, "
-    "slope double, direction array<double>, step double, done boolean"
+    "g array<double>, direction array<double>, step double, done boolean, "
+    f"moves {_VECTORS}, changes {_VECTORS}"
 )
 
 
-def _partials(p: MarginParams):
-    """Per task and part: loss, gradient and Hessian sums at the part's ``w``,
-    flattened into one vector."""
+def _partials(p: MarginParams, second: bool):
+    """Per task and part, the sums at the part's ``w`` that a step needs."""
 
     def run(batches):
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            X, y = B.matrix(batch["x"]), B.numbers(batch["y"])
+            S = B.matrix(batch["x"]) * B.numbers(batch["y"])[:, None]
             s, c, part = (B.numbers(batch[k]) for k in ("s", "c", "part"))
-            S = X * y[:, None]
-            low, high = np.maximum(p.low - s, 0.0), np.maximum(s - p.high, 0.0)
-            f = (low**2 + p.mu * high**2) / (2.0 * c)
-            slope = (p.mu * high - low) / c
-            curve = ((low > 0) + p.mu * (high > 0)) / c
             for value in np.unique(part):
                 at = part == value
-                Sp = S[at]
-                v = np.concatenate(
-                    [
-                        [f[at].sum()],
-                        slope[at] @ Sp,
-                        ((Sp * curve[at][:, None]).T @ Sp).ravel(),
-                    ]
-                )
+                v = damped.sums(S[at], s[at], c[at], p, second)
                 key = int(value)
                 totals[key] = totals[key] + v if key in totals else v
         for key, v in totals.items():
@@ -183,41 +179,30 @@ def _partials(p: MarginParams):
     return run
 
 
-def _newton_step(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One damped Newton step per part; the loss is piecewise quadratic."""
+def _advance_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One step per part, from its stored trial and its new sums ``v``."""
+
+    def array(value):
+        return None if value is None else np.asarray(value, dtype=float)
+
     out = []
     for r in pdf.itertuples(index=False):
-        w = np.asarray(r.w, dtype=float)
-        n = len(w)
-        v = np.asarray(r.v, dtype=float)
-        f = v[0] + 0.5 * w @ w
-        slack = 1e-13 * abs(f)
-        if r.base is None or f <= r.f + 1e-4 * r.step * r.slope + slack:
-            g = v[1 : n + 1] + w
-            H = v[n + 1 :].reshape(n, n) + np.eye(n)
-            direction = -np.linalg.solve(H, g)
-            base, step, slope = w, 1.0, float(g @ direction)
-            done = np.abs(direction).max() <= 1e-9 * (1.0 + np.abs(w).max())
-        else:
-            base, f = np.asarray(r.base, dtype=float), r.f
-            direction, slope = np.asarray(r.direction, dtype=float), r.slope
-            step, done = 0.5 * r.step, False
+        trial = damped.Trial(
+            array(r.w), array(r.base), r.f, array(r.g), array(r.direction), r.step,
+            False, [array(v) for v in r.moves], [array(v) for v in r.changes],
+        )
+        t = damped.advance(trial, array(r.v))
         out.append(
-            (r.part, r.c, (base + step * direction).tolist(), base.tolist(), f,
-             slope, direction.tolist(), step, bool(done))
+            (r.part, r.c, t.w.tolist(), t.base.tolist(), t.f, t.g.tolist(),
+             t.direction.tolist(), t.step, t.done,
+             [v.tolist() for v in t.moves], [v.tolist() for v in t.changes])
         )
     columns = [c.split()[0] for c in _STATE.split(", ")]
     return pd.DataFrame(out, columns=columns)
 
 
-def _solve_over_tasks(duals, p, m, scale, ws):
-    """Solve every part of ``duals`` without gathering any."""
-    # Rows sorted by part: a task sees few parts, and each row gets its slot.
-    rows = ws.save(
-        placement.local_index(duals, "part", workspace=ws, max_window_rows=0),
-        "split-parts",
-    )
-    n = rows.select(F.size("x")).first()[0]
+def _warm_weights(rows: DataFrame, n: int) -> DataFrame:
+    """``(part, n_rows, w)`` with the weights of each part's dual state."""
     coef = M.signed_coef("y", "zeta", "beta")
     start = (
         rows.select("part", coef.alias("a"), F.posexplode("x").alias("j", "v"))
@@ -227,32 +212,46 @@ def _solve_over_tasks(duals, p, m, scale, ws):
         .groupBy("part")
         .agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("w"))
     )
-    ridge = F.lit(p.ridge(m)) if scale == "global" else (
-        F.col("n") * F.lit(p.ridge(1.0))
+    dense = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda j: F.coalesce(F.col("w")[j], F.lit(0.0)),
     )
-    w0 = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.coalesce(F.col("w")[j], F.lit(0.0))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n_rows"))
+    return sizes.join(start, "part", "left").select("part", "n_rows", dense.alias("w"))
+
+
+def _solve_over_tasks(duals, p, m, scale, ws):
+    """Solve every part of ``duals`` without gathering any."""
+    # Rows sorted by part: a task sees few parts, and each row gets its slot.
+    rows = ws.save(
+        placement.local_index(duals, "part", workspace=ws, max_window_rows=0),
+        "split-parts",
     )
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    none = F.lit(None)
+    n = rows.select(F.size("x")).first()[0]
+    second = n <= damped.HESSIAN_LIMIT
+    ridge = F.lit(p.ridge(m))
+    if scale == "local":
+        ridge = F.col("n_rows") * F.lit(p.ridge(1.0))
+    vector, none = "array<double>", F.lit(None)
     state = ws.save(
-        sizes.join(start, "part", "left").select(
-            "part", ridge.alias("c"), w0.alias("w"),
-            none.cast("array<double>").alias("base"), F.lit(0.0).alias("f"),
-            F.lit(0.0).alias("slope"), none.cast("array<double>").alias("direction"),
-            F.lit(1.0).alias("step"), F.lit(False).alias("done"),
+        _warm_weights(rows, n).select(
+            "part", ridge.alias("c"), "w", none.cast(vector).alias("base"),
+            F.lit(0.0).alias("f"), none.cast(vector).alias("g"),
+            none.cast(vector).alias("direction"), F.lit(1.0).alias("step"),
+            F.lit(False).alias("done"), F.array().cast(_VECTORS).alias("moves"),
+            F.array().cast(_VECTORS).alias("changes"),
         ),
-        "newton",
+        "trials",
     )
     margin = (F.col("y") * V.dot("x", "w")).alias("s")
-    for _ in range(_NEWTON_PASSES):
+    for _ in range(damped.MAX_PASSES):
         # The state is one row per large part; its stored size tells Catalyst
         # whether to broadcast it.
         open_ = state.where(~F.col("done"))
-        sums = (
+        totals = (
             rows.join(open_.select("part", "c", "w"), "part")
             .select("part", "x", "y", "c", margin)
-            .mapInArrow(_partials(p), "part int, v array<double>")
+            .mapInArrow(_partials(p, second), "part int, v array<double>")
             .select("part", F.posexplode("v").alias("i", "v"))
             .groupBy("part", "i")
             .agg(F.sum("v").alias("v"))
@@ -260,24 +259,26 @@ def _solve_over_tasks(duals, p, m, scale, ws):
             .agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("v"))
             .select("part", F.transform("v", lambda e: e["v"]).alias("v"))
         )
-        stepped = open_.join(sums, "part").mapInPandas(
-            lambda it: (_newton_step(pdf) for pdf in it if len(pdf)), _STATE
+        stepped = open_.join(totals, "part").mapInPandas(
+            lambda it: (_advance_parts(pdf) for pdf in it if len(pdf)), _STATE
         )
-        fresh = ws.save(state.where("done").unionByName(stepped), "newton")
+        fresh = ws.save(state.where("done").unionByName(stepped), "trials")
         ws.drop(state)
         state = fresh
         if state.where(~F.col("done")).isEmpty():
             break
     else:
-        raise RuntimeError("Newton steps did not settle; check the data for NaN")
+        raise RuntimeError("the steps did not settle; check the data for NaN")
     s, c = F.col("s"), F.col("c")
     zeta = F.greatest(F.lit(p.low) - s, F.lit(0.0)) / c
     beta = F.greatest(s - F.lit(p.high), F.lit(0.0)) * F.lit(p.mu) / c
-    return rows.join(state.select("part", "c", "w"), "part").select(
-        "id", "x", "y", "slot", "part", "c", margin
-    ).select(
-        "id", "x", "y", zeta.alias("zeta"), beta.alias("beta"),
-        F.col("slot").cast("int").alias("slot"), "part",
+    return (
+        rows.join(state.select("part", "c", "w"), "part")
+        .select("id", "x", "y", "slot", "part", "c", margin)
+        .select(
+            "id", "x", "y", zeta.alias("zeta"), beta.alias("beta"),
+            F.col("slot").cast("int").alias("slot"), "part",
+        )
     )
 
 
@@ -290,23 +291,34 @@ class Sizes:
     n_rows: int
     max_part_rows: int
     n_split_parts: int
-
-
-def part_sizes(duals: DataFrame, max_part_rows: int) -> Sizes:
-    counts = duals.groupBy("part").agg(F.count("*").alias("n"))
-    r = counts.agg(
-        F.count("*"), F.coalesce(F.sum("n"), F.lit(0)),
+    n_support: int
+
+
+def part_sizes(
+    duals: DataFrame, max_part_rows: int, carried: Column | None = None
+) -> Sizes:
+    """Sizes of the parts, of ``carried`` rows only if given, and the number of
+    support vectors among all rows.  One pass over the narrow columns."""
+    carried = F.lit(True) if carried is None else carried
+    counts = duals.groupBy("part").agg(
+        F.count_if(carried).alias("n"),
+        F.count_if(M.is_support("zeta", "beta")).alias("support"),
+    )
+    total = counts.agg(
+        F.count_if(F.col("n") > 0),
+        F.coalesce(F.sum("n"), F.lit(0)),
         F.coalesce(F.max("n"), F.lit(0)),
         F.count_if(F.col("n") > max_part_rows),
-    ).first()
-    return Sizes(*r)
+        F.coalesce(F.sum("support"), F.lit(0)),
+    )
+    return Sizes(*total.first())
 
 
 def solve_parts(
     duals: DataFrame,
     p: MarginParams,
     m: float,
-    sweeps: int,
+    sweeps: int | None,
     k: int,
     workspace: Workspace,
     scale: str = "global",
@@ -318,7 +330,8 @@ def solve_parts(
 
     ``scale`` takes the loss weight from all ``m`` rows or from the part's own
     row count (``"local"``).  Parts above ``max_part_rows`` are solved to the
-    optimum over many tasks; the others take at most ``sweeps + 1`` sweeps.
+    optimum over many tasks; the others take at most ``sweeps + 1`` sweeps, or
+    as many as it takes to the same optimum when ``sweeps`` is None.
     """
     if scale not in ("global", "local"):
         raise ValueError(f"unknown scale {scale!r}")

@@ -71,7 +71,7 @@ def local_index(
     """Dense 0-based index within ``key``.  Groups that fit a task use a window;
     if any group is larger, all rows are numbered by a distributed sort."""
     df = df.drop(name)
-    if largest_group(df, key) <= max_window_rows:
+    if max_window_rows and largest_group(df, key) <= max_window_rows:
         rank = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
         return df.withColumn(name, rank.cast("bigint"))
     ws = workspace or Workspace(df.sparkSession)

@@ -12,11 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginspark.functions import margin as M
 from marginspark.operators import clustering, dual, placement, primal
 from marginspark.params import MarginParams
 from marginspark.sources import schema, sinks
 from marginspark.sources.text import check_dimensions
-from marginspark.workspace import Workspace, widen
+from marginspark.workspace import Workspace, spread
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,7 @@ def fit_hierarchy(
     policy: str | Policy,
     params: MarginParams = MarginParams(),
     levels: int = 6,
-    sweeps: int = 30,
+    sweeps: int | None = 30,
     seed: int = 0,
     fraction: float = 0.5,
     n_clusters: int = 200,
@@ -113,6 +114,7 @@ def fit_hierarchy(
     """Train by the named policy from ``base ** levels`` parts downwards.
 
     ``fraction`` is the sample that clustering and landmark selection see.
+    ``sweeps=None`` solves every part to its optimum instead of sweeping.
     With ``sink_dir`` history and coefficients are appended there per level.
     """
     name = policy if isinstance(policy, str) else "custom"
@@ -122,66 +124,68 @@ def fit_hierarchy(
     spark = points.sparkSession
     ws = workspace or Workspace(spark)
     began = time.monotonic()
-    points = widen(points.select("id", "x", "y")).persist()
+    points = spread(points.select("id", "x", "y"))
     m, n = check_dimensions(points)
 
+    plan = [(lv, policy.base**lv) for lv in range(levels, policy.last_level - 1, -1)]
+    if policy.final_gather:
+        plan.append((0, 1))
     state = dual.zero_duals(
         _first_parts(
             points, policy, levels, seed, fraction, n_clusters, n_landmarks, ws,
             landmark_kernel, gram, rotate,
         )
     )
-    plan = [(lv, policy.base**lv) for lv in range(levels, policy.last_level - 1, -1)]
-    if policy.final_gather:
-        plan.append((0, 1))
-    table, coefs, history = None, None, []
+    table, sizes, coefs, history = None, None, None, []
     for step, (level, k) in enumerate(plan):
-        last_gather = policy.final_gather and step == len(plan) - 1
-        if policy.start == "cluster" and not last_gather:
-            source = table if table is not None else points
-            centers = clustering.kmeans(
-                source, k, policy.kmeans_iterations, 1e-6, fraction, seed + level
-            )
-            state = clustering.assign(state, centers, "euclid").withColumn(
-                "part", F.col("cid")
-            ).drop("cid")
-        elif step:
-            if policy.support_only or last_gather:
-                state = dual.support_vectors(state)
-            state = (
-                placement.gather(state)
-                if last_gather
-                else placement.merge_deal(state, k, merge)
-            )
-        state = ws.save(state, f"level{level}-in") if _is_heavy(policy, step) else state
-        sizes = dual.part_sizes(state, max_part_rows)
+        if sizes is None:
+            if policy.start == "cluster":
+                centers = clustering.kmeans(
+                    points if table is None else table, k, policy.kmeans_iterations,
+                    1e-6, fraction, seed + level,
+                )
+                found = clustering.assign(state, centers, "euclid")
+                state = found.withColumn("part", F.col("cid")).drop("cid")
+            # counted and solved, and dearer than a scan to make: store it once
+            state = ws.save(state, f"level{level}-in")
+            sizes = dual.part_sizes(state, max_part_rows)
         solved = dual.solve_parts(
             state, params, m, sweeps, k, ws, scale, max_part_rows, sizes
         )
         fresh = ws.save(solved, f"level{level}")
-        n_support = dual.support_vectors(fresh).count()
-        elapsed = int((time.monotonic() - began) * 1000)
-        history.append(
-            (name, level, sizes.n_parts, sizes.n_rows, n_support,
-             sizes.max_part_rows, sizes.n_split_parts, elapsed)
-        )
         level_coef = ws.save(
             dual.coefficients(fresh).select(F.lit(level).alias("level"), "id", "coef"),
             "coef",
         )
+        elapsed = int((time.monotonic() - began) * 1000)
+        ws.drop(state if table is None or policy.start == "cluster" else None)
+        ws.drop(table)
+        solved_sizes, table, state = sizes, fresh, fresh
+
+        # Where the rows go next, and what is counted on the way.
+        last = step == len(plan) - 1
+        gathers = policy.final_gather and step == len(plan) - 2
+        carried = None
+        if not last and (policy.support_only or gathers):
+            carried = M.is_support("zeta", "beta")
+        if gathers:
+            state = placement.gather(state)
+        elif not last and policy.start != "cluster":
+            state = placement.merge_deal(state, plan[step + 1][1], merge)
+        counted = dual.part_sizes(state, max_part_rows, carried)
+        state = state if carried is None else state.where(carried)
+        reassigned = policy.start == "cluster" and not gathers
+        sizes = None if reassigned else counted
+
+        history.append(
+            (name, level, solved_sizes.n_parts, solved_sizes.n_rows, counted.n_support,
+             solved_sizes.max_part_rows, solved_sizes.n_split_parts, elapsed)
+        )
         coefs = level_coef if coefs is None else coefs.unionByName(level_coef)
         if sink_dir:
             sinks.append_coefs(level_coef, sink_dir)
             sinks.append_history(
                 spark.createDataFrame(history[-1:], schema.HISTORY), sink_dir
             )
-        ws.drop(table)
-        table = state = fresh
     points.unpersist()
     return Fit(coefs, table, spark.createDataFrame(history, schema.HISTORY), n)
-
-
-def _is_heavy(policy: Policy, step: int) -> bool:
-    """Whether a level's input should be stored because it is read twice (sizes
-    and solve) and costs more than a scan to make."""
-    return step == 0 or policy.start == "cluster"

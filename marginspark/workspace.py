@@ -61,3 +61,10 @@ def widen(df: DataFrame) -> DataFrame:
     cores (small inputs); at scale the input splits are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """As :func:`widen`, keeping what had to be moved; larger inputs are simply
+    scanned again, since storing them would cost more."""
+    wide = widen(df)
+    return df if wide is df else wide.persist()

@@ -99,9 +99,11 @@ def test_warm_start_and_local_scale_over_many_tasks(spark, ws):
     )
     for part in (0, 1):
         at = np.arange(120) % 2 == part
-        z, b = brute.dense_descent(X[at], y[at], sharp, 60, 4000)
-        np.testing.assert_allclose(got["zeta"][at], z, atol=1e-9)
-        np.testing.assert_allclose(got["beta"][at], b, atol=1e-9)
+        margin = y[at] * (X[at] @ brute.primal_optimum(X[at], y[at], P, 60))
+        z = np.maximum(P.low - margin, 0) / P.ridge(60)
+        b = np.maximum(margin - P.high, 0) * P.mu / P.ridge(60)
+        np.testing.assert_allclose(got["zeta"][at], z, atol=1e-8)
+        np.testing.assert_allclose(got["beta"][at], b, atol=1e-8)
 
 
 def test_in_task_solution_is_the_dense_one_per_part(spark, ws, blob_points):
@@ -124,3 +126,26 @@ def test_placement_moves_each_part_in_one_exchange(spark, blob_points):
     plan = plan.split("InMemoryRelation")[0]
     assert plan.lower().count("exchange shufflepartitionidpassthrough") == 1
     assert plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("limit", [512, 0])
+@pytest.mark.parametrize("split", [False, True])
+def test_optimum_with_and_without_second_derivatives(
+    spark, ws, blob_points, monkeypatch, limit, split
+):
+    """``sweeps=None``, in one task or many, for short and for wide vectors."""
+    from marginspark.operators import damped
+
+    monkeypatch.setattr(damped, "HESSIAN_LIMIT", limit)
+    X, y = blobs()
+    solved = dual.solve_parts(
+        dual.zero_duals(blob_points), P, 200, None, 1, ws,
+        max_part_rows=0 if split else 1000,
+    )
+    got = sorted_state(solved)
+    s = y * (X @ brute.primal_optimum(X, y, P, 200))
+    c = P.ridge(200)
+    np.testing.assert_allclose(got["zeta"], np.maximum(P.low - s, 0) / c, atol=1e-6)
+    np.testing.assert_allclose(
+        got["beta"], np.maximum(s - P.high, 0) * P.mu / c, atol=1e-6
+    )
