@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from marginspark.functions import batches as B
 from marginspark.functions import margin as M
 from marginspark.functions import vectors as V
-from marginspark.operators import damped, placement
+from marginspark.operators import damped, placement, primal
 from marginspark.params import MarginParams
 from marginspark.sources import schema
 from marginspark.workspace import Workspace
@@ -201,25 +201,6 @@ def _advance_parts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=columns)
 
 
-def _warm_weights(rows: DataFrame, n: int) -> DataFrame:
-    """``(part, n_rows, w)`` with the weights of each part's dual state."""
-    coef = M.signed_coef("y", "zeta", "beta")
-    start = (
-        rows.select("part", coef.alias("a"), F.posexplode("x").alias("j", "v"))
-        .where("a <> 0")
-        .groupBy("part", "j")
-        .agg(F.sum(F.col("a") * F.col("v")).alias("v"))
-        .groupBy("part")
-        .agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("w"))
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda j: F.coalesce(F.col("w")[j], F.lit(0.0)),
-    )
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n_rows"))
-    return sizes.join(start, "part", "left").select("part", "n_rows", dense.alias("w"))
-
-
 def _solve_over_tasks(duals, p, m, scale, ws):
     """Solve every part of ``duals`` without gathering any."""
     # Rows sorted by part: a task sees few parts, and each row gets its slot.
@@ -233,8 +214,12 @@ def _solve_over_tasks(duals, p, m, scale, ws):
     if scale == "local":
         ridge = F.col("n_rows") * F.lit(p.ridge(1.0))
     vector, none = "array<double>", F.lit(None)
+    warm = primal.weighted_sums_by(
+        rows, "part", M.signed_coef("y", "zeta", "beta"), n
+    )
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n_rows"))
     state = ws.save(
-        _warm_weights(rows, n).select(
+        warm.join(sizes, "part").select(
             "part", ridge.alias("c"), "w", none.cast(vector).alias("base"),
             F.lit(0.0).alias("f"), none.cast(vector).alias("g"),
             none.cast(vector).alias("direction"), F.lit(1.0).alias("step"),
@@ -372,18 +357,13 @@ def gram_product(duals: DataFrame) -> DataFrame:
     The matrix has a row and a column per row of the part; its product needs
     only the part's ``u``, one aggregate, joined back by part.
     """
-    coef = M.signed_coef("y", "zeta", "beta")
-    sums = (
-        duals.select("part", coef.alias("a"), F.posexplode("x").alias("j", "v"))
-        .groupBy("part", "j")
-        .agg(F.sum(F.col("a") * F.col("v")).alias("v"))
-        .groupBy("part")
-        .agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("u"))
-        .select("part", F.transform("u", lambda e: e["v"]).alias("u"))
+    n = duals.select(F.size("x")).first()[0]
+    sums = primal.weighted_sums_by(
+        duals, "part", M.signed_coef("y", "zeta", "beta"), n
     )
     return duals.join(sums, "part").select(
         "id", "part", V.dot("x", "x").alias("diagonal"),
-        (F.col("y") * V.dot("x", "u")).alias("product"),
+        (F.col("y") * V.dot("x", "w")).alias("product"),
     )
 
 
@@ -395,9 +375,7 @@ def first_coordinate(points: DataFrame, p: MarginParams, m: float) -> DataFrame:
 
 def dual_objective(duals: DataFrame, p: MarginParams, m: float, n: int) -> float:
     """Value of the dual problem of the whole state taken as one part."""
-    from marginspark.operators.primal import recover_weights, to_vector
-
-    w = to_vector(recover_weights(duals, n), n)
+    w = primal.to_vector(primal.recover_weights(duals, n), n)
     c = p.ridge(m)
     row = (
         F.col("zeta") * F.col("zeta") * (c / 2.0)

@@ -43,6 +43,22 @@ def weighted_sum(df: DataFrame, weight: Column, n: int, name: str = "w") -> Data
     return _long(partials, name)
 
 
+def weighted_sums_by(df: DataFrame, key: str, weight: Column, n: int) -> DataFrame:
+    """:func:`weighted_sum` per ``key``, as rows ``(key, w array)``."""
+    rows = df.select(key, "x", weight.cast("double").alias("_weight"))
+    if n <= UNROLL_LIMIT:
+        sums = [F.sum(F.col("_weight") * F.col("x")[j]) for j in range(n)]
+        return rows.groupBy(key).agg(F.array(*sums).alias("w"))
+    return (
+        rows.select(key, "_weight", F.posexplode("x").alias("j", "v"))
+        .groupBy(key, "j")
+        .agg(F.sum(F.col("_weight") * F.col("v")).alias("v"))
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("w"))
+        .select(key, F.transform("w", lambda e: e["v"]).alias("w"))
+    )
+
+
 def loss_gradient(
     points: DataFrame, w: Sequence[float], p: MarginParams, m: float
 ) -> DataFrame:

@@ -93,7 +93,15 @@ def _run_block(rows: DataFrame, start, anchor, full, p, pull=0.0) -> np.ndarray:
     return np.array(out["w"], dtype=float)
 
 
-def _epochs(points, draws, w, p, m, epochs, steps):
+def run_epochs(
+    points: DataFrame,
+    draws: DataFrame,
+    w: np.ndarray,
+    p: MarginParams,
+    m: float,
+    epochs: int,
+    steps: int,
+) -> LinearFit:
     """Per epoch the full gradient at ``w`` and ``steps`` corrected steps over
     that epoch's draws; the mean iterate is the next ``w``."""
     spark, trace = points.sparkSession, []
@@ -122,7 +130,7 @@ def fit_svrg(
     try:
         m, n = check_dimensions(points)
         draws = sampling.draw_with_replacement(points, epochs * steps, seed, None, ws)
-        return _epochs(points, draws, _start(n, w0, seed), params, m, epochs, steps)
+        return run_epochs(points, draws, _start(n, w0, seed), params, m, epochs, steps)
     finally:
         points.unpersist()
 
@@ -167,7 +175,7 @@ def fit_stratified_svrg(
     try:
         m, n = check_dimensions(points)
         draws = stratified_draws(points, epochs * steps, seed, n_clusters, workspace=ws)
-        return _epochs(points, draws, _start(n, w0, seed), params, m, epochs, steps)
+        return run_epochs(points, draws, _start(n, w0, seed), params, m, epochs, steps)
     finally:
         points.unpersist()
 

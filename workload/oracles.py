@@ -177,7 +177,171 @@ def kernel_rows(points: str, kernel: str) -> str:
 SELECT p.id, c.cid AS q, {r6(kernel)} AS k FROM pts p, centers c"""
 
 
+SCALED = """
+scaled AS (SELECT id, list_transform(x, lambda v: v * y) AS s FROM pts)"""
+
+
+def axpy(k: str, a: str, b: str) -> str:
+    """``k * a + b`` of two lists."""
+    return f"list_transform(list_zip({a}, {b}), lambda e: ({k}) * e[1] + e[2])"
+
+
+PAR = f"""
+par AS (SELECT count(*) * {D} / {num(2 * LAM)} AS c FROM pts)"""
+
+
+def level(name: str, source: str, count: int) -> list[str]:
+    """Sweeps over every part of ``source`` (id, part, s, q, zeta, beta), row by
+    row: each visit is a recursion over the row numbers of the part.  The result
+    ``name`` has the same columns and ``slot``."""
+    ctes = [f"""
+{name}_rows AS (
+  SELECT *, row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS slot FROM {source})""", f"""
+{name}_u AS (
+  SELECT part, list(v ORDER BY j) AS u FROM (
+    SELECT part, j, sum(v) AS v FROM (
+      SELECT part, generate_subscripts(s, 1) AS j, unnest(s) * (zeta - beta) AS v
+      FROM {name}_rows) GROUP BY part, j) GROUP BY part)"""]
+    u, state = f"{name}_u", {}
+    for i in range(count):
+        for a, sign, ridge, shift in (
+            ("zeta", "1", "c", P.theta - 1), ("beta", "-1", f"(c / {MU})", P.theta + 1)
+        ):
+            visit = f"{name}_{a}{i}"
+            old = f"(SELECT part, slot, {a} AS a FROM {name}_rows)"
+            if a in state:
+                old = f"(SELECT part, slot, a FROM {state[a]} WHERE slot >= 0)"
+            ctes.append(f"""
+{visit} AS (
+  SELECT part, -1::bigint AS slot, u, 0::double AS a FROM {u}
+  UNION ALL
+  SELECT part, slot, {axpy(f"{sign} * (a - old)", "s", "u")} AS u, a
+  FROM (SELECT r.part, r.slot, r.s, p.u, o.a AS old,
+               greatest(0::double, o.a - ({sign} * list_inner_product(r.s, p.u)
+                 + {ridge} * o.a + {num(shift)}) / (r.q + {ridge})) AS a
+        FROM {visit} p JOIN {name}_rows r ON r.part = p.part AND r.slot = p.slot + 1
+        JOIN {old} o ON o.part = r.part AND o.slot = r.slot, par))""")
+            u = f"(SELECT part, arg_max(u, slot) AS u FROM {visit} GROUP BY part)"
+            state[a] = visit
+    ctes.append(f"""
+{name} AS (
+  SELECT r.id, r.part, r.slot, r.s, r.q, z.a AS zeta, b.a AS beta
+  FROM {name}_rows r JOIN {state["zeta"]} z ON z.part = r.part AND z.slot = r.slot
+  JOIN {state["beta"]} b ON b.part = r.part AND b.slot = r.slot)""")
+    return ctes
+
+
+def levels(points: list[str], parts: str, sizes: list[int], count: int, support: bool) -> str:
+    """Train from the rows of ``parts`` (id, part) down the given part counts."""
+    ctes = [*points, PAR, f"""
+first AS (
+  SELECT p.id, k.part, list_transform(p.x, lambda v: v * p.y) AS s,
+         list_inner_product(p.x, p.x) AS q, 0::double AS zeta, 0::double AS beta
+  FROM pts p JOIN {parts} k ON k.id = p.id)""", *level("l0", "first", count)]
+    keep = "WHERE zeta + beta > 0" if support else ""
+    for i, k in enumerate(sizes[1:], 1):
+        source = f"""(SELECT id, (slot % {k})::int AS part, s, q, zeta, beta
+         FROM l{i - 1} {keep})"""
+        ctes += level(f"l{i}", source, count)
+    return "WITH RECURSIVE " + ",".join(ctes) + f"""
+SELECT id, part, slot::int AS slot, round(zeta, 9) + 0.0 AS zeta,
+       round(beta, 9) + 0.0 AS beta
+FROM l{len(sizes) - 1}"""
+
+
+def strata(k: int) -> list[str]:
+    """The first three landmarks, the nearest by RBF distance, and the deal."""
+    picked = picks(3)
+    ctes = picked[len("WITH ") : picked.index("SELECT 0 AS pick")]
+    return [ctes.rstrip().rstrip(","), """
+marks AS (SELECT 0 AS cid, x AS cx FROM z1 UNION ALL SELECT 1, x FROM z2
+          UNION ALL SELECT 2, p.x FROM z3 JOIN pts p ON p.id = z3.id)""", f"""
+near AS (
+  SELECT id, arg_min(cid, (d2, cid)) AS cid
+  FROM (SELECT p.id, c.cid, {D2} AS d2 FROM pts p, marks c) GROUP BY id)""", f"""
+dealt AS (
+  SELECT id, ((row_number() OVER (PARTITION BY cid ORDER BY id) - 1) % {k})::int AS part
+  FROM near)"""]
+
+
+def split(k: int) -> str:
+    return f"(SELECT id, ({bits()} % {k})::int AS part FROM pts)"
+
+
+def slope_of(e: str) -> str:
+    k = num(2 * LAM / LOW**2)
+    return (
+        f"CASE WHEN {e} < {LOW} THEN {k} * ({e} - {LOW}) "
+        f"WHEN {e} > {HIGH} THEN {k} * {MU} * ({e} - {HIGH}) ELSE 0::double END"
+    )
+
+
+def inner(name: str, start: str, anchor: str, rows: str, pull: float) -> list[str]:
+    """One pass of corrected steps over ``rows`` (step, s), as a recursion."""
+    dot_x, dot_z = "list_inner_product(b.s, r.x)", "list_inner_product(b.s, r.z)"
+    move = f"({slope_of(dot_x)}) - ({slope_of(dot_z)})"
+    back = num(-P.eta)
+    parts = axpy("1", axpy("-1", "r.z", "r.x"), axpy(move, "b.s", "r.g"))
+    pulled = axpy(num(pull), axpy("-1", "r.w", "r.x"), parts)
+    return [f"""
+{name}_g AS (
+  SELECT list(g ORDER BY j) AS g FROM (
+    SELECT j, sum(a * v) / {M_SQL} + any_value(z[j]) AS g FROM (
+      SELECT generate_subscripts(s, 1) AS j, unnest(s) AS v, z,
+             {slope_of("list_inner_product(s, z)")} AS a
+      FROM scaled, (SELECT w AS z FROM {anchor})) GROUP BY j))""", f"""
+{name}_r AS (
+  SELECT -1::bigint AS step, a.w AS x, a.w, z.w AS z, g FROM {start} a, {anchor} z, {name}_g
+  UNION ALL
+  SELECT b.step, {axpy(back, pulled, "r.x")}, r.w, r.z, r.g
+  FROM {name}_r r JOIN ({rows}) b ON b.step = r.step + 1)""", f"""
+{name} AS (
+  SELECT list(c ORDER BY j) AS w FROM (
+    SELECT j, avg(v) AS c FROM (
+      SELECT generate_subscripts(x, 1) AS j, unnest(x) AS v FROM {name}_r WHERE step >= 0)
+    GROUP BY j))"""]
+
+
+W0 = f"""
+w0 AS (SELECT {vec(fx.weights(4))} AS w)"""
+MODEL = "SELECT (generate_subscripts(w, 1) - 1)::int AS j, round(unnest(w), 6) + 0.0 AS w FROM "
+
+
+def svrg_epochs(epochs: int, steps: int) -> str:
+    ctes = [fx.ORDERS_SQL, SCALED, W0, f"""
+drawn AS (SELECT s, row_number() OVER (ORDER BY {key()}, id) - 1 AS step
+          FROM (SELECT id, s FROM scaled ORDER BY {key()}, id LIMIT {epochs * steps}))"""]
+    for e in range(epochs):
+        rows = (
+            f"SELECT step - {e * steps} AS step, s FROM drawn "
+            f"WHERE step >= {e * steps} AND step < {(e + 1) * steps}"
+        )
+        ctes += inner(f"w{e + 1}", f"w{e}", f"w{e}", rows, 0.0)
+    return "WITH RECURSIVE " + ",".join(ctes) + MODEL + f"w{epochs}"
+
+
+def block_rounds(rounds: int, blocks: int, rows_per_part: int, pull: float) -> str:
+    ctes = [fx.ORDERS_SQL, SCALED, W0, f"""
+parted AS (SELECT id, s, {bits()} % ceil({M_SQL} / {rows_per_part}::double)::bigint AS part
+           FROM scaled)""", f"""
+first_part AS (SELECT s, row_number() OVER (ORDER BY id) - 1 AS slot,
+                      count(*) OVER () // {blocks} AS size FROM parted WHERE part = 0)"""]
+    for r in range(rounds):
+        rows = (
+            f"SELECT slot - {r} * size AS step, s FROM first_part "
+            f"WHERE slot // size = {r}"
+        )
+        ctes += inner(f"w{r + 1}", "w0", f"w{r}", rows, pull)
+    return "WITH RECURSIVE " + ",".join(ctes) + MODEL + f"w{rounds}"
+
+
 ORACLES: dict[str, str] = {
+    "dual_two_sweeps": levels([fx.ORDERS_SQL], split(PARTS), [PARTS], 2, False),
+    "random_two_levels": levels([fx.ORDERS_SQL], split(81), [81, 27], 1, False),
+    "cascade_four_levels": levels([fx.EMBEDDINGS_SQL], split(8), [8, 4, 2, 1], 2, True),
+    "distribution_aware_two_levels": levels(strata(64), "dealt", [64, 32], 1, False),
+    "svrg_epochs": svrg_epochs(3, 10),
+    "block_svrg_rounds": block_rounds(2, 20, 100_000, 0.2),
     "parse_points": with_(fx.ORDER_LINES_SQL) + f"""
 SELECT {r6("x0")} AS x0, {r6("x1")} AS x1, {r6("x2")} AS x2, {r6("x3")} AS x3,
        label::int AS y

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginspark.functions import margin as M
@@ -401,6 +402,87 @@ def split_part_optimality(spark, sf_dir):
     )
 
 
+@query
+def dual_two_sweeps(spark, sf_dir):
+    """Two sweeps of the local problems of all parts, from the zero state."""
+    points = placement.random_split(fx.orders(spark, sf_dir), PARTS, SEED)
+    solved = dual.solve_parts(
+        dual.zero_duals(points), PARAMS, points.count(), 1, PARTS, Workspace(spark)
+    )
+    return _state(solved)
+
+
+def _state(duals):
+    return duals.select(
+        "id", "part", "slot",
+        (F.round("zeta", 9) + F.lit(0.0)).alias("zeta"),
+        (F.round("beta", 9) + F.lit(0.0)).alias("beta"),
+    )
+
+
+@query
+def random_two_levels(spark, sf_dir):
+    """81 parts, then 27 by the place in the old part; one sweep each."""
+    policy = hierarchy.Policy(3, "random", 3)
+    fit = hierarchy.fit_hierarchy(
+        fx.orders(spark, sf_dir), policy, PARAMS, levels=4, sweeps=0, seed=SEED
+    )
+    return _state(fit.duals)
+
+
+@query
+def cascade_four_levels(spark, sf_dir):
+    """8, 4, 2 and 1 parts, support vectors only; two sweeps each."""
+    fit = hierarchy.fit_hierarchy(
+        fx.embeddings(spark, sf_dir), "cascade", PARAMS, levels=3, sweeps=1, seed=SEED
+    )
+    return _state(fit.duals)
+
+
+@query
+def distribution_aware_two_levels(spark, sf_dir):
+    """Three landmarks, the deal into 64 parts, then 32; one sweep each."""
+    policy = hierarchy.Policy(2, "landmarks", 5)
+    fit = hierarchy.fit_hierarchy(
+        fx.orders(spark, sf_dir), policy, PARAMS, levels=6, sweeps=0, seed=SEED,
+        fraction=1.0, n_landmarks=3,
+    )
+    return _state(fit.duals)
+
+
+# --- gradient jobs over fixed draws --------------------------------------------------
+
+
+def _model(spark, w):
+    rows = [(j, float(v)) for j, v in enumerate(w)]
+    return spark.createDataFrame(rows, "j int, w double").select("j", r6("w").alias("w"))
+
+
+@query
+def svrg_epochs(spark, sf_dir):
+    """Three epochs of ten corrected steps over the first rows of a seeded order."""
+    points = fx.orders(spark, sf_dir).persist()
+    order = Window.orderBy(sampling.md5_key(SEED), "id")
+    draws = sampling.first_k(points, 30, SEED).withColumn(
+        "step", F.row_number().over(order) - 1
+    )
+    fit = variance_reduced.run_epochs(
+        points, draws, np.array(fx.weights(4)), PARAMS, points.count(), 3, 10
+    )
+    points.unpersist()
+    return _model(spark, fit.w)
+
+
+@query
+def block_svrg_rounds(spark, sf_dir):
+    """Two rounds over the first two blocks of the first part."""
+    fit = variance_reduced.fit_block_svrg(
+        fx.orders(spark, sf_dir), rounds=2, epochs=0, params=PARAMS, seed=SEED,
+        w0=fx.weights(4),
+    )
+    return _model(spark, fit.w)
+
+
 # --- iterative jobs (no SQL twin; see tests/) -----------------------------------------
 
 
