@@ -60,19 +60,20 @@ SELECT (j1 - 1)::int AS j,
 FROM long GROUP BY j1"""
 
 
-def key(id_: str = "id") -> str:
-    return f"md5('{SEED}:' || {id_}::varchar)"
+def key(id_: str = "id", seed: int = SEED) -> str:
+    return f"md5('{seed}:' || {id_}::varchar)"
 
 
 def bits(id_: str = "id") -> str:
     return f"('0x' || substr({key(id_)}, 1, 8))::bigint"
 
 
-def centers(k: int = K) -> str:
+def centers(k: int = K, seed: int = SEED, name: str = "centers") -> str:
+    by = f"{key(seed=seed)}, id"
     return f"""
-centers AS (
-  SELECT (row_number() OVER (ORDER BY {key()}, id) - 1)::int AS cid, x AS cx
-  FROM (SELECT id, x FROM pts ORDER BY {key()}, id LIMIT {k}))"""
+{name} AS (
+  SELECT (row_number() OVER (ORDER BY {by}) - 1)::int AS cid, x AS cx
+  FROM (SELECT id, x FROM pts ORDER BY {by} LIMIT {k}))"""
 
 
 D2 = "list_sum(list_transform(list_zip(p.x, c.cx), lambda e: (e[1] - e[2]) * (e[1] - e[2])))"
@@ -264,6 +265,38 @@ dealt AS (
   FROM near)"""]
 
 
+def clusters(name: str, k: int, seed: int, steps: int = 2) -> list[str]:
+    """``name`` (id, cid): the nearest of ``k`` centers after two rounds."""
+    names = [f"{name}_c{i}" for i in range(steps + 1)]
+    return [
+        centers(k, seed, names[0]),
+        *[moved(a, b) for a, b in zip(names, names[1:])], f"""
+{name} AS (
+  SELECT id, arg_min(cid, (d2, cid)) AS cid
+  FROM (SELECT p.id, c.cid, {D2} AS d2 FROM pts p, {names[-1]} c) GROUP BY id)"""]
+
+
+def clustered_levels(depth: int, count: int) -> str:
+    """One part per cluster, found anew on each level, then one part with the
+    support vectors of the last."""
+    source = """(
+  SELECT p.id, list_transform(p.x, lambda v: v * p.y) AS s,
+         list_inner_product(p.x, p.x) AS q, 0::double AS zeta, 0::double AS beta
+  FROM pts p)"""
+    ctes = [fx.EMBEDDINGS_SQL, PAR]
+    for lv in range(depth, 0, -1):
+        ctes += clusters(f"k{lv}", 3**lv, SEED + lv)
+        ctes += level(f"l{lv}", f"""(
+  SELECT r.id, k.cid AS part, r.s, r.q, r.zeta, r.beta
+  FROM {source} r JOIN k{lv} k ON k.id = r.id)""", count)
+        source = f"l{lv}"
+    ctes += level("l0", """(
+  SELECT id, 0 AS part, s, q, zeta, beta FROM l1 WHERE zeta + beta > 0)""", count)
+    return "WITH RECURSIVE " + ",".join(ctes) + """
+SELECT id, part, slot::int AS slot, round(zeta, 9) + 0.0 AS zeta,
+       round(beta, 9) + 0.0 AS beta FROM l0"""
+
+
 def split(k: int) -> str:
     return f"(SELECT id, ({bits()} % {k})::int AS part FROM pts)"
 
@@ -339,6 +372,13 @@ ORACLES: dict[str, str] = {
     "dual_two_sweeps": levels([fx.ORDERS_SQL], split(PARTS), [PARTS], 2, False),
     "random_two_levels": levels([fx.ORDERS_SQL], split(81), [81, 27], 1, False),
     "cascade_four_levels": levels([fx.EMBEDDINGS_SQL], split(8), [8, 4, 2, 1], 2, True),
+    "divide_conquer_three_levels": clustered_levels(2, 2),
+    "stratified_cascade_two_levels": levels(
+        [fx.ORDERS_SQL, *clusters("near", K, SEED), f"""
+dealt AS (
+  SELECT id, ((row_number() OVER (PARTITION BY cid ORDER BY id) - 1) % {PARTS})::int AS part
+  FROM near)"""], "dealt", [PARTS, PARTS // 2], 1, True,
+    ),
     "distribution_aware_two_levels": levels(strata(64), "dealt", [64, 32], 1, False),
     "svrg_epochs": svrg_epochs(3, 10),
     "block_svrg_rounds": block_rounds(2, 20, 100_000, 0.2),

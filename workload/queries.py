@@ -439,6 +439,28 @@ def cascade_four_levels(spark, sf_dir):
     return _state(fit.duals)
 
 
+@query
+def divide_conquer_three_levels(spark, sf_dir):
+    """9 clusters, 3 clusters, then the support vectors; two sweeps each."""
+    policy = hierarchy.Policy(3, "cluster", 1, final_gather=True, kmeans_iterations=2)
+    fit = hierarchy.fit_hierarchy(
+        fx.embeddings(spark, sf_dir), policy, PARAMS, levels=2, sweeps=1, seed=SEED,
+        fraction=1.0,
+    )
+    return _state(fit.duals)
+
+
+@query
+def stratified_cascade_two_levels(spark, sf_dir):
+    """Eight clusters dealt into 64 parts, then 32; one sweep each."""
+    policy = hierarchy.Policy(2, "kmeans", 5, support_only=True, kmeans_iterations=2)
+    fit = hierarchy.fit_hierarchy(
+        fx.orders(spark, sf_dir), policy, PARAMS, levels=6, sweeps=0, seed=SEED,
+        fraction=1.0, n_clusters=K,
+    )
+    return _state(fit.duals)
+
+
 @query
 def distribution_aware_two_levels(spark, sf_dir):
     """Three landmarks, the deal into 64 parts, then 32; one sweep each."""
