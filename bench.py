@@ -54,7 +54,7 @@ def hierarchy(policy, **kw):
     def run(spark, sf_dir):
         fit = fit_hierarchy(fx.orders(spark, sf_dir), policy, PARAMS, seed=SEED, **kw)
         levels = fit.history.orderBy("elapsed_ms").collect()
-        LEVELS[policy] = [
+        LEVELS[policy + ("" if kw.get("sweeps", 30) else "_optimum")] = [
             {k: r[k] for k in ("level", "n_parts", "n_rows", "n_support", "elapsed_ms")}
             for r in levels
         ]
@@ -76,6 +76,7 @@ JOBS = {
     "one_part_sweeps": one_part,
     "one_part_over_tasks": one_part_split,
     "fit_distribution_aware": hierarchy("distribution_aware"),
+    "fit_distribution_aware_optimum": hierarchy("distribution_aware", sweeps=None),
     "fit_stratified_cascade": hierarchy("stratified_cascade"),
     "fit_cascade": hierarchy("cascade"),
     "fit_random": hierarchy("random", levels=4),

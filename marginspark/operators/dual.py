@@ -32,8 +32,9 @@ from marginspark.params import MarginParams
 from marginspark.sources import schema
 from marginspark.workspace import Workspace
 
-# Parts above this many rows are solved over many tasks.
-MAX_PART_ROWS = 200_000
+# Parts above this many rows are solved over many tasks.  A task needs about
+# 16 * _CHUNK bytes per row beside the rows themselves.
+MAX_PART_ROWS = 100_000
 
 # Rows visited together.
 _CHUNK = 64

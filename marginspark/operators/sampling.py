@@ -49,32 +49,34 @@ def quotas(counts: DataFrame, total: int, m: int) -> DataFrame:
 
 
 def draw_with_replacement(
-    df: DataFrame,
+    rows: DataFrame,
     total: int,
     seed: int,
     stratum: str | None = None,
     workspace: Workspace | None = None,
 ) -> DataFrame:
-    """Draw rows uniformly with replacement and deal them random steps.
+    """Draw row ids uniformly with replacement and deal them random steps.
 
-    Without ``stratum`` exactly ``total`` rows are drawn.  With it, each stratum
+    Without ``stratum`` exactly ``total`` ids are drawn.  With it, each stratum
     gets its quota (see :func:`quotas`), so a few more than ``total`` may come.
-    The result is ``df`` plus ``step`` (0-based, dense).
+    The result is ``(id, stratum, step)`` with dense 0-based steps; see
+    :func:`with_rows`.
 
-    Uniform positions need no global sort: rows fall into hash buckets, one
-    narrow scan counts the buckets, and only the rows of buckets that hold a
+    Uniform positions need no global sort: ids fall into hash buckets, one
+    narrow scan counts the buckets, and only the ids of buckets that hold a
     drawn position are ranked.  The driver sees bucket counts (at most
     ``MAX_BUCKETS``) and the draws themselves.
     """
-    ws = workspace or Workspace(df.sparkSession)
+    ws = workspace or Workspace(rows.sparkSession)
+    kept = ["id", *([stratum] if stratum else [])]
     key = F.col(stratum).cast("int") if stratum else F.lit(0)
-    m = df.count()
+    narrow = rows.select(*kept, key.alias("_stratum"))
+    m, strata = narrow.agg(F.count("*"), F.count_distinct("_stratum")).first()
     if m == 0:
         raise ValueError("nothing to draw from")
-    strata = df.select(stratum).distinct().count() if stratum else 1
     buckets = int(min(max(m // 32, 1), max(MAX_BUCKETS // strata, 1)))
-    bucket = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(buckets)).cast("int")
-    keyed = df.withColumns({"_stratum": key, "_bucket": bucket})
+    bucket = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(buckets))
+    keyed = narrow.withColumn("_bucket", bucket.cast("int"))
 
     counts = keyed.groupBy("_stratum", "_bucket").count().toPandas()
     counts = counts.sort_values(["_stratum", "_bucket"])
@@ -84,17 +86,18 @@ def draw_with_replacement(
         size = int(group["count"].sum())
         quota = total if stratum is None else -(-size * total // m)
         ends = group["count"].to_numpy().cumsum()
-        for pos in rng.integers(0, size, quota):
-            b = int(np.searchsorted(ends, pos, side="right"))
-            start = int(ends[b - 1]) if b else 0
-            draws.append((int(value), int(group["_bucket"].iat[b]), int(pos) - start))
+        at = rng.integers(0, size, quota)
+        found = np.searchsorted(ends, at, side="right")
+        starts = ends - group["count"].to_numpy()
+        for b, offset in zip(found, at - starts[found]):
+            draws.append((int(value), int(group["_bucket"].iat[b]), int(offset)))
     steps = rng.permutation(len(draws))
-    drawn = df.sparkSession.createDataFrame(
+    drawn = rows.sparkSession.createDataFrame(
         [(*d, int(s)) for d, s in zip(draws, steps)],
         "_stratum int, _bucket int, _offset int, step int",
     )
     hit = drawn.select("_stratum", "_bucket").distinct()
-    # The number of draws is a parameter, whatever the size of ``df``.
+    # The number of draws is a parameter, whatever the size of the data.
     if len(draws) <= MAX_BROADCAST_DRAWS:
         hit, drawn = F.broadcast(hit), F.broadcast(drawn)
     rank = Window.partitionBy("_stratum", "_bucket").orderBy("id")
@@ -102,6 +105,12 @@ def draw_with_replacement(
         keyed.join(hit, ["_stratum", "_bucket"])
         .withColumn("_offset", F.row_number().over(rank) - 1)
         .join(drawn, ["_stratum", "_bucket", "_offset"])
-        .drop("_stratum", "_bucket", "_offset")
+        .select(*kept, "step")
     )
     return ws.save(picked, "draws")
+
+
+def with_rows(points: DataFrame, draws: DataFrame, workspace: Workspace) -> DataFrame:
+    """The drawn rows in full: one scan of ``points``.  The draws are a stored
+    table, so their measured size decides how they are joined."""
+    return workspace.save(points.join(draws, "id"), "drawn-rows")

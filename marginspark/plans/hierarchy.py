@@ -130,6 +130,7 @@ def fit_hierarchy(
     plan = [(lv, policy.base**lv) for lv in range(levels, policy.last_level - 1, -1)]
     if policy.final_gather:
         plan.append((0, 1))
+    mark = ws.mark()
     state = dual.zero_duals(
         _first_parts(
             points, policy, levels, seed, fraction, n_clusters, n_landmarks, ws,
@@ -158,8 +159,10 @@ def fit_hierarchy(
             "coef",
         )
         elapsed = int((time.monotonic() - began) * 1000)
-        ws.drop(state if table is None or policy.start == "cluster" else None)
+        # the input, sorted copies and trial states of this level, and the last one
+        ws.release(mark, fresh, level_coef)
         ws.drop(table)
+        mark = ws.mark()
         solved_sizes, table, state = sizes, fresh, fresh
 
         # Where the rows go next, and what is counted on the way.

@@ -126,13 +126,16 @@ def fit_svrg(
 ) -> LinearFit:
     """``epochs * steps`` rows are drawn uniformly with replacement up front."""
     ws = workspace or Workspace(points.sparkSession)
+    mark = ws.mark()
     points = widen(points.select("id", "x", "y")).persist()
     try:
         m, n = check_dimensions(points)
         draws = sampling.draw_with_replacement(points, epochs * steps, seed, None, ws)
+        draws = sampling.with_rows(points, draws, ws)
         return run_epochs(points, draws, _start(n, w0, seed), params, m, epochs, steps)
     finally:
         points.unpersist()
+        ws.release(mark)
 
 
 def stratified_draws(
@@ -144,15 +147,17 @@ def stratified_draws(
     fraction: float = 0.5,
     workspace: Workspace | None = None,
 ) -> DataFrame:
-    """Draws in proportion to the k-means clusters of label-scaled features."""
+    """``(id, cid, step)``: draws in proportion to the k-means clusters of
+    label-scaled features."""
     ws = workspace or Workspace(points.sparkSession)
     scaled = M.label_scaled("x", "y")
     centers = clustering.kmeans(
         points, n_clusters, iterations, 1e-6, fraction, seed, scaled
     )
-    # counted, bucketed and joined: store the assignment once
+    # read three times, and two numbers per row: store the assignment once
     assigned = ws.save(
-        clustering.assign(points, centers, "linear", x=scaled), "strata"
+        clustering.assign(points, centers, "linear", x=scaled).select("id", "cid"),
+        "strata",
     )
     draws = sampling.draw_with_replacement(assigned, total, seed, "cid", ws)
     ws.drop(assigned)
@@ -171,13 +176,16 @@ def fit_stratified_svrg(
 ) -> LinearFit:
     """As :func:`fit_svrg`, with the draws stratified by cluster and shuffled."""
     ws = workspace or Workspace(points.sparkSession)
+    mark = ws.mark()
     points = widen(points.select("id", "x", "y")).persist()
     try:
         m, n = check_dimensions(points)
         draws = stratified_draws(points, epochs * steps, seed, n_clusters, workspace=ws)
+        draws = sampling.with_rows(points, draws, ws)
         return run_epochs(points, draws, _start(n, w0, seed), params, m, epochs, steps)
     finally:
         points.unpersist()
+        ws.release(mark)
 
 
 def block_schedule(

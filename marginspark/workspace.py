@@ -31,25 +31,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Workspace:
     """One run's folder.  Superseded tables are dropped by the job that wrote
-    them; the table a result reads from stays, as checkpoint files do."""
+    them; the tables a result reads from stay, as checkpoint files do."""
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark = spark
         self.root = f"{(root or shared_dir(spark)).rstrip('/')}/run-{uuid.uuid4().hex}"
         self._count = 0
+        self._paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self._count += 1
         path = f"{self.root}/{self._count:04d}-{name}"
         df.write.parquet(path)
+        self._paths[self._count] = path
         table = self.spark.read.schema(df.schema).parquet(path)
-        table._marginspark_path = path
+        table._marginspark_table = self._count
         return table
 
     def drop(self, table: DataFrame | None) -> None:
         """Delete a table made by :meth:`save` once nothing reads it any more."""
-        path = getattr(table, "_marginspark_path", None)
-        if path is None or not path.startswith(self.root):
+        self._delete(getattr(table, "_marginspark_table", None))
+
+    def mark(self) -> int:
+        """A point in time for :meth:`release`."""
+        return self._count
+
+    def release(self, mark: int, *keep: DataFrame) -> None:
+        """Delete the tables made since ``mark`` but for those to ``keep``."""
+        kept = {getattr(table, "_marginspark_table", None) for table in keep}
+        for number in [n for n in self._paths if n > mark and n not in kept]:
+            self._delete(number)
+
+    def _delete(self, number: int | None) -> None:
+        path = self._paths.pop(number, None)
+        if path is None:
             return
         jvm_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

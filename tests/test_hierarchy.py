@@ -94,6 +94,17 @@ def test_merge_modes_keep_all_rows(spark, ws, blob_points, merge):
     assert [r["n_parts"] for r in levels_of(fit)] == [27, 9, 3]
 
 
+def test_only_the_result_stays_stored(spark, ws, blob_points, tmp_path):
+    """The last level, and the coefficients of all levels."""
+    fit_hierarchy(
+        blob_points, "stratified_cascade", P, workspace=ws, max_part_rows=60, **SHAPE
+    )
+    names = sorted(
+        f.parent.name.split("-", 1)[1] for f in tmp_path.rglob("_SUCCESS")
+    )
+    assert names == ["coef"] * 4 + ["level0"]
+
+
 def test_too_shallow_levels_are_refused(blob_points):
     for policy, levels in (("distribution_aware", 1), ("random", 0), ("divide_conquer", 0)):
         with pytest.raises(ValueError):

@@ -85,6 +85,17 @@ def test_workspace_drops_its_own_tables_only(spark, tmp_path):
     assert not list(tmp_path.rglob("*.parquet"))
 
 
+def test_release_keeps_what_is_named(spark, tmp_path):
+    ws = Workspace(spark, str(tmp_path))
+    before = ws.save(spark.range(1), "before")
+    mark = ws.mark()
+    ws.save(spark.range(2), "helper")
+    result = ws.save(spark.range(3), "result")
+    ws.release(mark, result)
+    assert before.count() == 1 and result.count() == 3
+    assert len({f.parent for f in tmp_path.rglob("*.parquet")}) == 2
+
+
 class FakeContext:
     def __init__(self, master, folder=None):
         self.master, self.folder = master, folder
