@@ -158,7 +158,7 @@ def cluster_counts(assigned: DataFrame) -> DataFrame:
 # --- landmarks -------------------------------------------------------------
 
 # Candidates one pass brings to the driver; a constant, see ``landmarks``.
-CANDIDATES_PER_PASS = 2048
+CANDIDATES_PER_PASS = 8192
 
 
 def _kernel(A: np.ndarray, L: np.ndarray, kernel: str) -> np.ndarray:
@@ -173,17 +173,24 @@ def _self_kernel(A: np.ndarray, kernel: str) -> np.ndarray:
     return np.einsum("ij,ij->i", A, A) if kernel == "linear" else np.ones(len(A))
 
 
+def _halves(X: np.ndarray, chosen: np.ndarray, kernel: str) -> np.ndarray:
+    """Each row's coordinates in the span of the landmarks; their squares add up
+    to the row's score."""
+    if not len(chosen):
+        return np.zeros((len(X), 0))
+    root = np.linalg.cholesky(_kernel(chosen, chosen, kernel))
+    return np.linalg.solve(root, _kernel(X, chosen, kernel).T).T
+
+
 def _scores(X: np.ndarray, chosen: np.ndarray, gram: str, kernel: str) -> np.ndarray:
     """Quadratic form of each row's kernel vector with the inverse Gram of the
     chosen landmarks: how much of the row they already explain."""
     if not len(chosen):
         return _self_kernel(X, kernel)
-    Q = _kernel(chosen, chosen, kernel)
-    K = _kernel(X, chosen, kernel)
     if gram == "lower":
+        Q, K = _kernel(chosen, chosen, kernel), _kernel(X, chosen, kernel)
         return np.einsum("ij,ji->i", K, np.linalg.solve(np.tril(Q), K.T))
-    half = np.linalg.solve(np.linalg.cholesky(Q), K.T)
-    return np.einsum("ij,ij->j", half, half)
+    return (_halves(X, chosen, kernel) ** 2).sum(axis=1)
 
 
 def kernel_vectors(
@@ -288,21 +295,28 @@ def landmarks(
                 break
             ids = np.array([r["id"] for r in pool])
             X = np.array([r["x"] for r in pool], dtype=float)
-            open_ = np.ones(len(ids), dtype=bool)
-            first = True
-            while len(chosen) < k and open_.any():
-                picked = np.array([x for _, x in chosen])
-                s = np.where(open_, _scores(X, picked, gram, kernel), np.inf)
+            marks = np.array(vectors)
+            s = _scores(X, marks, gram, kernel)
+            halves = _halves(X, marks, kernel) if gram == "symmetric" else None
+            own = _self_kernel(X, kernel)
+            while len(chosen) < k:
                 best = int(np.lexsort((ids, s))[0])
                 # the first pick after a pass is settled by the pass itself
-                if not first and (gram == "lower" or s[best] >= bound):
+                if len(chosen) > len(vectors) and s[best] >= bound:
                     break
-                own = _self_kernel(X[best : best + 1], kernel)[0]
-                if chosen and own - s[best] <= 1e-9 * max(own, 1.0):
+                left = own[best] - s[best]
+                if chosen and left <= 1e-9 * max(own[best], 1.0):
                     return chosen
                 chosen.append((int(ids[best]), X[best]))
-                open_[best] = False
-                first = False
+                if halves is None or len(chosen) == 1:
+                    break
+                # one more coordinate for every candidate
+                column = _kernel(X, X[best : best + 1], kernel)[:, 0]
+                column = (column - halves @ halves[best]) / np.sqrt(left)
+                halves, s = np.c_[halves, column], s + column**2
+                s[best] = np.inf
+                if not np.isfinite(s).any():
+                    break
         return chosen
     finally:
         sample.unpersist()

@@ -68,6 +68,8 @@ def advance(t: Trial, v: np.ndarray) -> Trial:
     """The next trial, from the sums at ``t.w``."""
     n = len(t.w)
     f, g = float(v[0] + 0.5 * t.w @ t.w), v[1 : n + 1] + t.w
+    if not np.isfinite(f):
+        raise ValueError("the loss is not finite; check the points for NaN")
     if t.base is not None:
         promised = 1e-4 * t.step * float(t.g @ t.direction)
         if f > t.f + promised + 1e-13 * abs(t.f):
@@ -104,4 +106,4 @@ def optimum(S: np.ndarray, start: np.ndarray, c: float, p: MarginParams) -> np.n
         trial = advance(trial, sums(S, S @ trial.w, c, p, S.shape[1] <= HESSIAN_LIMIT))
         if trial.done:
             return trial.w
-    raise RuntimeError("the steps did not settle; check the data for NaN")
+    raise RuntimeError("the steps did not settle")

@@ -101,6 +101,8 @@ def descend(X, y, zeta, beta, p: MarginParams, m: float, sweeps: int):
     """At most ``sweeps + 1`` sweeps over zeta, then beta, from a warm start;
     stops when a sweep moves the state by less than ``tol``."""
     S = X * y[:, None]
+    if not np.isfinite(S).all():
+        raise ValueError("the points are not finite; check them for NaN")
     zeta, beta = zeta.astype(float).copy(), beta.astype(float).copy()
     u = (zeta - beta) @ S
     own = np.einsum("ij,ij->i", S, S)
@@ -254,7 +256,7 @@ def _solve_over_tasks(duals, p, m, scale, ws):
         if state.where(~F.col("done")).isEmpty():
             break
     else:
-        raise RuntimeError("the steps did not settle; check the data for NaN")
+        raise RuntimeError("the steps did not settle")
     s, c = F.col("s"), F.col("c")
     zeta = F.greatest(F.lit(p.low) - s, F.lit(0.0)) / c
     beta = F.greatest(s - F.lit(p.high), F.lit(0.0)) * F.lit(p.mu) / c

@@ -16,7 +16,7 @@ from marginspark.functions import margin as M
 from marginspark.operators import clustering, dual, placement, primal
 from marginspark.params import MarginParams
 from marginspark.sources import schema, sinks
-from marginspark.sources.text import check_dimensions
+from marginspark.sources.text import check_points
 from marginspark.workspace import Workspace, spread
 
 
@@ -125,7 +125,7 @@ def fit_hierarchy(
     ws = workspace or Workspace(spark)
     began = time.monotonic()
     points = spread(points.select("id", "x", "y"))
-    m, n = check_dimensions(points)
+    m, n = check_points(points)
 
     plan = [(lv, policy.base**lv) for lv in range(levels, policy.last_level - 1, -1)]
     if policy.final_gather:

@@ -20,7 +20,7 @@ from marginspark.functions import margin as M
 from marginspark.operators import clustering, placement, primal, sampling
 from marginspark.params import MarginParams
 from marginspark.sources import schema, sinks
-from marginspark.sources.text import check_dimensions
+from marginspark.sources.text import check_points
 from marginspark.workspace import Workspace, widen
 
 
@@ -129,7 +129,7 @@ def fit_svrg(
     mark = ws.mark()
     points = widen(points.select("id", "x", "y")).persist()
     try:
-        m, n = check_dimensions(points)
+        m, n = check_points(points)
         draws = sampling.draw_with_replacement(points, epochs * steps, seed, None, ws)
         draws = sampling.with_rows(points, draws, ws)
         return run_epochs(points, draws, _start(n, w0, seed), params, m, epochs, steps)
@@ -179,7 +179,7 @@ def fit_stratified_svrg(
     mark = ws.mark()
     points = widen(points.select("id", "x", "y")).persist()
     try:
-        m, n = check_dimensions(points)
+        m, n = check_points(points)
         draws = stratified_draws(points, epochs * steps, seed, n_clusters, workspace=ws)
         draws = sampling.with_rows(points, draws, ws)
         return run_epochs(points, draws, _start(n, w0, seed), params, m, epochs, steps)
@@ -246,7 +246,7 @@ def fit_block_svrg(
     ws = workspace or Workspace(spark)
     points = widen(points.select("id", "x", "y")).persist()
     try:
-        m, n = check_dimensions(points)
+        m, n = check_points(points)
         w = _start(n, w0, seed)
         # parts of bounded size, so that a block fits a task at any scale
         parts = n_parts or max(1, -(-int(m * min(fraction, 1.0)) // ROWS_PER_PART))

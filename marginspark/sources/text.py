@@ -110,11 +110,20 @@ def dimensions(points: DataFrame) -> DataFrame:
     )
 
 
-def check_dimensions(points: DataFrame) -> tuple[int, int]:
-    """``(m, n)``; raises when vectors differ in length or there are no rows."""
-    row = dimensions(points).first()
+def check_points(points: DataFrame) -> tuple[int, int]:
+    """``(m, n)``; raises when there are no rows, vectors differ in length or a
+    label is neither +1 nor -1."""
+    good = F.coalesce(F.col("y").isin(1, -1), F.lit(False))
+    row = points.agg(
+        F.count("*").alias("m"),
+        F.min(F.size("x")).alias("low"),
+        F.max(F.size("x")).alias("high"),
+        F.count_if(~good).alias("bad"),
+    ).first()
     if not row["m"]:
         raise ValueError("no points")
-    if row["n_min"] != row["n_max"]:
-        raise ValueError(f"vector lengths differ: {row['n_min']} to {row['n_max']}")
-    return row["m"], row["n_max"]
+    if row["low"] != row["high"]:
+        raise ValueError(f"vector lengths differ: {row['low']} to {row['high']}")
+    if row["bad"]:
+        raise ValueError(f"{row['bad']} labels are neither +1 nor -1")
+    return row["m"], row["high"]

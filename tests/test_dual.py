@@ -149,3 +149,13 @@ def test_optimum_with_and_without_second_derivatives(
     np.testing.assert_allclose(
         got["beta"], np.maximum(s - P.high, 0) * P.mu / c, atol=1e-6
     )
+
+
+@pytest.mark.parametrize("split,sweeps", [(False, None), (False, 3), (True, None)])
+def test_nan_is_reported(spark, ws, split, sweeps):
+    points = frame(spark, [[1.0, 1.0], [float("nan"), 1.0]], [1, -1])
+    with pytest.raises(Exception, match="not finite"):
+        dual.solve_parts(
+            dual.zero_duals(points), P, 2, sweeps, 1, ws,
+            max_part_rows=0 if split else 9,
+        ).collect()

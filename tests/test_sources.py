@@ -28,7 +28,7 @@ def test_points_and_rejects(spark, ws, tmp_path):
     assert reasons["1,x,1"] == reasons["1,nan,1"] == "non-numeric field"
     assert reasons["1,2,0"] == "label is not +1 or -1"
     assert reasons["1,1"] == "wrong number of fields"
-    assert text.check_dimensions(points) == (40, 3)
+    assert text.check_points(points) == (40, 3)
 
 
 def test_ids_follow_the_file_order_over_many_splits(spark, ws, tmp_path):
@@ -62,11 +62,14 @@ def test_other_separators_and_ragged_points(spark, tmp_path):
     lines = spark.createDataFrame([("1|2|1",), ("3|4|-1",)], "value string")
     parsed = text.parse_lines(lines, "|", 3).collect()
     assert [r["x"] for r in parsed] == [[1.0, 2.0, 1.0], [3.0, 4.0, 1.0]]
-    ragged = spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "x array<double>")
+    rows = [([1.0], 1), ([1.0, 2.0], -1)]
+    ragged = spark.createDataFrame(rows, "x array<double>, y int")
     with pytest.raises(ValueError, match="differ"):
-        text.check_dimensions(ragged)
+        text.check_points(ragged)
     with pytest.raises(ValueError, match="no points"):
-        text.check_dimensions(ragged.where("false"))
+        text.check_points(ragged.where("false"))
+    with pytest.raises(ValueError, match="labels"):
+        text.check_points(ragged.limit(1).withColumn("y", F.lit(None).cast("int")))
 
 
 def test_weights_as_text(spark, tmp_path):
