@@ -252,9 +252,10 @@ def fit_block_svrg(
         parts = n_parts or max(1, -(-int(m * min(fraction, 1.0)) // ROWS_PER_PART))
         trace: list[tuple] = []
         for epoch in range(epochs + 1):
-            batch = placement.random_split(
-                sampling.bernoulli(points, fraction, seed + epoch), parts, seed
-            )
+            sample = sampling.bernoulli(points, fraction, seed + epoch)
+            if sample is not points:
+                sample = sample.persist()  # every round reads it
+            batch = placement.random_split(sample, parts, seed)
             # The schedule visits at most one new part per round.
             visited = batch.where(F.col("part") <= rounds)
             counts = dict(visited.groupBy("part").count().collect())
@@ -286,6 +287,8 @@ def fit_block_svrg(
                 )
                 trace.append((epoch, i, z.tolist(), float(loss)))
             ws.drop(rows)
+            if sample is not points:
+                sample.unpersist()
             moved = float(np.linalg.norm(z - w))
             w = z
             if moved < params.tol:

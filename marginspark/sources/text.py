@@ -56,10 +56,11 @@ def read_points(
 
     The row id is the row's place among the good rows in file order.  It is
     found without a sort: rows of one split are contiguous, so a count per
-    split gives each split's first id.  The parsed rows are stored once, which
-    pins the ids and spares later passes the text parsing.
+    split gives each split's first id.  The result is stored, which pins the ids
+    and spares later passes the text parsing.
     """
     ws = workspace or Workspace(spark)
+    mark = ws.mark()
     lines = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
@@ -73,8 +74,9 @@ def read_points(
         ),
         "parsed",
     )
-    rejected = parsed.where("reason is not null").select(
-        F.col("value").alias("line"), "reason"
+    rejected = ws.save(
+        parsed.where("reason is not null").select(F.col("value").alias("line"), "reason"),
+        "rejected",
     )
     good = parsed.where("reason is null").drop("value", "reason")
     # Bad rows leave gaps inside a split: number the good rows of a split by
@@ -98,6 +100,8 @@ def read_points(
         .join(offsets, ["_file", "_start"])
         .select((F.col("_before") + F.col("_i")).alias("id"), "x", "y")
     )
+    points = ws.save(points, "points")
+    ws.release(mark, points, rejected)
     return points, rejected
 
 
