@@ -6,20 +6,32 @@ production parameters, to the whole of its table.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marginspark.llm import quality
+from marginspark.llm import packing, quality
+from marginspark.llm.digests import with_crc32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return with_crc32(pieces).withColumns(
+        {n: F.col(n).cast("long") for n in ("length", "offset")}
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
 QUERIES = {
+    "op7_packing": op7_packing,
     "op10_quality_rules": op10_quality_rules,
 }
