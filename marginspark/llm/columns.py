@@ -32,7 +32,7 @@ def others(df: DataFrame, *made: str) -> list[str]:
 def boxed(df: DataFrame, *made: str) -> Column:
     """The kept columns as one struct, so that no working column can clash."""
     keep = others(df, *made)
-    fields = [df[f"`{name}`"] for name in keep] or [F.lit(None).alias("_none")]
+    fields = [df[f"`{name}`"] for name in keep] or [F.lit(0).alias("_none")]
     return F.struct(*fields)
 
 
