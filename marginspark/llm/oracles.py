@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginspark.llm import quality
+from marginspark.llm import line_dedup, quality
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
@@ -48,7 +48,32 @@ _BASE = " or ".join(
 )
 _KEPT = " and ".join(_rule(r) for r in quality.RULES)
 
+#: Runs as diagonals of equal lines: for each pair of an earlier and a later
+#: place of a line, neighbouring pairs at the same distance form the runs.
+_LINE_DEDUP = rf"""
+  texts as (select doc_id, text, string_split(text, chr(10)) as l from documents),
+  flat as (select doc_id, unnest(l) as s, unnest(range(len(l))) as i from texts),
+  spoken as (select doc_id, s, i,
+      len(list_filter(string_split_regex(s, '[ 	-]+'), lambda x: x <> '')) as w,
+      row_number() over (order by doc_id, i) as pos
+    from flat where regexp_matches(s, '[^ 	-]')),
+  pairs as (select b.doc_id, a.doc_id as other, b.pos, b.i, b.w, b.pos - a.pos as gap
+    from spoken a join spoken b on a.s = b.s and a.pos < b.pos),
+  islands as (select *,
+      pos - row_number() over (partition by doc_id, other, gap order by pos) as island
+    from pairs),
+  gone as (select distinct doc_id, i from (select doc_id, i,
+      sum(w) over (partition by doc_id, other, gap, island) as run from islands)
+    where run >= {line_dedup.MIN_WORDS}),
+  lost as (select doc_id, list(i) as g from gone group by doc_id)"""
+
 ORACLES = {
+    "op9_line_dedup": f"""with {_LINE_DEDUP}
+  select doc_id,
+    case when g is null then text else array_to_string(
+      list_filter(l, lambda x, i: not list_contains(g, i - 1)), chr(10)) end as text,
+    coalesce(len(l), 0)::bigint as n_lines, coalesce(len(g), 0)::bigint as n_removed_lines
+  from texts left join lost using (doc_id)""",
     "op10_quality_rules": f"""with {_MEASURES}
   select doc_id, {", ".join(quality.MEASURES)},
     ({_BASE}) as base_failed, ({_KEPT}) as kept

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginspark.llm import packing, quality, simhash
+from marginspark.llm import line_dedup, packing, quality, simhash
 from marginspark.llm.digests import with_crc32
 
 
@@ -31,6 +31,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept")
@@ -39,5 +44,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op7_packing": op7_packing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
