@@ -3,8 +3,9 @@
 Both supported kinds of file split a text before they merge, and no piece of
 that split reaches over a blank or line feed that stands alone.  So a text's ids
 are those of its chunks, a chunk being such a character and what follows up to
-the next one.  Chunks repeat, so each is encoded once by the library and then
-looked up; texts in which white space touches white space are given to the
+the next one.  Commas and full stops that follow a letter or digit start chunks
+of their own too.  Chunks repeat, so each is encoded once by the library and
+then looked up; texts in which white space touches white space are given to the
 library as a whole.  A worker remembers a bounded number of chunks.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,10 +21,10 @@ import numpy as np
 from marginspark.llm.batches import ragged
 
 #: A worker remembers chunks up to this number and this length.
-MAX_CHUNKS = 500_000
+MAX_CHUNKS = 300_000
 MAX_CHARS = 40
-#: It starts anew when it is full and so large a share of a call was unknown.
-RENEW = 0.3
+#: When it is full, chunks met less often than this are forgotten.
+FEW = 3
 #: A character of the private area that sets new chunks apart in one call.
 MARK = "\ue000"
 _TOUCHING = re.compile(r"\s\s")
@@ -31,20 +33,27 @@ _TOUCHING = re.compile(r"\s\s")
 class _Chunks(dict):
     """Chunk to number, in order of first sight; new ones wait to be encoded."""
 
-    def __init__(self, encoder: Encoder, lead: str) -> None:
+    def __init__(self, encoder: Encoder, lead: str, own: tuple[str, ...]) -> None:
         super().__init__()
-        self.encoder, self.lead = encoder, lead
+        self.encoder, self.lead, self.own = encoder, lead, own
 
     def __missing__(self, chunk: str) -> int:
         e = self.encoder
         code = e.known + len(e.waiting)
         self[chunk] = code
-        e.waiting.append(chunk if chunk[:1] == "\n" else self.lead + chunk)
-        if e.full or len(chunk) > MAX_CHARS:
+        e.waiting.append(chunk if chunk[:1] in self.own else self.lead + chunk)
+        if len(chunk) > MAX_CHARS:
             e.passing.append((self, chunk))
         return code
 
 
+def _closes(chunk: str) -> bool:
+    """Whether a chunk ends with a letter or digit, in lower case too."""
+    if not chunk.isascii():
+        chunk = unicodedata.normalize("NFC", chunk).lower()
+    return chunk[-1:].isalnum()
+
+
 class Encoder:
     """``encode(texts)`` gives the ids of all texts in a row and each text's
     number of ids.  Equal to the library's ``encode(text, False)`` text by text."""
@@ -55,30 +64,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.mark = np.asarray(self._library([f" {MARK}"])[0].ids)
-        self._forget()
-
-    def _forget(self) -> None:
+        self.mark = self._ids([f" {MARK}"])[0]
+        # A word's first id shows its blank, or its last id shows its end.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.at_end = bool(suffix)
+        blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ") or [("", None)]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.border = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.border[i] = token.endswith(suffix) if suffix else token.startswith(blank[0][0])
         self.known, self.used = 0, 0
         self.waiting: list[str] = []
         self.passing: list[tuple[_Chunks, str]] = []
-        self.first, self.later = _Chunks(self, ""), _Chunks(self, " ")
+        self.first = _Chunks(self, "", ())
+        self.fine = _Chunks(self, " ", ("\n", ",", "."))
+        self.coarse = _Chunks(self, " ", ("\n",))
         self.flat = np.zeros(1 << 16, np.int32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.sizes = np.zeros(1 << 14, np.int64)
-
-    @property
-    def full(self) -> bool:
-        return self.known >= MAX_CHUNKS
-
-    def _library(self, texts: Sequence[str]):
-        return self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
-
-    def _marked(self, chunks: list[str]) -> list[np.ndarray] | None:
-        """Ids of many chunks by one call over ``mark chunk mark chunk ...``:
-        every chunk starts with white space, so the marks stay by themselves."""
-        text = "".join(f" {MARK}{c}" for c in chunks)
-        ids = np.asarray(self._library([text])[0].ids, np.int32)
+        rows = 1 << 14
+        self.starts, self.sizes = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        self.hits, self.opens, self.closes = (
+            np.zeros(rows, np.int64), np.zeros(rows, bool), np.zeros(rows, bool)
+        )
+
+    def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
+        return [np.asarray(e.ids, np.int32) for e in found]
+
+    def _marked(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of many chunks, and how many each has, by one call over
+        ``mark chunk mark chunk ...``: each chunk starts with white space, so
+        the marks stay by themselves."""
+        ids = self._ids(["".join(f" {MARK}{c}" for c in chunks)])[0]
         size = len(self.mark)
         if len(ids) < size:
             return None
@@ -88,85 +104,121 @@ class Encoder:
         at = np.flatnonzero(hits)
         if len(at) != len(chunks):
             return None
-        ends = np.append(at[1:], len(ids))
-        return [ids[a + size : b] for a, b in zip(at, ends)]
+        sizes = np.diff(np.append(at, len(ids))) - size
+        return ragged(ids, at + size, sizes), sizes
 
-    def _new_ids(self) -> list[np.ndarray]:
-        """Ids of the waiting chunks, in their order."""
-        plain, rest = [], []
+    def _led(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for words, each with its blank, by one call over all."""
+        ids = self._ids(["".join(chunks)])[0]
+        at = np.flatnonzero(self.border[ids])
+        if len(at) != len(chunks):
+            return None
+        ends = at + 1 if self.at_end else np.append(at[1:], len(ids))
+        return ids, np.diff(ends, prepend=0)
+
+    def _single(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids(chunks)
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _new_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the waiting chunks in their order, and how many each has."""
+        kinds: tuple[list[int], ...] = ([], [], [])
         for i, c in enumerate(self.waiting):
-            easy = c[:1] in (" ", "\n") and len(c) > 1 and MARK not in c
-            (plain if easy else rest).append(i)
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(self.waiting)
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            chunks = [self.waiting[i] for i in some]
-            found = self._marked(chunks)
-            if found is None:
-                found = [np.asarray(e.ids, np.int32) for e in self._library(chunks)]
-            for i, ids in zip(some, found):
-                out[i] = ids
-        for i, e in zip(rest, self._library([self.waiting[i] for i in rest])):
-            out[i] = np.asarray(e.ids, np.int32)
-        return out
+            if c[:1] == " " and c[1:].isalpha():
+                kinds[0].append(i)
+            else:
+                kinds[1 if c[:1] in (" ", "\n") and len(c) > 1 and MARK not in c else 2].append(i)
+        ways = (self._led, self._marked, self._single)
+        flats, sizes = [], []
+        for kind, some in enumerate(kinds):
+            for at in range(0, len(some), 20_000):
+                chunks = [self.waiting[i] for i in some[at : at + 20_000]]
+                found = next(f for way in ways[kind:] if (f := way(chunks)) is not None)
+                flats.append(found[0])
+                sizes.append(found[1])
+        flat, size = np.concatenate(flats), np.concatenate(sizes)
+        place = np.argsort(np.concatenate(kinds).astype(np.int64))
+        starts = np.cumsum(size) - size
+        return ragged(flat, starts[place], size[place]), size[place]
 
     def _learn(self) -> None:
         if not self.waiting:
             return
-        found = self._new_ids()
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = self.used + int(sizes.sum())
-        count = self.known + len(found)
+        flat, sizes = self._new_ids()
+        total, count = self.used + len(flat), self.known + len(sizes)
         while total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while count > len(self.sizes):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.flat[self.used : total] = np.concatenate(found)
-        self.starts[self.known : count] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[self.known : count] = sizes
+            for name in ("starts", "sizes", "hits", "opens", "closes"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        new = slice(self.known, count)
+        self.flat[self.used : total] = flat
+        self.starts[new] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[new], self.hits[new] = sizes, 0
+        self.opens[new] = [c[:1] in (",", ".") for c in self.waiting]
+        self.closes[new] = [_closes(c) for c in self.waiting]
         self.waiting.clear()
-        self.total = (count, total)
+        self.known, self.used = count, total
 
-    def _settle(self, calls: int) -> None:
-        """Keep what was learned, but for chunks too long and all beyond the
-        bound: their numbers are given out anew."""
+    def _settle(self, met: np.ndarray) -> None:
+        """Forget what is too long and, when full, what is met seldom."""
         for chunks, chunk in self.passing:
             del chunks[chunk]
-        late = len(self.passing)
         self.passing.clear()
-        if not self.full:
-            self.known, self.used = self.total
-        elif late > RENEW * calls:
-            self._forget()
+        self.hits[: self.known] += np.bincount(met, minlength=self.known)
+        if self.known < MAX_CHUNKS:
+            return
+        stay = self.hits[: self.known] >= FEW
+        if 2 * stay.sum() > MAX_CHUNKS:
+            stay[:] = False
+        number = np.cumsum(stay) - 1
+        for chunks in (self.first, self.fine, self.coarse):
+            left = [(c, number[i]) for c, i in chunks.items() if stay[i]]
+            chunks.clear()
+            chunks.update(left)
+        starts, sizes = self.starts[: self.known][stay], self.sizes[: self.known][stay]
+        flat = ragged(self.flat, starts, sizes)
+        self.flat[: len(flat)], self.used, self.known = flat, len(flat), len(starts)
+        now = slice(0, self.known)
+        self.starts[now], self.sizes[now], self.hits[now] = np.cumsum(sizes) - sizes, sizes, 0
+        self.opens[now] = self.opens[: len(stay)][stay]
+        self.closes[now] = self.closes[: len(stay)][stay]
+
+    def _codes(self, text: str, fine: bool) -> np.ndarray:
+        parts = text.replace("\n", " \n")
+        if fine:
+            parts = parts.replace(",", " ,").replace(".", " .")
+        head, *tail = parts.split(" ")
+        codes = np.empty(len(tail) + 1, np.int64)
+        codes[0] = self.first[head]
+        code = (self.fine if fine else self.coarse).__getitem__
+        codes[1:] = np.fromiter(map(code, tail), np.int64, len(tail))
+        return codes
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        self.total = (self.known, self.used)
-        codes: list[np.ndarray] = []
-        whole: list[int] = []
-        for row, text in enumerate(texts):
-            if _TOUCHING.search(text):
-                whole.append(row)
-                codes.append(np.zeros(0, np.int64))
-                continue
-            head, *tail = text.replace("\n", " \n").split(" ")
-            own = np.empty(len(tail) + 1, np.int64)
-            own[0] = self.first[head]
-            own[1:] = np.fromiter(map(self.later.__getitem__, tail), np.int64, len(tail))
-            codes.append(own)
+        none = np.zeros(0, np.int64)
+        whole = [r for r, text in enumerate(texts) if _TOUCHING.search(text)]
+        skip = set(whole)
+        codes = [none if r in skip else self._codes(t, True) for r, t in enumerate(texts)]
+        self._learn()
+        for row, own in enumerate(codes):
+            # A comma or stop after anything but a letter or digit: not a cut.
+            if (self.opens[own[1:]] & ~self.closes[own[:-1]]).any():
+                codes[row] = self._codes(texts[row], False)
         self._learn()
         counts = np.fromiter(map(len, codes), np.int64, len(codes))
-        every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        every = np.concatenate(codes) if codes else none
         sizes = self.sizes[every]
         ids = ragged(self.flat, self.starts[every], sizes)
-        self._settle(len(every))
+        self._settle(every)
         sums = np.concatenate([[0], np.cumsum(sizes)])
         ends = np.cumsum(counts)
         lengths = sums[ends] - sums[ends - counts]
         if whole:
             runs = np.split(ids, np.cumsum(lengths)[:-1])
-            for row, found in zip(whole, self._library([texts[r] for r in whole])):
-                runs[row] = np.asarray(found.ids, np.int32)
+            for row, found in zip(whole, self._ids([texts[r] for r in whole])):
+                runs[row] = found
             ids = np.concatenate(runs)
             lengths = np.fromiter(map(len, runs), np.int64, len(runs))
         return ids, lengths
