@@ -130,8 +130,13 @@ class BKForest:
         each query searches the tree of its number."""
         place = np.minimum(np.searchsorted(self.names, tree), max(len(self.names) - 1, 0))
         q = np.flatnonzero(self.names[place] == tree) if len(self.names) else place[:0]
-        node = self.root[place[q]] if len(q) else q
-        while len(q):
+        waiting = [(q, self.root[place[q]] if len(q) else q)]
+        while waiting:
+            q, node = waiting.pop()
+            if len(q) > _FRONT:
+                # Where all lie close together nearly all edges are followed.
+                waiting += [(q[_FRONT:], node[_FRONT:]), (q[:_FRONT], node[:_FRONT])]
+                continue
             gap = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
             hit = gap <= radius
             if hit.any():
@@ -141,9 +146,10 @@ class BKForest:
                 self.edge, node * 65 + np.minimum(gap + radius, 64), side="right"
             )
             many = high - low
-            q = np.repeat(q, many)
             ends = np.cumsum(many)
-            node = self.child[np.arange(len(q)) + np.repeat(low - (ends - many), many)]
+            if len(ends) and ends[-1]:
+                slot = np.arange(ends[-1]) + np.repeat(low - (ends - many), many)
+                waiting.append((np.repeat(q, many), self.child[slot]))
 
 
 def _roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,8 +167,9 @@ def _roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-#: Queries that walk the trees together.
+#: Queries that start together, and steps of a search taken at once.
 _WALK = 1024
+_FRONT = 16_384
 
 
 def tree_links(
