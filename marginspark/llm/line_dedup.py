@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginspark.llm.columns import boxed, let, unboxed, words
+from marginspark.llm.screens import screen
 from marginspark.workspace import Workspace
 
 #: Words from which a repeated run is deleted.
@@ -203,7 +204,14 @@ def dedup_lines(
     ).distinct()
     gone = lost.join(placed.select("pos", "row", "k"), "pos")
     gone = ws.save(gone.groupBy("row").agg(F.sort_array(F.collect_list("k")).alias("gone")), "gone")
-    known = stored.join(gone, "row", "left")
+    # Only texts that may have lost lines are moved to what they lost.
+    touched = screen(gone, "row")
+    kind = gone.schema["gone"].dataType
+    known = (
+        stored.where(touched)
+        .join(gone, "row", "left")
+        .unionByName(stored.where(~touched).withColumn("gone", F.lit(None).cast(kind)))
+    )
     cut = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
         _without(F.col("text"), F.col("gone"))
     )
