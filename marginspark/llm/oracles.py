@@ -54,9 +54,11 @@ _LINE_DEDUP = rf"""
   texts as (select doc_id, text, string_split(text, chr(10)) as l from documents),
   flat as (select doc_id, unnest(l) as s, unnest(range(len(l))) as i from texts),
   spoken as (select doc_id, s, i,
-      len(list_filter(string_split_regex(s, '[ 	-]+'), lambda x: x <> '')) as w,
+      len(list_filter(string_split_regex(s, '[ 	-
+]+'), lambda x: x <> '')) as w,
       row_number() over (order by doc_id, i) as pos
-    from flat where regexp_matches(s, '[^ 	-]')),
+    from flat where regexp_matches(s, '[^ 	-
+]')),
   pairs as (select b.doc_id, a.doc_id as other, b.pos, b.i, b.w, b.pos - a.pos as gap
     from spoken a join spoken b on a.s = b.s and a.pos < b.pos),
   islands as (select *,
@@ -68,6 +70,18 @@ _LINE_DEDUP = rf"""
   lost as (select doc_id, list(i) as g from gone group by doc_id)"""
 
 ORACLES = {
+    "op4_topk": """with good as (select vec_id,
+      list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+    from embeddings where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  q as (select vec_id as query_id, unnest(v) as a, unnest(range(len(v))) as j
+    from good where vec_id % 50 = 0),
+  c as (select vec_id, unnest(v) as b, unnest(range(len(v))) as j from good),
+  scores as (select query_id, vec_id, sum(a * b)::bigint as score
+    from q join c using (j) where vec_id <> query_id group by all)
+  select query_id, (row_number() over (partition by query_id
+      order by score desc, vec_id))::int as rank, vec_id, score
+  from scores qualify rank <= 5""",
     "op9_line_dedup": f"""with {_LINE_DEDUP}
   select doc_id,
     case when g is null then text else array_to_string(
