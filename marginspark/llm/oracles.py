@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginspark.llm import line_dedup, quality
+from marginspark.llm import chat, line_dedup, quality
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
@@ -69,7 +69,46 @@ _LINE_DEDUP = rf"""
     where run >= {line_dedup.MIN_WORDS}),
   lost as (select doc_id, list(i) as g from gone group by doc_id)"""
 
+def _case(column: str, values: dict[str, object], other: str) -> str:
+    arms = " ".join(f"when '{k}' then {v}" for k, v in values.items())
+    return f"case {column} {arms} else {other} end"
+
+
+_T = chat.TEMPLATE
+#: The machine over roles, its state being the last role (no other state is
+#: reached by two roles but ``asked``, which user and tool both lead to).
+_STEPS = ", ".join(
+    f"('{before}', '{role}')"
+    for state, moves in _T.moves.items()
+    for role in moves
+    for before in (
+        [_T.start] if state == _T.start
+        else [r for m in _T.moves.values() for r, to in m.items() if to == state]
+    )
+)
+_CHAT = rf"""
+  turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as t
+    from (select conv_id, turn, role, text from conversations union all
+      select -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok')),
+  sized as (select *, role = 'assistant' as learned,
+      {_case("role", {k: len(v) for k, v in _T.headers.items()}, "length(role) + 8")}
+      + {len(_T.end)} + length(t)
+      + length(t) - length(replace(t, '\', ''))
+      + list_sum(list_transform([''] || regexp_extract_all(t, '#{{3,}}'),
+          lambda x: greatest(length(x) - 2, 0)))
+      + (length(t) - length(replace(t, '</turn>', ''))) // 7 as n,
+      (lag(role, 1, '{_T.start}') over (partition by conv_id order by turn, role, t), role)
+        in ({_STEPS}) as step
+    from turns)"""
+
 ORACLES = {
+    "op5_chat": f"""with {_CHAT}
+  select conv_id, count(*)::bigint as n_turns,
+    sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn, role, t)) as turns_sha256,
+    coalesce(sum(length(t)) filter (learned), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(t, '' order by turn, role, t) filter (learned), '')) as loss_sha256,
+    sum(n)::bigint as formatted_chars, bool_and(step) as valid
+  from sized group by conv_id""",
     "op4_topk": """with good as (select vec_id,
       list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
     from embeddings where vec_id is not null and embedding is not null

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginspark.llm import line_dedup, packing, quality, simhash, topk
+from marginspark.llm import chat, line_dedup, packing, quality, simhash, topk
 from marginspark.llm.digests import with_crc32
 
 
@@ -28,6 +28,18 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, lambda i: i % 50 == 0, k=5)
 
 
+#: A conversation whose texts hold the template's own control strings.
+PROBE_ID, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(
+        [(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)], rows.schema
+    )
+    return chat.read_chats(chat.format_chats(rows.unionByName(probe)))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
@@ -49,6 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
+    "op5_chat": op5_chat,
     "op7_packing": op7_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
