@@ -113,17 +113,19 @@ def _ranked(rows: DataFrame, by: list[str], ws: Workspace, name: str) -> DataFra
     of ``by``: sorted over all partitions, row numbers keep the order."""
     shared = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
     ranks = shared.orderBy(*by).select(*by, F.monotonically_increasing_id().alias("rank"))
-    return rows.join(ws.save(ranks, name), by)
+    ranks = ws.save(ranks, name)
+    return rows.where(screen(ranks, *by)).join(ranks, by)
 
 
 def _levels(lines: DataFrame, top: int, ws: Workspace) -> list[DataFrame]:
     """Level j holds (pos, left, rank) of the suffixes whose first 2^j lines
-    occur more than once, up to level ``top``."""
-    first = _ranked(lines.select("pos", "left", "line"), ["line"], ws, "ranks0")
-    levels = [ws.save(first.select("pos", "left", "rank"), "level0")]
+    occur more than once, up to level ``top``.  Level 0 keeps what else is known
+    of its lines: all that follows concerns these alone."""
+    first = _ranked(lines.drop("base"), ["line"], ws, "ranks0")
+    levels = [ws.save(first.drop("line"), "level0")]
     for level in range(1, top + 1):
         half = 1 << (level - 1)
-        now = levels[-1]
+        now = levels[-1].select("pos", "left", "rank")
         tail = now.select((F.col("pos") - half).alias("pos"), F.col("rank").alias("tail"))
         pairs = now.where(F.col("left") >= 2 * half).withColumnRenamed("rank", "head")
         pairs = ws.save(pairs.join(tail, "pos"), f"pairs{level}")
@@ -132,8 +134,10 @@ def _levels(lines: DataFrame, top: int, ws: Workspace) -> list[DataFrame]:
     return levels
 
 
-def _copies(lines: DataFrame, levels: list[DataFrame], ws: Workspace) -> DataFrame:
-    """(pos, length) of the least windows that occur earlier."""
+def _copies(levels: list[DataFrame], ws: Workspace) -> DataFrame:
+    """(pos, length) of the least windows that occur earlier.  Both ends of such
+    a window are repeated lines."""
+    lines = levels[0]
     starts = lines.select("pos", F.col("ahead").alias("length")).where("ahead is not null")
     ends = lines.where("behind is not null").select(
         (F.col("pos") + 1 - F.col("behind")).alias("pos"), F.col("behind").alias("length")
@@ -197,12 +201,12 @@ def dedup_lines(
     placed = ws.save(placed.withColumn("pos", F.col("base") + F.col("k")), "lines")
     top = placed.agg(F.max(F.greatest("ahead", "behind"))).first()[0] or 1
     levels = _levels(placed, int(top).bit_length() - 1, ws)
-    copies = _copies(placed, levels, ws)
+    copies = _copies(levels, ws)
     spans = copies.groupBy("pos").agg(F.max("length").alias("length"))
     lost = spans.select(
         F.explode(F.sequence("pos", F.col("pos") + F.col("length") - 1)).alias("pos")
     ).distinct()
-    gone = lost.join(placed.select("pos", "row", "k"), "pos")
+    gone = lost.join(levels[0].select("pos", "row", "k"), "pos")
     gone = ws.save(gone.groupBy("row").agg(F.sort_array(F.collect_list("k")).alias("gone")), "gone")
     # Only texts that may have lost lines are moved to what they lost.
     touched = screen(gone, "row")
