@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginspark.llm import chat, line_dedup, packing, quality, simhash, topk
+from marginspark.llm import chat, line_dedup, packing, quality, simhash, topk, toxicity
 from marginspark.llm.digests import with_crc32
 
 
@@ -40,6 +40,17 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chats(chat.format_chats(rows.unionByName(probe)))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    return toxicity.scores(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
@@ -62,6 +73,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
     "op5_chat": op5_chat,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
