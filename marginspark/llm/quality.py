@@ -158,31 +158,43 @@ def measures(text: Column) -> Column:
     )
 
 
+def judge(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Measures and verdict of a text as one struct: the measures,
+    ``failed`` (names of the rules broken, in table order), ``base_failed`` and
+    ``kept``.  The text is measured once, also where only the verdict is used."""
+
+    def verdict(m: Column) -> Column:
+        of_lines = ("n_lines", "n_dup_lines")
+        measure = lambda name: m["l" if name in of_lines else "w"][name]
+        broken = {r.name: ~r.holds(measure) for r in rules}
+        base, good = F.lit(False), F.lit(True)
+        for name, b in broken.items():
+            good = good & ~b
+            base = base | b if name in BASE_RULES else base
+        failed = F.array_compact(F.array(*[F.when(b, F.lit(n)) for n, b in broken.items()]))
+        return F.struct(
+            *[measure(name).alias(name) for name in MEASURES],
+            failed.alias("failed"),
+            base.alias("base_failed"),
+            good.alias("kept"),
+        )
+
+    return let(measures(text), verdict)
+
+
 def apply_rules(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
 ) -> DataFrame:
-    """``docs`` with the measures, ``failed`` (names of the rules broken, in
-    table order), ``base_failed`` and ``kept``."""
+    """``docs`` with the fields of :func:`judge`."""
     made = (*MEASURES, "failed", "base_failed", "kept")
-    counted = docs.select(
-        boxed(docs, *made).alias("doc"), measures(docs[f"`{text}`"]).alias("m")
+    judged = docs.select(
+        boxed(docs, *made).alias("doc"), judge(docs[f"`{text}`"], rules).alias("q")
     )
-    part = {k: "l" if k in ("n_lines", "n_dup_lines") else "w" for k in MEASURES}
-    measure = lambda name: F.col("m")[part[name]][name]
-    broken = {r.name: ~r.holds(measure) for r in rules}
-    base = F.lit(False)
-    for name in BASE_RULES:
-        base = base | broken.get(name, F.lit(False))
-    failed = F.array_compact(F.array(*[F.when(b, F.lit(n)) for n, b in broken.items()]))
-    return counted.select(
-        *unboxed(counted, "doc"),
-        *[measure(name).alias(name) for name in MEASURES],
-        failed.alias("failed"),
-        base.alias("base_failed"),
-    ).withColumn("kept", F.size("failed") == 0)
-
-
-def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    return judged.select(*unboxed(judged, "doc"), "q.*")
+
+
+def keep_good(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
+) -> DataFrame:
     """The rows that break no rule, with the columns of ``docs``."""
-    judged = apply_rules(docs.select(F.struct("*").alias("_row"), "text"), rules)
-    return judged.where("kept").select("_row.*")
+    return docs.where(judge(docs[f"`{text}`"], rules)["kept"])
