@@ -208,12 +208,13 @@ def dedup_lines(
     ).distinct()
     gone = lost.join(levels[0].select("pos", "row", "k"), "pos")
     gone = ws.save(gone.groupBy("row").agg(F.sort_array(F.collect_list("k")).alias("gone")), "gone")
-    # Only texts that may have lost lines are moved to what they lost.
+    # Only texts that may have lost lines are moved to what they lost, which
+    # grows with the input and so is never broadcast.
     touched = screen(gone, "row")
     kind = gone.schema["gone"].dataType
     known = (
         stored.where(touched)
-        .join(gone, "row", "left")
+        .join(gone.hint("merge"), "row", "left")
         .unionByName(stored.where(~touched).withColumn("gone", F.lit(None).cast(kind)))
     )
     cut = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
