@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginspark.llm import chat, line_dedup, packing, quality, simhash, topk, toxicity
+from marginspark.llm import chat, line_dedup, packing, quality, simhash, token_store, topk, toxicity
 from marginspark.llm.digests import with_crc32
 
 
@@ -59,6 +59,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    store = token_store.write_store(docs, tokenizer, end_id=2)
+    found = store.read(docs.select("doc_id"))
+    return with_crc32(found, length="n_tokens")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -75,6 +83,7 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op8_token_store": op8_token_store,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
