@@ -40,27 +40,30 @@ THRESHOLD = 0.3
 STEM = 5
 #: FTRL-proximal: rate, its offset, L1, L2.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 5.0, 1.0
-#: Words that a worker remembers.
-_MEMORY = 300_000
+#: Words that a task remembers.
+_MEMORY = 200_000
 _TRIM = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”’…¡¿"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
 
 class _Words(dict):
-    """Blank-separated chunk to number; ``hashes`` has the hashes of its word
-    and of its stem, zero for a chunk without a word."""
+    """Blank-separated chunk to number; row by number, ``hashes`` has the hashes
+    of its word and of its stem, zero for a chunk without a word."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes: list[tuple[int, int]] = []
+        self.hashes = np.zeros((1 << 14, 2), np.uint64)
 
     def __missing__(self, chunk: str) -> int:
         word = chunk.lower().strip(_TRIM)
-        code = len(self.hashes)
+        code = len(self)
+        if code == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
         digest = xxhash.xxh64_intdigest
-        stem = digest("^" + word[:STEM]) if len(word) > STEM else 0
-        self.hashes.append((digest(word) | 1, stem) if word else (0, 0))
+        if word:
+            stem = digest("^" + word[:STEM]) if len(word) > STEM else 0
+            self.hashes[code] = digest(word) | 1, stem
         self[chunk] = code
         return code
 
@@ -76,7 +79,7 @@ class Features:
         parts = [text.split() for text in texts]
         code = self.words.__getitem__
         codes = [np.fromiter(map(code, p), np.int64, len(p)) for p in parts]
-        table = np.array(self.words.hashes, np.uint64).reshape(-1, 2)
+        table = self.words.hashes
         out = []
         for own in codes:
             pair = table[own]
@@ -93,15 +96,6 @@ class Features:
         return out
 
 
-_features: list[Features] = []
-
-
-def _worker_features() -> Features:
-    if not _features:
-        _features.append(Features())
-    return _features[0]
-
-
 def ftrl(
     rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +181,7 @@ def scores(docs: DataFrame, model: list[tuple[int, float]], text: str = "text")
         dense = np.zeros(BUCKETS)
         dense[at[at >= 0]] = w[at >= 0]
         intercept = w[at < 0].sum()
-        features = _worker_features()
+        features = Features()
         for part, texts in slices(batches, "text"):
             sums = []
             for own in features(texts):
