@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginspark.llm import chat, line_dedup, packing, quality, simhash, token_store, topk, toxicity
+from marginspark.llm import chat, line_dedup, packing, pieces, quality, simhash, token_store, topk, toxicity
 from marginspark.llm.digests import with_crc32
 
 
@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"))
+    coded = pieces.encode(docs, path)
+    back = pieces.decode(coded, path)
+    return back.select(
+        "doc_id",
+        "ids",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("same"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs)
@@ -78,6 +91,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pieces": op1_pieces,
     "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
     "op5_chat": op5_chat,

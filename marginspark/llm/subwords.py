@@ -33,7 +33,7 @@ _TOUCHING = re.compile(r"\s\s")
 class _Chunks(dict):
     """Chunk to number, in order of first sight; new ones wait to be encoded."""
 
-    def __init__(self, encoder: Encoder, lead: str, own: tuple[str, ...]) -> None:
+    def __init__(self, encoder: ChunkMemory, lead: str, own: tuple[str, ...]) -> None:
         super().__init__()
         self.encoder, self.lead, self.own = encoder, lead, own
 
@@ -54,25 +54,11 @@ def _closes(chunk: str) -> bool:
     return chunk[-1:].isalnum()
 
 
-class Encoder:
-    """``encode(texts)`` gives the ids of all texts in a row and each text's
-    number of ids.  Equal to the library's ``encode(text, False)`` text by text."""
+class ChunkMemory:
+    """Ids of texts through a bounded memory of their chunks.  What a chunk's
+    ids are is said by ``_new_ids``; what texts have no chunks by ``_is_whole``."""
 
-    def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.mark = self._ids([f" {MARK}"])[0]
-        # A word's first id shows its blank, or its last id shows its end.
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.at_end = bool(suffix)
-        blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ") or [("", None)]
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.border = np.zeros(max(vocab.values()) + 1, bool)
-        for token, i in vocab.items():
-            self.border[i] = token.endswith(suffix) if suffix else token.startswith(blank[0][0])
+    def _tables(self) -> None:
         self.known, self.used = 0, 0
         self.waiting: list[str] = []
         self.passing: list[tuple[_Chunks, str]] = []
@@ -86,60 +72,16 @@ class Encoder:
             np.zeros(rows, np.int64), np.zeros(rows, bool), np.zeros(rows, bool)
         )
 
-    def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
-        return [np.asarray(e.ids, np.int32) for e in found]
-
-    def _marked(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of many chunks, and how many each has, by one call over
-        ``mark chunk mark chunk ...``: each chunk starts with white space, so
-        the marks stay by themselves."""
-        ids = self._ids(["".join(f" {MARK}{c}" for c in chunks)])[0]
-        size = len(self.mark)
-        if len(ids) < size:
-            return None
-        hits = np.ones(len(ids) - size + 1, bool)
-        for k in range(size):
-            hits &= ids[k : len(ids) - size + 1 + k] == self.mark[k]
-        at = np.flatnonzero(hits)
-        if len(at) != len(chunks):
-            return None
-        sizes = np.diff(np.append(at, len(ids))) - size
-        return ragged(ids, at + size, sizes), sizes
-
-    def _led(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """The same for words, each with its blank, by one call over all."""
-        ids = self._ids(["".join(chunks)])[0]
-        at = np.flatnonzero(self.border[ids])
-        if len(at) != len(chunks):
-            return None
-        ends = at + 1 if self.at_end else np.append(at[1:], len(ids))
-        return ids, np.diff(ends, prepend=0)
+    def _is_whole(self, text: str) -> bool:
+        return bool(_TOUCHING.search(text))
 
-    def _single(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = self._ids(chunks)
-        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+    def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        raise NotImplementedError
 
     def _new_ids(self) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the waiting chunks in their order, and how many each has."""
-        kinds: tuple[list[int], ...] = ([], [], [])
-        for i, c in enumerate(self.waiting):
-            if c[:1] == " " and c[1:].isalpha():
-                kinds[0].append(i)
-            else:
-                kinds[1 if c[:1] in (" ", "\n") and len(c) > 1 and MARK not in c else 2].append(i)
-        ways = (self._led, self._marked, self._single)
-        flats, sizes = [], []
-        for kind, some in enumerate(kinds):
-            for at in range(0, len(some), 20_000):
-                chunks = [self.waiting[i] for i in some[at : at + 20_000]]
-                found = next(f for way in ways[kind:] if (f := way(chunks)) is not None)
-                flats.append(found[0])
-                sizes.append(found[1])
-        flat, size = np.concatenate(flats), np.concatenate(sizes)
-        place = np.argsort(np.concatenate(kinds).astype(np.int64))
-        starts = np.cumsum(size) - size
-        return ragged(flat, starts[place], size[place]), size[place]
+        raise NotImplementedError
 
     def _learn(self) -> None:
         if not self.waiting:
@@ -198,7 +140,7 @@ class Encoder:
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         none = np.zeros(0, np.int64)
-        whole = [r for r, text in enumerate(texts) if _TOUCHING.search(text)]
+        whole = [r for r, text in enumerate(texts) if self._is_whole(text)]
         skip = set(whole)
         codes = [none if r in skip else self._codes(t, True) for r, t in enumerate(texts)]
         self._learn()
@@ -224,6 +166,83 @@ class Encoder:
         return ids, lengths
 
 
+class Encoder(ChunkMemory):
+    """``encode(texts)`` gives the ids of all texts in a row and each text's
+    number of ids.  Equal to the library's ``encode(text, False)`` text by text."""
+
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.mark = self._ids([f" {MARK}"])[0]
+        # A word's first id shows its blank, or its last id shows its end.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.at_end = bool(suffix)
+        blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ") or [("", None)]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.border = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.border[i] = token.endswith(suffix) if suffix else token.startswith(blank[0][0])
+        self._tables()
+
+    def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
+        return [np.asarray(e.ids, np.int32) for e in found]
+
+    def _marked(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of many chunks, and how many each has, by one call over
+        ``mark chunk mark chunk ...``: each chunk starts with white space, so
+        the marks stay by themselves."""
+        ids = self._ids(["".join(f" {MARK}{c}" for c in chunks)])[0]
+        size = len(self.mark)
+        if len(ids) < size:
+            return None
+        hits = np.ones(len(ids) - size + 1, bool)
+        for k in range(size):
+            hits &= ids[k : len(ids) - size + 1 + k] == self.mark[k]
+        at = np.flatnonzero(hits)
+        if len(at) != len(chunks):
+            return None
+        sizes = np.diff(np.append(at, len(ids))) - size
+        return ragged(ids, at + size, sizes), sizes
+
+    def _led(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for words, each with its blank, by one call over all."""
+        ids = self._ids(["".join(chunks)])[0]
+        at = np.flatnonzero(self.border[ids])
+        if len(at) != len(chunks):
+            return None
+        ends = at + 1 if self.at_end else np.append(at[1:], len(ids))
+        return ids, np.diff(ends, prepend=0)
+
+    def _single(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids(chunks)
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _new_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the waiting chunks in their order, and how many each has."""
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, c in enumerate(self.waiting):
+            if c[:1] == " " and c[1:].isalpha():
+                kinds[0].append(i)
+            else:
+                kinds[1 if c[:1] in (" ", "\n") and len(c) > 1 and MARK not in c else 2].append(i)
+        ways = (self._led, self._marked, self._single)
+        flats, sizes = [], []
+        for kind, some in enumerate(kinds):
+            for at in range(0, len(some), 20_000):
+                chunks = [self.waiting[i] for i in some[at : at + 20_000]]
+                found = next(f for way in ways[kind:] if (f := way(chunks)) is not None)
+                flats.append(found[0])
+                sizes.append(found[1])
+        flat, size = np.concatenate(flats), np.concatenate(sizes)
+        place = np.argsort(np.concatenate(kinds).astype(np.int64))
+        starts = np.cumsum(size) - size
+        return ragged(flat, starts[place], size[place]), size[place]
+
+
 _encoders: dict[str, Encoder] = {}
 
 
