@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginspark.llm import chat, line_dedup, packing, pieces, quality, simhash, token_store, topk, toxicity
+from marginspark.llm import chat, html_text, line_dedup, packing, pieces, quality, simhash, token_store, topk, toxicity
 from marginspark.llm.digests import with_crc32
 
 
@@ -31,6 +31,11 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs)
@@ -92,6 +97,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pieces": op1_pieces,
+    "op2_html": op2_html,
     "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
     "op5_chat": op5_chat,
