@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Characters of text that a task works on at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
+#: Rows that go to a Python worker at once, where texts are long.
+TEXT_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """For jobs that run inside: batches sized for texts rather than for
+    numbers, on both sides of the exchange with Python."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
 
 
 def slices(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginspark.llm.batches import slices
+from marginspark.llm.batches import slices, text_batches
 from marginspark.llm.columns import boxed, others_of
 from marginspark.llm.subwords import encoder
 from marginspark.workspace import Workspace
@@ -179,7 +179,7 @@ def pack(
             packer.leave()
             yield out.batch()
 
-    return _open(_merged(ws, boxes.mapInArrow(first, schema), schema, window, open_windows), docs)
+    return _open(_merged(ws, boxes.mapInArrow(first, schema), window, open_windows))
 
 
 def _arrow(box: pa.DataType) -> pa.Schema:
@@ -209,13 +209,14 @@ def _round(step: int, last: bool, window: int, slots: int):
 
 
 def _merged(
-    ws: Workspace, pieces: DataFrame, schema: T.StructType, window: int, slots: int
+    ws: Workspace, pieces: DataFrame, window: int, slots: int
 ) -> DataFrame:
     """The leftovers of each round packed by the next, down to one task."""
     done, step = [], 0
     while True:
         step += 1
-        stored = ws.save(pieces, f"pieces{step}")
+        with text_batches(ws.spark):
+            stored = ws.save(pieces, f"pieces{step}")
         done.append(stored.where("closed"))
         left = stored.where("not closed")
         group = F.shiftright("sequence_id", 32).bitwiseAND((1 << 24) - 1)
@@ -224,14 +225,14 @@ def _merged(
             break
         keyed = left.withColumn("_group", F.floor(group / FAN).cast("int"))
         again = _round(step, top < FAN, window, slots)
-        pieces = keyed.groupBy("_group").applyInArrow(again, schema)
+        pieces = keyed.groupBy("_group").applyInArrow(again, stored.schema)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _open(pieces: DataFrame, docs: DataFrame) -> DataFrame:
+def _open(pieces: DataFrame) -> DataFrame:
     names = [f.name for f in pieces.schema["doc"].dataType.fields if f.name != "_none"]
     keep = others_of(names, PIECE)
     return pieces.select(*[F.col("doc")[n].alias(n) for n in keep], *PIECE)

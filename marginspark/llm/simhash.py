@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginspark.llm.batches import slices
+from marginspark.llm.batches import slices, text_batches
 from marginspark.llm.columns import boxed, unboxed
 from marginspark.llm.components import connected
 from marginspark.workspace import Workspace
@@ -297,7 +297,8 @@ def near_duplicates(
     """The columns of ``docs`` but for the text, with ``fingerprint`` (16 hex
     digits) and ``component_id``, the smallest id of the row's class."""
     ws = workspace or Workspace(docs.sparkSession)
-    hashed = ws.save(with_fingerprints(docs, text, shingle), "fingerprints")
+    with text_batches(ws.spark):
+        hashed = ws.save(with_fingerprints(docs, text, shingle), "fingerprints")
     prints = hashed.groupBy("fp").agg(F.min(F.col("doc")[id]).alias("least"))
     prints = ws.save(prints, "distinct")
     found = ws.save(links(prints.select("fp"), ws, radius, agree=agree).distinct(), "links")

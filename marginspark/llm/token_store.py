@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginspark.llm.batches import slices
+from marginspark.llm.batches import slices, text_batches
 from marginspark.llm.subwords import encoder
 from marginspark.workspace import Workspace
 
@@ -299,7 +299,8 @@ def write_store(
     made = placed.mapInArrow(lambda batches: _blocks(batches, block_ids), _BLOCKS)
     name = f"token_store_{uuid.uuid4().hex}"
     writer = made.write.format("parquet").option("path", f"{ws.root}/{name}")
-    writer.bucketBy(parts, "shard").saveAsTable(name)
+    with text_batches(spark):
+        writer.bucketBy(parts, "shard").saveAsTable(name)
     blocks = spark.table(name)
 
     sizes = blocks.select(

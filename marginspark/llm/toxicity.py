@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginspark.llm.batches import slices
+from marginspark.llm.batches import slices, text_batches
 from marginspark.llm.columns import boxed, others_of
 
 BUCKETS = 1 << 20
@@ -165,7 +165,9 @@ def fit(
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], ["bucket", "weight"])
 
     model = one.mapInArrow(train, "bucket long, weight double")
-    return [(r["bucket"], r["weight"]) for r in model.collect()]  # BUCKETS + 1 at most
+    with text_batches(docs.sparkSession):
+        found = model.collect()  # BUCKETS + 1 at most
+    return [(r["bucket"], r["weight"]) for r in found]
 
 
 def scores(docs: DataFrame, model: list[tuple[int, float]], text: str = "text") -> DataFrame:
