@@ -42,6 +42,8 @@ MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an uncovered character costs below the least score.
 PENALTY = 10.0
+#: Bytes of chunks that walk the trie together, but for a longer chunk.
+PORTION = 1 << 18
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -166,7 +168,16 @@ class Model:
         self.spell_start = np.cumsum(self.spell_size) - self.spell_size
 
     def viterbi(self, chunks: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks in a row, and how many each has."""
+        """Ids of all chunks in a row, and how many each has; some chunks at a
+        time, since a text has many more matches than characters."""
+        if not chunks:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        part = np.cumsum([len(c) for c in chunks]) // PORTION
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(chunks)]
+        found = [self._viterbi(chunks[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _viterbi(self, chunks: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         text = np.frombuffer(b"".join(chunks), np.uint8).astype(np.int32)
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         ends = np.cumsum(sizes)
@@ -273,15 +284,18 @@ class PieceEncoder(ChunkMemory):
 _encoders: dict[int, PieceEncoder] = {}
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` with ``ids``."""
+def encode(
+    docs: DataFrame, model_path: str, text: str = "text", verify: bool = False
+) -> DataFrame:
+    """The columns of ``docs`` with ``ids``, and with ``same`` if ``verify``:
+    whether decoding the ids gives the text back, tried where they are made."""
+    made = ("ids", "same") if verify else ("ids",)
     model = docs.sparkSession.sparkContext.broadcast(Model(read_model(model_path)))
     boxes = docs.select(
-        boxed(docs, "ids").alias("doc"), docs[f"`{text}`"].cast("string").alias("text")
-    )
-    schema = T.StructType(
-        [boxes.schema["doc"], T.StructField("ids", T.ArrayType(T.IntegerType()))]
+        boxed(docs, *made).alias("doc"), docs[f"`{text}`"].cast("string").alias("text")
     )
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())]
+    schema = T.StructType([boxes.schema["doc"], *fields[: len(made)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
@@ -292,9 +306,13 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
             lists = pa.ListArray.from_arrays(
                 pa.array(ends), pa.array(ids), mask=part.column(1).is_null()
             )
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc", "ids"])
+            arrays = [part.column(0), lists]
+            if verify:
+                runs = zip(texts, ends[:-1].tolist(), ends[1:].tolist())
+                arrays.append(pa.array([known.decode(ids[a:b]) == t for t, a, b in runs]))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc", *made])
 
-    return _opened(boxes.mapInArrow(run, schema), "ids")
+    return _opened(boxes.mapInArrow(run, schema), *made)
 
 
 def decode(coded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
@@ -324,6 +342,6 @@ def decode(coded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
     return _opened(boxes.mapInArrow(run, schema), "decoded")
 
 
-def _opened(df: DataFrame, made: str) -> DataFrame:
+def _opened(df: DataFrame, *made: str) -> DataFrame:
     names = [f.name for f in df.schema["doc"].dataType.fields if f.name != "_none"]
-    return df.select(*[F.col("doc")[n].alias(n) for n in others_of(names, (made,))], made)
+    return df.select(*[F.col("doc")[n].alias(n) for n in others_of(names, made)], *made)

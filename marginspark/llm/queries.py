@@ -19,16 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"))
-    coded = pieces.encode(docs, path)
-    back = pieces.decode(coded, path)
-    return back.select(
-        "doc_id",
-        "ids",
-        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("same"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), verify=True)
+    size = F.coalesce(F.size("ids"), F.lit(0)).cast("long")
+    return coded.select("doc_id", "ids", size.alias("n_ids"), "same")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
