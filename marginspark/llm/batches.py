@@ -16,10 +16,15 @@ TEXT_ROWS = 1000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def size_for_texts(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """For an application over long texts: batches sized for texts rather than
+    for numbers, on both sides of the exchange with Python, in all its jobs."""
+    spark.conf.set(_ROWS, str(rows))
+
+
 @contextmanager
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
-    """For jobs that run inside: batches sized for texts rather than for
-    numbers, on both sides of the exchange with Python."""
+    """The same for the jobs that run inside only."""
     before = spark.conf.get(_ROWS)
     spark.conf.set(_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginspark.llm import chat, html_text, line_dedup, packing, pieces, quality, simhash, token_store, topk, toxicity
+from marginspark.llm.batches import size_for_texts
 from marginspark.llm.digests import with_crc32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    size_for_texts(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

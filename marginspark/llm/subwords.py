@@ -21,7 +21,7 @@ import numpy as np
 from marginspark.llm.batches import ragged
 
 #: A worker remembers chunks up to this number and this length.
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 200_000
 MAX_CHARS = 40
 #: When it is full, chunks met less often than this are forgotten.
 FEW = 3

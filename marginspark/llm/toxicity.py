@@ -99,8 +99,9 @@ class Features:
 def ftrl(
     rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights that are not zero; bucket -1 is the intercept, which
-    is not held back by L1."""
+    """Buckets and weights that are not zero, from rows of distinct buckets, the
+    last of them ``BUCKETS``; that is the intercept, which is not held back by
+    L1 and comes back as bucket -1."""
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     l1 = np.full(BUCKETS + 1, L1)
     l1[-1] = 0.0
@@ -109,7 +110,6 @@ def ftrl(
         over = np.maximum(np.abs(z[i]) - l1[i], 0.0)
         return -np.sign(z[i]) * over / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
 
-    rows = [np.append(np.unique(r), BUCKETS) for r in rows]
     for _ in range(epochs):
         for i, y in zip(rows, labels):
             w = weights(i)
