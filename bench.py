@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from marginspark.operators import dual
 from marginspark.params import MarginParams
 from marginspark.plans.hierarchy import fit_hierarchy
-from marginspark.plans.variance_reduced import fit_svrg
+from marginspark.plans.variance_reduced import fit_block_svrg, fit_stratified_svrg, fit_svrg
 from marginspark.workspace import Workspace
 from workload import fixtures as fx
 from workload.queries import QUERIES
@@ -22,6 +22,7 @@ from workload.session import local_session
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 PARAMS = MarginParams()
+SPARSE = MarginParams(lam=1e7)
 SEED = 7
 
 
@@ -44,17 +45,18 @@ def one_part_split(spark, sf_dir):
     """The same problem to its optimum over many tasks."""
     points = fx.orders(spark, sf_dir)
     solved = dual.solve_parts(
-        dual.zero_duals(points), PARAMS, points.count(), 30, 1, Workspace(spark),
+        dual.zero_duals(points), PARAMS, points.count(), None, 1, Workspace(spark),
         max_part_rows=0,
     )
     consume(solved)
 
 
-def hierarchy(policy, **kw):
+def hierarchy(policy, params=PARAMS, **kw):
     def run(spark, sf_dir):
-        fit = fit_hierarchy(fx.orders(spark, sf_dir), policy, PARAMS, seed=SEED, **kw)
+        fit = fit_hierarchy(fx.orders(spark, sf_dir), policy, params, seed=SEED, **kw)
         levels = fit.history.orderBy("elapsed_ms").collect()
-        LEVELS[policy + ("" if kw.get("sweeps", 30) else "_optimum")] = [
+        name = policy + ("_sweeps" if kw.get("sweeps") else "")
+        LEVELS[name + ("" if params is PARAMS else "_sparse")] = [
             {k: r[k] for k in ("level", "n_parts", "n_rows", "n_support", "elapsed_ms")}
             for r in levels
         ]
@@ -76,11 +78,20 @@ JOBS = {
     "one_part_sweeps": one_part,
     "one_part_over_tasks": one_part_split,
     "fit_distribution_aware": hierarchy("distribution_aware"),
-    "fit_distribution_aware_optimum": hierarchy("distribution_aware", sweeps=None),
+    "fit_distribution_aware_sweeps": hierarchy("distribution_aware", sweeps=30),
     "fit_stratified_cascade": hierarchy("stratified_cascade"),
     "fit_cascade": hierarchy("cascade"),
+    # a heavy loss: most rows end inside the band and drop out
+    "fit_cascade_sparse": hierarchy("cascade", SPARSE),
     "fit_random": hierarchy("random", levels=4),
+    "fit_divide_conquer": hierarchy("divide_conquer", levels=4, fraction=0.1),
     "fit_svrg": lambda s, d: fit_svrg(fx.orders(s, d), params=PARAMS, seed=SEED),
+    "fit_stratified_svrg": lambda s, d: fit_stratified_svrg(
+        fx.orders(s, d), 30, 100, params=PARAMS, seed=SEED
+    ),
+    "fit_block_svrg": lambda s, d: fit_block_svrg(
+        fx.orders(s, d), 20, 10, params=PARAMS, seed=SEED
+    ),
 }
 
 

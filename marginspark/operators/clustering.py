@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginspark.functions import batches as B
@@ -36,7 +36,8 @@ def _nearest_column(x: Column, centers: np.ndarray) -> Column:
 
     @F.pandas_udf("cid int, d2 double")
     def nearest(values: pd.Series) -> pd.DataFrame:
-        X = np.stack(values.to_numpy()) if len(values) else np.zeros((0, centers.shape[1]))
+        X = np.concatenate(values.to_numpy()) if len(values) else np.zeros(0)
+        X = X.reshape(len(values), -1) if len(values) else np.zeros((0, centers.shape[1]))
         cid, d2 = B.nearest(X, centers)
         return pd.DataFrame({"cid": cid.astype("int32"), "d2": d2})
 
@@ -136,7 +137,7 @@ def kmeans(
     rows = points.select("id", (F.col("x") if x is None else x).alias("x"))
     sample = widen(bernoulli(rows, fraction, seed)).persist()
     try:
-        start = first_k(sample, k, seed).collect()
+        start = first_k(sample, k, seed, sample.count()).collect()
         if not start:
             raise ValueError("the sample is empty")
         centers = np.array([r["x"] for r in start], dtype=float)
@@ -158,7 +159,9 @@ def cluster_counts(assigned: DataFrame) -> DataFrame:
 # --- landmarks -------------------------------------------------------------
 
 # Candidates one pass brings to the driver; a constant, see ``landmarks``.
-CANDIDATES_PER_PASS = 8192
+CANDIDATES_PER_PASS = 1024
+# Groups of partitions whose lowest rows are merged before the last merge.
+_MERGES = 64
 
 
 def _kernel(A: np.ndarray, L: np.ndarray, kernel: str) -> np.ndarray:
@@ -229,26 +232,43 @@ def landmark_scores(
     return points.select("id", "x").mapInArrow(run, "id bigint, score double")
 
 
+def _spanned(own: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Whether a row's residual is zero up to rounding."""
+    return own - score <= 1e-9 * np.maximum(own, 1.0)
+
+
 def _lowest(points: DataFrame, chosen, kernel: str, gram: str, limit: int) -> DataFrame:
-    """The ``limit`` rows with the lowest (score, id).  Each batch passes on
-    its own lowest rows only."""
+    """The ``limit`` rows with the lowest (score, id).  A task passes on its own
+    lowest rows only, ids and scores without vectors; tasks' rows are merged
+    group by group, so the last merge has at most ``_MERGES * limit`` rows; the
+    vectors are looked up for the winners."""
     picked = np.array(list(chosen), dtype=float)
 
     def run(batches):
+        ids, scores = np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s = _scores(B.matrix(batch["x"]), picked, gram, kernel)
-            order = np.lexsort((B.numbers(batch["id"]), s))[:limit]
-            kept = batch.take(pa.array(order))
-            yield pa.RecordBatch.from_arrays(
-                [kept["id"], kept["x"], pa.array(s[order])], ["id", "x", "score"]
-            )
-
-    rows = points.select("id", "x").mapInArrow(
-        run, "id bigint, x array<double>, score double"
-    )
-    return rows.orderBy("score", "id").limit(limit)
+            X = B.matrix(batch["x"])
+            s = _scores(X, picked, gram, kernel)
+            # what lies in the span of the landmarks stays there
+            free = np.ones(len(s), bool)
+            if len(picked) and gram == "symmetric":
+                free = ~_spanned(_self_kernel(X, kernel), s)
+            ids = np.concatenate([ids, np.asarray(batch["id"]).astype(np.int64)[free]])
+            scores = np.concatenate([scores, s[free]])
+            order = np.lexsort((ids, scores))[:limit]
+            ids, scores = ids[order], scores[order]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(scores)], ["id", "score"])
+
+    rows = points.select("id", "x").mapInArrow(run, "id bigint, score double")
+    group = F.pmod(F.spark_partition_id(), F.lit(_MERGES))
+    first = Window.partitionBy("_group").orderBy("score", "id")
+    merged = rows.withColumn("_group", group).withColumn("_place", F.row_number().over(first))
+    best = merged.where(F.col("_place") <= limit).orderBy("score", "id").limit(limit)
+    # ``limit`` rows at most go to all tasks
+    found = points.join(F.broadcast(best.select("id", "score")), "id")
+    return found.select("id", "x", "score").orderBy("score", "id")
 
 
 def landmarks(
@@ -269,8 +289,10 @@ def landmarks(
     ``gram="lower"`` the inverse is that of the lower triangle alone, scores
     may fall, and each pick takes a pass.)
 
-    Selection ends early when the best row's residual is zero up to rounding:
-    everything left lies in the span of the landmarks.
+    A row whose residual is zero up to rounding lies in the span of the
+    landmarks and is passed over; selection ends early only when no other row
+    is left.  (With ``gram="lower"`` the form is no residual and no row is
+    passed over.)
     """
     if gram not in ("symmetric", "lower"):
         raise ValueError(f"unknown gram {gram!r}")
@@ -305,8 +327,11 @@ def landmarks(
                 if len(chosen) > len(vectors) and s[best] >= bound:
                     break
                 left = own[best] - s[best]
-                if chosen and left <= 1e-9 * max(own[best], 1.0):
-                    return chosen
+                if not np.isfinite(s[best]):
+                    break
+                if chosen and halves is not None and _spanned(own[best], s[best]):
+                    s[best] = np.inf
+                    continue
                 chosen.append((int(ids[best]), X[best]))
                 if halves is None or len(chosen) == 1:
                     break
@@ -315,8 +340,8 @@ def landmarks(
                 column = (column - halves @ halves[best]) / np.sqrt(left)
                 halves, s = np.c_[halves, column], s + column**2
                 s[best] = np.inf
-                if not np.isfinite(s).any():
-                    break
+            if len(chosen) == len(vectors):  # nothing but rounding is left
+                break
         return chosen
     finally:
         sample.unpersist()

@@ -8,9 +8,12 @@ gradients are
 
 so no Gram matrix is ever formed.  A part whose rows fit a task is solved by
 cyclic projected coordinate descent inside a grouped map.  A larger part is
-never gathered: its optimum is the optimum of the equivalent problem in ``u``,
+never gathered.  Its optimum is the optimum of the equivalent problem in ``u``,
 ``n`` unknowns, which damped steps over partial sums find (see ``damped``), and
-from which each row's ``zeta`` and ``beta`` follow as column expressions.
+from which each row's ``zeta`` and ``beta`` follow as column expressions.  Where
+a number of sweeps is asked for instead, its segments are visited in turn and
+hand ``u`` on, which is the same visit of row after row, and as slow.  So the
+size of a part picks the plan and never the answer.
 """
 
 from __future__ import annotations
@@ -32,9 +35,10 @@ from marginspark.params import MarginParams
 from marginspark.sources import schema
 from marginspark.workspace import Workspace
 
-# Parts above this many rows are solved over many tasks.  A task needs about
-# 16 * _CHUNK bytes per row beside the rows themselves.
+# Parts above this many rows, or numbers in their vectors, are solved over many
+# tasks.  A task needs about 16 * _CHUNK bytes per row beside the rows themselves.
 MAX_PART_ROWS = 100_000
+MAX_PART_CELLS = 20_000_000
 
 # Rows visited together.
 _CHUNK = 64
@@ -270,6 +274,88 @@ def _solve_over_tasks(duals, p, m, scale, ws):
     )
 
 
+# --- sweeps of one part over many tasks ----------------------------------------
+
+_VISITED = schema.DUALS + ", u array<double>, moved double"
+
+
+def _segment_visit(open_: dict, sign: float, p: MarginParams):
+    """One visit of the rows of a segment of each open part; ``open_`` has each
+    part's ``u`` and ridge.  The first row brings back ``u`` and the move."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("slot")
+        part = table["part"][0].as_py()
+        name = "zeta" if sign > 0 else "beta"
+        u, moved = None, None
+        if part in open_:
+            S = B.matrix(table["x"]) * B.numbers(table["y"]).astype(float)[:, None]
+            a = B.numbers(table[name]).astype(float).copy()
+            old, (u, c) = a.copy(), open_[part]
+            ridge = c if sign > 0 else c / p.mu
+            shift = p.theta - 1.0 if sign > 0 else p.theta + 1.0
+            chunks = [_Chunk(S, slice(i, i + _CHUNK)) for i in range(0, len(S), _CHUNK)]
+            diagonal = np.einsum("ij,ij->i", S, S) + ridge
+            u = _visit(chunks, a, u, sign, ridge, shift, diagonal)
+            moved = float(((a - old) ** 2).sum())
+            at = table.schema.get_field_index(name)
+            table = table.set_column(at, name, pa.array(a))
+        rest = [None] * (table.num_rows - 1)
+        sums = pa.array([None if u is None else u.tolist(), *rest], pa.list_(pa.float64()))
+        return table.append_column("u", sums).append_column(
+            "moved", pa.array([moved, *rest], pa.float64())
+        )
+
+    return run
+
+
+def _sweep_over_tasks(duals, p, m, sweeps, scale, ws, limit):
+    """``descend`` for parts of any size: segments of ``limit`` rows in turn,
+    those of different parts side by side.  The driver holds one ``u`` per part."""
+    limit = max(1, limit)
+    rows = ws.save(
+        placement.local_index(duals, "part", workspace=ws, max_window_rows=0)
+        .withColumn("slot", F.col("slot").cast("int"))
+        .withColumn("_segment", F.floor(F.col("slot") / limit).cast("int")),
+        "split-parts",
+    )
+    columns = [c for c in rows.columns if c != "_segment"]
+    shape = rows.agg(F.max("_segment").alias("last"), F.max(F.size("x")).alias("n")).first()
+    if shape["last"] is None:
+        return rows.select(*columns)
+    sums = primal.weighted_sums_by(
+        rows, "part", M.signed_coef("y", "zeta", "beta"), shape["n"]
+    )
+    counts = dict(rows.groupBy("part").count().collect())
+    ridge = {k: p.ridge(n if scale == "local" else m) for k, n in counts.items()}
+    u = {r["part"]: np.array(r["w"], dtype=float) for r in sums.collect()}
+    open_ = {k: (u.get(k, np.zeros(shape["n"])), ridge[k]) for k in counts}
+    tables = [
+        ws.save(rows.where(F.col("_segment") == j).select(*columns), f"segment{j}")
+        for j in range(shape["last"] + 1)
+    ]
+    for _ in range(sweeps + 1):
+        moved = dict.fromkeys(open_, 0.0)
+        for sign in (1.0, -1.0):
+            for j, table in enumerate(tables):
+                own = table.select(*columns).groupBy("part")
+                fresh = ws.save(
+                    own.applyInArrow(_segment_visit(open_, sign, p), _VISITED), f"segment{j}"
+                )
+                for r in fresh.where("moved is not null").select("part", "u", "moved").collect():
+                    open_[r["part"]] = (np.array(r["u"]), ridge[r["part"]])
+                    moved[r["part"]] += r["moved"]
+                ws.drop(table)
+                tables[j] = fresh
+        open_ = {k: v for k, v in open_.items() if math.sqrt(moved[k]) >= p.tol}
+        if not open_:
+            break
+    out = tables[0].select(*columns)
+    for table in tables[1:]:
+        out = out.unionByName(table.select(*columns))
+    return out.select("id", "x", "y", "zeta", "beta", "slot", "part")
+
+
 # --- all parts ---------------------------------------------------------------
 
 
@@ -329,8 +415,13 @@ def solve_parts(
     tasks = min(k, max(4 * cores, -(-2 * sizes.n_rows // max(max_part_rows, 1))))
     if not sizes.n_split_parts:
         return _solve_in_tasks(duals, tasks, p, m, sweeps, scale)
+    def over_tasks(rows: DataFrame) -> DataFrame:
+        if sweeps is None:
+            return _solve_over_tasks(rows, p, m, scale, workspace)
+        return _sweep_over_tasks(rows, p, m, sweeps, scale, workspace, max_part_rows)
+
     if sizes.n_split_parts == sizes.n_parts:
-        return _solve_over_tasks(duals, p, m, scale, workspace)
+        return over_tasks(duals)
     # At most n_rows / max_part_rows rows; the stored size picks the join.
     large = workspace.save(
         duals.groupBy("part").count().where(F.col("count") > max_part_rows).select("part"),
@@ -340,7 +431,7 @@ def solve_parts(
     big = duals.join(large, "part", "left_semi").select(*duals.columns)
     return _solve_in_tasks(
         small.select(*duals.columns), tasks, p, m, sweeps, scale
-    ).unionByName(_solve_over_tasks(big, p, m, scale, workspace))
+    ).unionByName(over_tasks(big))
 
 
 def coefficients(duals: DataFrame) -> DataFrame:

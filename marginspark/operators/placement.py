@@ -48,8 +48,11 @@ def _number_sorted(
     )
     # A stored table has a measured size, by which Catalyst picks the join.
     offsets = ws.save(offsets, "offsets")
-    place = (F.col("_pos") + F.col("_shift")).alias(name)
-    return pinned.join(offsets, [*keys, "_run"]).select(*df.columns, place)
+    same = pinned["_run"] == offsets["_run"]
+    for key in keys:  # a null key is a key like any other
+        same = same & pinned[key].eqNullSafe(offsets[key])
+    place = (pinned["_pos"] + offsets["_shift"]).alias(name)
+    return pinned.join(offsets, same).select(*[pinned[c] for c in df.columns], place)
 
 
 def global_index(

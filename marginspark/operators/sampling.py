@@ -6,6 +6,8 @@ Every choice is a function of the row id and a seed, so a recomputed task
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,12 +35,23 @@ def bernoulli(df: DataFrame, fraction: float, seed: int) -> DataFrame:
         return df
     if fraction <= 0.0:
         raise ValueError("fraction must be positive")
-    limit = format(int(fraction * 2**32), "08x")
-    return df.where(F.substring(md5_key(seed), 1, 8) < limit)
-
-
-def first_k(df: DataFrame, k: int, seed: int) -> DataFrame:
-    """The ``k`` rows that come first in a seeded order (top-k, no full sort)."""
+    # 13 hex digits are the 52 bits that a double tells apart.
+    limit = format(math.ceil(fraction * 2**52), "013x")
+    return df.where(F.substring(md5_key(seed), 1, 13) < limit)
+
+
+def first_k(df: DataFrame, k: int, seed: int, rows: int | None = None) -> DataFrame:
+    """The ``k`` rows that come first in a seeded order (top-k, no full sort).
+
+    With ``rows``, the number of rows of ``df``, only those are looked at whose
+    key is below a bound that some more than ``k`` rows pass, so that no
+    partition hands over ``k`` rows.  Should fewer pass, all are looked at."""
+    if rows and rows > 4 * k + 200:
+        share = (2 * k + 100) / rows
+        near = bernoulli(df, share, seed)
+        found = near.orderBy(md5_key(seed), "id").limit(k)
+        if found.count() == k:
+            return found
     return df.orderBy(md5_key(seed), "id").limit(k)
 
 

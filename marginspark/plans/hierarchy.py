@@ -97,7 +97,7 @@ def fit_hierarchy(
     policy: str | Policy,
     params: MarginParams = MarginParams(),
     levels: int = 6,
-    sweeps: int | None = 30,
+    sweeps: int | None = None,
     seed: int = 0,
     fraction: float = 0.5,
     n_clusters: int = 200,
@@ -114,7 +114,8 @@ def fit_hierarchy(
     """Train by the named policy from ``base ** levels`` parts downwards.
 
     ``fraction`` is the sample that clustering and landmark selection see.
-    ``sweeps=None`` solves every part to its optimum instead of sweeping.
+    Every part is solved to its optimum, or with ``sweeps`` by at most
+    ``sweeps + 1`` sweeps, which takes long for parts above ``max_part_rows``.
     With ``sink_dir`` history and coefficients are appended there per level.
     """
     name = policy if isinstance(policy, str) else "custom"
@@ -126,6 +127,7 @@ def fit_hierarchy(
     began = time.monotonic()
     points = spread(points.select("id", "x", "y"))
     m, n = check_points(points)
+    max_part_rows = min(max_part_rows, max(1, dual.MAX_PART_CELLS // n))
 
     plan = [(lv, policy.base**lv) for lv in range(levels, policy.last_level - 1, -1)]
     if policy.final_gather:

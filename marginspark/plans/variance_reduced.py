@@ -193,32 +193,22 @@ def block_schedule(
 ) -> list[tuple[int, int, int]]:
     """``(part, first row, row count)`` per round.
 
-    A part is cut into ``blocks`` blocks that are used in order.  A part is left
-    when the next block would reach its end (so its last block is skipped unless
-    there is one block only); a part too small for a block sends the schedule
-    back to part 0.
+    A part of ``length`` rows has blocks of ``size = length // blocks`` rows, of
+    which the first ``max(1, ceil(length / size) - 1)`` are used.  The blocks of
+    the leading parts that have any are taken in order, over and over.
     """
-
-    def size_of(part: int) -> int:
-        return part_sizes[part] // blocks if part < len(part_sizes) else 0
-
-    part, start, size = 0, 0, size_of(0)
-    out = []
-    for _ in range(rounds):
-        if size == 0:
-            raise ValueError(f"part {part} has fewer than {blocks} rows")
-        out.append((part, start, size))
-        start += size
-        if start + size >= part_sizes[part]:
-            part, start = part + 1, 0
-            size = size_of(part)
-            if size == 0:
-                part, size = 0, size_of(0)
-    return out
-
-
-# Rows a part of the block schedule holds unless the caller says otherwise.
-ROWS_PER_PART = 100_000
+    turn: list[tuple[int, int, int]] = []
+    for part, length in enumerate(part_sizes):
+        size = length // blocks
+        if not size:
+            break
+        used = max(1, -(-length // size) - 1)
+        turn += [(part, i * size, size) for i in range(used)]
+        if len(turn) >= rounds:
+            break
+    if not turn:
+        raise ValueError(f"part 0 has fewer than {blocks} rows")
+    return [turn[i % len(turn)] for i in range(rounds)]
 
 
 def fit_block_svrg(
@@ -230,6 +220,7 @@ def fit_block_svrg(
     pull: float = 0.2,
     params: MarginParams = MarginParams(),
     n_parts: int | None = None,
+    rows_per_part: int = 100_000,
     seed: int = 0,
     w0: Sequence[float] | None = None,
     batch_scale: str = "global",
@@ -239,7 +230,9 @@ def fit_block_svrg(
     """Per epoch (at most ``epochs + 1``) a fresh batch is sampled; each round
     takes the batch gradient at the anchor and one pass over the next block,
     with the iterate pulled towards the epoch's start.  ``batch_scale`` divides
-    the gradient by the row count of all data (``global``) or of the batch."""
+    the gradient by the row count of all data (``global``) or of the batch.
+    Without ``n_parts`` a batch has as many parts as hold ``rows_per_part`` rows
+    each; the parts decide which rows a block has."""
     if batch_scale not in ("global", "batch"):
         raise ValueError(f"unknown batch_scale {batch_scale!r}")
     spark = points.sparkSession
@@ -249,7 +242,7 @@ def fit_block_svrg(
         m, n = check_points(points)
         w = _start(n, w0, seed)
         # parts of bounded size, so that a block fits a task at any scale
-        parts = n_parts or max(1, -(-int(m * min(fraction, 1.0)) // ROWS_PER_PART))
+        parts = n_parts or max(1, -(-int(m * min(fraction, 1.0)) // rows_per_part))
         trace: list[tuple] = []
         for epoch in range(epochs + 1):
             sample = sampling.bernoulli(points, fraction, seed + epoch)

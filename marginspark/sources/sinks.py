@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginspark.functions import vectors as V
 
 
+def require_empty(spark: SparkSession, folder: str) -> None:
+    """Raise if ``folder`` holds anything: asked before a job starts, so that no
+    work is lost and no two runs are mixed in one folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path) and len(fs.listStatus(path)):
+        raise FileExistsError(f"{folder} is not empty; choose another output folder")
+
+
 def append_history(history: DataFrame, folder: str) -> None:
     """One row per level: sizes and milliseconds since the start."""
     history.coalesce(1).write.mode("append").parquet(f"{folder}/history")
 
 
 def append_coefs(coefs: DataFrame, folder: str) -> None:
-    """Non-zero coefficients, one folder per level."""
-    coefs.write.mode("append").partitionBy("level").parquet(f"{folder}/coef")
+    """Non-zero coefficients, one folder per level, in the order of id."""
+    coefs.repartitionByRange("id").sortWithinPartitions("id").write.mode("append").partitionBy("level").parquet(f"{folder}/coef")
 
 
 def append_trace(trace: DataFrame, folder: str) -> None:

@@ -22,7 +22,9 @@ def parse_lines(lines: DataFrame, sep: str = ",", width: int | None = None) -> D
     parsed = lines.withColumn(
         "_nums", F.transform(fields, lambda f: F.trim(f).try_cast("double"))
     ).withColumn("_label", F.element_at("_nums", -1))
-    bad_number = F.exists("_nums", lambda v: v.isNull() | F.isnan(v))
+    bad_number = F.exists(
+        "_nums", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    )
     reason = F.when(bad_number, "non-numeric field").when(
         ~F.col("_label").isin(1.0, -1.0), "label is not +1 or -1"
     )
@@ -115,14 +117,20 @@ def dimensions(points: DataFrame) -> DataFrame:
 
 
 def check_points(points: DataFrame) -> tuple[int, int]:
-    """``(m, n)``; raises when there are no rows, vectors differ in length or a
-    label is neither +1 nor -1."""
+    """``(m, n)``; raises when there are no rows, vectors differ in length or are
+    not finite, a label is neither +1 nor -1 or an id is null."""
     good = F.coalesce(F.col("y").isin(1, -1), F.lit(False))
+    number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    finite = F.coalesce(F.forall("x", number), F.lit(False))
     row = points.agg(
         F.count("*").alias("m"),
         F.min(F.size("x")).alias("low"),
         F.max(F.size("x")).alias("high"),
         F.count_if(~good).alias("bad"),
+        F.count_if(~finite).alias("odd"),
+        (F.count_if(F.col("id").isNull()) if "id" in points.columns else F.lit(0)).alias(
+            "nameless"
+        ),
     ).first()
     if not row["m"]:
         raise ValueError("no points")
@@ -130,4 +138,8 @@ def check_points(points: DataFrame) -> tuple[int, int]:
         raise ValueError(f"vector lengths differ: {row['low']} to {row['high']}")
     if row["bad"]:
         raise ValueError(f"{row['bad']} labels are neither +1 nor -1")
+    if row["odd"]:
+        raise ValueError(f"{row['odd']} vectors are not finite")
+    if row["nameless"]:
+        raise ValueError(f"{row['nameless']} rows have no id")
     return row["m"], row["high"]

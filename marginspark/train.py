@@ -28,12 +28,13 @@ def arguments() -> argparse.ArgumentParser:
         "--job", default="distribution_aware", choices=[*POLICIES, *GRADIENT_JOBS]
     )
     p.add_argument("--separator", default=",")
+    p.add_argument("--width", type=int, help="fields per line; the most frequent if left out")
     p.add_argument("--seed", type=int, default=0)
     for name, default in vars(MarginParams()).items():
         p.add_argument(f"--{name}", type=float, default=default)
     h = p.add_argument_group("hierarchical jobs")
     h.add_argument("--levels", type=int, default=6)
-    h.add_argument("--sweeps", type=int, default=30, help="negative: to the optimum")
+    h.add_argument("--sweeps", type=int, default=-1, help="negative: to the optimum")
     h.add_argument("--fraction", type=float, default=0.5)
     h.add_argument("--clusters", type=int, default=200)
     h.add_argument("--landmarks", type=int, default=50)
@@ -50,8 +51,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = arguments().parse_args(argv)
     spark = spark or SparkSession.builder.appName("marginspark").getOrCreate()
     params = MarginParams(**{name: getattr(a, name) for name in vars(MarginParams())})
+    sinks.require_empty(spark, a.output)
     ws = Workspace(spark)
-    points, rejected = read_points(spark, a.input, a.separator, workspace=ws)
+    points, rejected = read_points(spark, a.input, a.separator, a.width, ws)
     rejected.write.mode("overwrite").parquet(f"{a.output}/rejected")
     common = {"params": params, "seed": a.seed, "workspace": ws}
     if a.job in POLICIES:

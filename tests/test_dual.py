@@ -57,7 +57,7 @@ def test_dual_value_never_rises():
 def test_single_part_dual_equals_primal_optimum(spark, ws, blob_points, split):
     X, y = blobs()
     solved = dual.solve_parts(
-        dual.zero_duals(blob_points), MarginParams(tol=1e-12), 200, 5000, 1, ws,
+        dual.zero_duals(blob_points), MarginParams(tol=1e-12), 200, None if split else 5000, 1, ws,
         max_part_rows=0 if split else 1000,
     ).cache()
     w = primal.to_vector(primal.recover_weights(solved, 3), 3)
@@ -78,7 +78,7 @@ def test_large_and_small_parts_side_by_side(spark, ws):
     state = dual.zero_duals(points)
     sizes = dual.part_sizes(state, 200)
     assert (sizes.n_parts, sizes.n_rows, sizes.n_split_parts) == (3, 600, 1)
-    mixed = dual.solve_parts(state, sharp, 6000, 4000, 3, ws, max_part_rows=200)
+    mixed = dual.solve_parts(state, sharp, 6000, None, 3, ws, max_part_rows=200)
     whole = dual.solve_parts(state, sharp, 6000, 4000, 3, ws, max_part_rows=10_000)
     a, b = sorted_state(mixed), sorted_state(whole)
     assert len(a) == 600
@@ -87,6 +87,22 @@ def test_large_and_small_parts_side_by_side(spark, ws):
     assert (a["slot"] == b["slot"]).all() and (a["part"] == b["part"]).all()
 
 
+@pytest.mark.parametrize("scale", ["global", "local"])
+@pytest.mark.parametrize("sweeps", [0, 1, 5, None])
+def test_the_limit_does_not_change_the_answer(spark, ws, sweeps, scale):
+    X, y = blobs(260)
+    points = frame(spark, X, y).withColumn("part", F.when(F.col("id") < 160, 0).otherwise(1))
+    state = dual.zero_duals(points).withColumn("zeta", F.lit(0.01))
+    runs = [
+        sorted_state(dual.solve_parts(state, P, 260, sweeps, 2, ws, scale, max_part_rows=limit))
+        for limit in (70, 120, 1000)
+    ]
+    for got in runs[:2]:
+        np.testing.assert_allclose(got["zeta"], runs[2]["zeta"], atol=1e-6 if sweeps is None else 1e-11)
+        np.testing.assert_allclose(got["beta"], runs[2]["beta"], atol=1e-6 if sweeps is None else 1e-11)
+        assert (got["slot"] == runs[2]["slot"]).all()
+
+
 def test_warm_start_and_local_scale_over_many_tasks(spark, ws):
     X, y = blobs(120)
     points = frame(spark, X, y).withColumn("part", (F.col("id") % 2).cast("int"))
@@ -95,7 +111,7 @@ def test_warm_start_and_local_scale_over_many_tasks(spark, ws):
     )
     sharp = MarginParams(tol=1e-13)
     got = sorted_state(
-        dual.solve_parts(state, sharp, 120, 9, 2, ws, scale="local", max_part_rows=0)
+        dual.solve_parts(state, sharp, 120, None, 2, ws, scale="local", max_part_rows=0)
     )
     for part in (0, 1):
         at = np.arange(120) % 2 == part

@@ -97,7 +97,7 @@ def test_merge_modes_keep_all_rows(spark, ws, blob_points, merge):
 def test_only_the_result_stays_stored(spark, ws, blob_points, tmp_path):
     """The last level, and the coefficients of all levels."""
     fit_hierarchy(
-        blob_points, "stratified_cascade", P, workspace=ws, max_part_rows=60, **SHAPE
+        blob_points, "stratified_cascade", P, workspace=ws, max_part_rows=60, **{**SHAPE, "sweeps": None}
     )
     names = sorted(
         f.parent.name.split("-", 1)[1] for f in tmp_path.rglob("_SUCCESS")

@@ -66,3 +66,13 @@ def test_stratified_draws_keep_the_shares(spark, ws, keyed):
     want = np.ceil(sizes * 100 / 900).astype(int)
     assert draws.groupby("cid").size().to_dict() == want.to_dict()
     assert sorted(draws["step"]) == list(range(int(want.sum())))
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_null_keys_are_numbered_too(spark, ws, limit):
+    rows = [(i, None if i % 3 else i % 2) for i in range(40)]
+    keyed = spark.createDataFrame(rows, "id bigint, key int").repartition(4)
+    got = placement.local_index(keyed, "key", workspace=ws, max_window_rows=limit).toPandas()
+    assert len(got) == 40
+    for _, own in got.groupby("key", dropna=False):
+        assert own.sort_values("id")["slot"].tolist() == list(range(len(own)))

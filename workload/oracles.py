@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from marginspark.params import MarginParams
 from workload import fixtures as fx
 from workload.queries import K, PARTS, SEED
@@ -370,6 +372,7 @@ first_part AS (SELECT s, row_number() OVER (ORDER BY id) - 1 AS slot,
 
 ORACLES: dict[str, str] = {
     "dual_two_sweeps": levels([fx.ORDERS_SQL], split(PARTS), [PARTS], 2, False),
+    "dual_two_sweeps_split": levels([fx.ORDERS_SQL], split(PARTS), [PARTS], 2, False),
     "random_two_levels": levels([fx.ORDERS_SQL], split(81), [81, 27], 1, False),
     "cascade_four_levels": levels([fx.EMBEDDINGS_SQL], split(8), [8, 4, 2, 1], 2, True),
     "divide_conquer_three_levels": clustered_levels(2, 2),
@@ -443,7 +446,7 @@ SELECT id, {r6("(k1 * k1 - 2 * q * k1 * k2 + k2 * k2) / (1 - q * q)")} AS score
         fx.EMBEDDINGS_SQL, "list_inner_product(p.x, c.cx)"
     ),
     "md5_sample": with_(fx.ORDERS_SQL) + f"""
-SELECT id, y FROM pts WHERE substr({key()}, 1, 8) < '{int(0.3 * 2**32):08x}'""",
+SELECT id, y FROM pts WHERE substr({key()}, 1, 13) < '{math.ceil(0.3 * 2**52):013x}'""",
     "first_k": with_(fx.ORDERS_SQL) + f"""
 SELECT id, y FROM pts ORDER BY {key()}, id LIMIT 20""",
     "random_split": with_(fx.ORDERS_SQL, SPLIT) + "SELECT id, part FROM split",
@@ -453,6 +456,16 @@ SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM pts""",
 SELECT id, part, slot FROM indexed""",
     "local_index_hot_key": with_(fx.ORDERS_SQL) + """
 SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY id) - 1 AS slot FROM pts""",
+    "local_index_null_key": with_(fx.ORDERS_SQL) + """
+SELECT id, nullif(y, 1)::varchar AS key,
+       row_number() OVER (PARTITION BY nullif(y, 1) ORDER BY id) - 1 AS slot FROM pts""",
+    "text_round_trip": with_(fx.ORDERS_SQL) + f"""
+SELECT count(*) AS n, count(*) - 1 AS last_id, count(*) AS ids, sum(y)::bigint AS labels,
+       {r6("sum(x[1])")} AS x0, {r6("sum(x[2])")} AS x1, {r6("sum(x[3])")} AS x2,
+       {r6("sum(x[4])")} AS x3, 0::bigint AS rejected
+FROM pts""",
+    "coefficient_sink": with_(fx.ORDERS_SQL, fx.DUALS_SQL) + f"""
+SELECT id, {r6("y * (zeta - beta)")} AS coef FROM duals WHERE y * (zeta - beta) <> 0""",
     "stratified_deal": dealt("0"),
     "stratified_deal_rotated": dealt("cid"),
     "merge_deal": with_(fx.ORDERS_SQL, SPLIT, INDEXED) + f"""

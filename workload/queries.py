@@ -14,7 +14,7 @@ from marginspark.operators import clustering as C
 from marginspark.operators import dual, placement, primal, sampling
 from marginspark.params import MarginParams
 from marginspark.plans import hierarchy, variance_reduced
-from marginspark.sources import text
+from marginspark.sources import sinks, text
 from marginspark.workspace import Workspace
 from workload import fixtures as fx
 
@@ -292,6 +292,13 @@ def local_index_hot_key(spark, sf_dir):
     ).select("id", "y", "slot")
 
 
+@query
+def local_index_null_key(spark, sf_dir):
+    """A key that is null for a third of the rows, on the distributed path."""
+    rows = fx.orders(spark, sf_dir).withColumn("key", F.nullif(F.col("y"), F.lit(1)).cast("string"))
+    return placement.local_index(rows, "key", max_window_rows=0).select("id", "key", "slot")
+
+
 @query
 def stratified_deal(spark, sf_dir):
     dealt = placement.stratified_deal(_clustered(spark, sf_dir), "cid", PARTS)
@@ -386,7 +393,7 @@ def split_part_optimality(spark, sf_dir):
     points = placement.random_split(fx.orders(spark, sf_dir), 3, SEED)
     m = points.count()
     solved = dual.solve_parts(
-        dual.zero_duals(points), PARAMS, m, 30, 3, Workspace(spark), max_part_rows=0
+        dual.zero_duals(points), PARAMS, m, None, 3, Workspace(spark), max_part_rows=0
     )
     s = dual.gram_product(solved).select("id", F.col("product").alias("s"))
     c = PARAMS.ridge(m)
@@ -412,6 +419,17 @@ def dual_two_sweeps(spark, sf_dir):
     return _state(solved)
 
 
+@query
+def dual_two_sweeps_split(spark, sf_dir):
+    """The same sweeps with every part cut into segments over several tasks."""
+    points = placement.random_split(fx.orders(spark, sf_dir), PARTS, SEED)
+    solved = dual.solve_parts(
+        dual.zero_duals(points), PARAMS, points.count(), 1, PARTS, Workspace(spark),
+        max_part_rows=max(1, points.count() // PARTS // 3),
+    )
+    return _state(solved)
+
+
 def _state(duals):
     return duals.select(
         "id", "part", "slot",
@@ -533,9 +551,38 @@ def _fit(spark, sf_dir, policy, **kw):
     )
 
 
+@query
+def text_round_trip(spark, sf_dir):
+    """The orders as delimited text, written, read and parsed again."""
+    lines = fx.orders(spark, sf_dir).select(
+        F.concat_ws(",", F.slice("x", 1, F.size("x") - 1), F.col("y").cast("string"))
+    )
+    ws = Workspace(spark)
+    path = f"{ws.root}/text"
+    lines.write.text(path)
+    points, rejected = text.read_points(spark, path, workspace=ws)
+    sums = points.agg(
+        F.count("*").alias("n"),
+        F.max("id").alias("last_id"),
+        F.count_distinct("id").alias("ids"),
+        F.sum("y").alias("labels"),
+        *[r6(F.sum(F.col("x")[j])).alias(f"x{j}") for j in range(4)],
+    )
+    return sums.withColumn("rejected", F.lit(rejected.count()).cast("bigint"))
+
+
+@query
+def coefficient_sink(spark, sf_dir):
+    """Signed coefficients written to the sink and read back."""
+    ws = Workspace(spark)
+    coefs = signed_coef(spark, sf_dir).select("id", "coef").withColumn("level", F.lit(3))
+    sinks.append_coefs(coefs, ws.root)
+    return spark.read.parquet(f"{ws.root}/coef").select("id", "coef")
+
+
 @query
 def fit_dc(spark, sf_dir):
-    return _fit(spark, sf_dir, "divide_conquer", levels=3, fraction=0.1).coef
+    return _fit(spark, sf_dir, "divide_conquer", levels=4, fraction=0.1).coef
 
 
 @query
