@@ -254,16 +254,16 @@ class Model:
 
 
 class PieceEncoder(ChunkMemory):
-    """Ids of texts by a model, each distinct chunk encoded once."""
+    """Ids of texts by a model, each distinct chunk encoded once; a text has a
+    blank put before it."""
+
+    prefix = b" "
+    fine = False
 
     def __init__(self, model: Model) -> None:
         self.model = model
         self._tables()
 
-    def _is_whole(self, text: str) -> bool:
-        # A run of blanks is spelled by pieces of its own.
-        return "  " in text or text[:1] in (" ", "\n") or text[-1:] == " " or " \n" in text
-
     @staticmethod
     def _raw(text: str) -> bytes:
         return text.replace(" ", MARKER).encode("utf-8", "surrogatepass")
@@ -272,13 +272,8 @@ class PieceEncoder(ChunkMemory):
         ids, sizes = self.model.viterbi([self._raw(" " + t) if t else b"" for t in texts])
         return np.split(ids, np.cumsum(sizes)[:-1])
 
-    def _codes(self, text: str, fine: bool) -> np.ndarray:
-        """All chunks start with their blank, the first with the added one."""
-        parts = text.replace("\n", " \n").split(" ") if text else []
-        return np.fromiter(map(self.coarse.__getitem__, parts), np.int64, len(parts))
-
-    def _new_ids(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.model.viterbi([self._raw(c) for c in self.waiting])
+    def _new_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.model.viterbi([self._raw(c) for c in chunks])
 
 
 _encoders: dict[int, PieceEncoder] = {}

@@ -13,158 +13,244 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
 
 from marginspark.llm.batches import ragged
 
-#: A worker remembers chunks up to this number and this length.
-MAX_CHUNKS = 200_000
-MAX_CHARS = 40
+#: A worker remembers chunks up to this number and this length in bytes.
+MAX_CHUNKS = 450_000
+MAX_BYTES = 40
 #: When it is full, chunks met less often than this are forgotten.
 FEW = 3
 #: A character of the private area that sets new chunks apart in one call.
 MARK = "\ue000"
 _TOUCHING = re.compile(r"\s\s")
-
-
-class _Chunks(dict):
-    """Chunk to number, in order of first sight; new ones wait to be encoded."""
-
-    def __init__(self, encoder: ChunkMemory, lead: str, own: tuple[str, ...]) -> None:
-        super().__init__()
-        self.encoder, self.lead, self.own = encoder, lead, own
-
-    def __missing__(self, chunk: str) -> int:
-        e = self.encoder
-        code = e.known + len(e.waiting)
-        self[chunk] = code
-        e.waiting.append(chunk if chunk[:1] in self.own else self.lead + chunk)
-        if len(chunk) > MAX_CHARS:
-            e.passing.append((self, chunk))
-        return code
-
-
-def _closes(chunk: str) -> bool:
-    """Whether a chunk ends with a letter or digit, in lower case too."""
-    if not chunk.isascii():
-        chunk = unicodedata.normalize("NFC", chunk).lower()
-    return chunk[-1:].isalnum()
+#: Bytes of text that are split at once.
+_SLICE = 1 << 19
+_WEIGHTS = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * 2 + 1
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
 
 
 class ChunkMemory:
     """Ids of texts through a bounded memory of their chunks.  What a chunk's
-    ids are is said by ``_new_ids``; what texts have no chunks by ``_is_whole``."""
+    ids are is said by ``_new_ids``, and what comes before each text by
+    ``prefix``.  The texts are split as bytes, all at once; chunks are looked up
+    by a hash in an open table and compared byte by byte."""
+
+    prefix = b""
+    #: Whether commas and stops start chunks.
+    fine = True
 
     def _tables(self) -> None:
-        self.known, self.used = 0, 0
-        self.waiting: list[str] = []
-        self.passing: list[tuple[_Chunks, str]] = []
-        self.first = _Chunks(self, "", ())
-        self.fine = _Chunks(self, " ", ("\n", ",", "."))
-        self.coarse = _Chunks(self, " ", ("\n",))
-        self.flat = np.zeros(1 << 16, np.int32)
-        rows = 1 << 14
-        self.starts, self.sizes = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        self.hits, self.opens, self.closes = (
-            np.zeros(rows, np.int64), np.zeros(rows, bool), np.zeros(rows, bool)
-        )
-
-    def _is_whole(self, text: str) -> bool:
-        return bool(_TOUCHING.search(text))
+        self.known = 0
+        self.hash = np.zeros(1 << 14, np.uint64)
+        for name in ("length", "hits", "at", "start", "size"):
+            setattr(self, name, np.zeros(1 << 14, np.int32))
+        self.bytes, self.n_bytes = np.zeros(1 << 17, np.uint8), 0
+        self.flat, self.n_flat = np.zeros(1 << 16, np.int32), 0
+        self.slots = np.full(1 << 15, -1, np.int32)
 
     def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of whole texts."""
         raise NotImplementedError
 
-    def _new_ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the waiting chunks in their order, and how many each has."""
+    def _new_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks in their order, and how many each has."""
         raise NotImplementedError
 
-    def _learn(self) -> None:
-        if not self.waiting:
-            return
-        flat, sizes = self._new_ids()
-        total, count = self.used + len(flat), self.known + len(sizes)
-        while total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while count > len(self.sizes):
-            for name in ("starts", "sizes", "hits", "opens", "closes"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+    # --- the table
+
+    def _room(self, names: tuple[str, ...], need: int) -> None:
+        for name in names:
+            old = getattr(self, name)
+            while need > len(old):
+                old = np.concatenate([old, np.zeros_like(old)])
+            setattr(self, name, old)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - len(self.slots).bit_length() + 1)).astype(np.int64)
+
+    def _find(self, h: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 if there is none."""
+        found = np.full(len(h), -1, np.int64)
+        open_, slot = np.arange(len(h)), self._slot(h)
+        while len(open_):
+            code = self.slots[slot].astype(np.int64)
+            same = (code >= 0) & (self.hash[code] == h[open_]) & (self.length[code] == length[open_])
+            found[open_[same]] = code[same]
+            on = (code >= 0) & ~same
+            open_, slot = open_[on], (slot[on] + 1) & (len(self.slots) - 1)
+        return found
+
+    def _insert(self, codes: np.ndarray) -> None:
+        if 2 * self.known > len(self.slots):
+            while 2 * self.known > len(self.slots):
+                self.slots = np.full(2 * len(self.slots), -1, np.int32)
+            codes = np.arange(self.known)
+        slot = self._slot(self.hash[codes])
+        while len(codes):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            taken, first = np.unique(slot[free], return_index=True)
+            self.slots[taken] = codes[free[first]]
+            left = np.ones(len(codes), bool)
+            left[free[first]] = False
+            codes, slot = codes[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def _add(self, buf, starts, length, h, keep: int) -> np.ndarray:
+        """Learn the chunks at ``starts``; the first ``keep`` of them stay."""
+        raw = buf.tobytes()
+        chunks = [
+            raw[a : a + n].decode("utf-8", "surrogatepass")
+            for a, n in zip(starts.tolist(), length.tolist())
+        ]
+        flat, sizes = self._new_ids(chunks)
+        count, total = self.known + len(chunks), self.n_flat + len(flat)
+        self._room(("hash", "length", "hits", "at", "start", "size"), count)
+        self._room(("flat",), total)
         new = slice(self.known, count)
-        self.flat[self.used : total] = flat
-        self.starts[new] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[new], self.hits[new] = sizes, 0
-        self.opens[new] = [c[:1] in (",", ".") for c in self.waiting]
-        self.closes[new] = [_closes(c) for c in self.waiting]
-        self.waiting.clear()
-        self.known, self.used = count, total
-
-    def _settle(self, met: np.ndarray) -> None:
-        """Forget what is too long and, when full, what is met seldom."""
-        for chunks, chunk in self.passing:
-            del chunks[chunk]
-        self.passing.clear()
-        self.hits[: self.known] += np.bincount(met, minlength=self.known)
-        if self.known < MAX_CHUNKS:
-            return
-        stay = self.hits[: self.known] >= FEW
-        if 2 * stay.sum() > MAX_CHUNKS:
-            stay[:] = False
-        number = np.cumsum(stay) - 1
-        for chunks in (self.first, self.fine, self.coarse):
-            left = [(c, number[i]) for c, i in chunks.items() if stay[i]]
-            chunks.clear()
-            chunks.update(left)
-        starts, sizes = self.starts[: self.known][stay], self.sizes[: self.known][stay]
-        flat = ragged(self.flat, starts, sizes)
-        self.flat[: len(flat)], self.used, self.known = flat, len(flat), len(starts)
-        now = slice(0, self.known)
-        self.starts[now], self.sizes[now], self.hits[now] = np.cumsum(sizes) - sizes, sizes, 0
-        self.opens[now] = self.opens[: len(stay)][stay]
-        self.closes[now] = self.closes[: len(stay)][stay]
-
-    def _codes(self, text: str, fine: bool) -> np.ndarray:
-        parts = text.replace("\n", " \n")
-        if fine:
-            parts = parts.replace(",", " ,").replace(".", " .")
-        head, *tail = parts.split(" ")
-        codes = np.empty(len(tail) + 1, np.int64)
-        codes[0] = self.first[head]
-        code = (self.fine if fine else self.coarse).__getitem__
-        codes[1:] = np.fromiter(map(code, tail), np.int64, len(tail))
+        self.hash[new], self.length[new], self.hits[new] = h, length, 0
+        self.start[new], self.size[new] = self.n_flat + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.n_flat : total] = flat
+        codes = np.arange(self.known, count)
+        stay = slice(0, keep)
+        own = ragged(buf, starts[stay], length[stay])
+        self._room(("bytes",), self.n_bytes + len(own))
+        self.bytes[self.n_bytes : self.n_bytes + len(own)] = own
+        self.at[codes[stay]] = self.n_bytes + np.cumsum(length[stay]) - length[stay]
+        self.n_bytes += len(own)
+        self.known += keep
+        self.n_flat += int(sizes[stay].sum())
+        self._insert(codes[stay])
         return codes
 
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        none = np.zeros(0, np.int64)
-        whole = [r for r, text in enumerate(texts) if self._is_whole(text)]
-        skip = set(whole)
-        codes = [none if r in skip else self._codes(t, True) for r, t in enumerate(texts)]
-        self._learn()
-        for row, own in enumerate(codes):
-            # A comma or stop after anything but a letter or digit: not a cut.
-            if (self.opens[own[1:]] & ~self.closes[own[:-1]]).any():
-                codes[row] = self._codes(texts[row], False)
-        self._learn()
-        counts = np.fromiter(map(len, codes), np.int64, len(codes))
-        every = np.concatenate(codes) if codes else none
-        sizes = self.sizes[every]
-        ids = ragged(self.flat, self.starts[every], sizes)
-        self._settle(every)
-        sums = np.concatenate([[0], np.cumsum(sizes)])
-        ends = np.cumsum(counts)
-        lengths = sums[ends] - sums[ends - counts]
-        if whole:
+    def _forget(self) -> None:
+        """When the table is full: what was met seldom goes."""
+        if self.known < MAX_CHUNKS:
+            return
+        stay = np.flatnonzero(self.hits[: self.known] >= FEW)
+        if 2 * len(stay) > MAX_CHUNKS:
+            return self._tables()
+        h, length, size = self.hash[stay], self.length[stay], self.size[stay]
+        own = ragged(self.bytes, self.at[stay].astype(np.int64), length.astype(np.int64))
+        flat = ragged(self.flat, self.start[stay].astype(np.int64), size.astype(np.int64))
+        slots = len(self.slots)
+        self._tables()
+        self.known, self.n_bytes, self.n_flat = len(stay), len(own), len(flat)
+        self._room(("hash", "length", "hits", "at", "start", "size"), len(stay))
+        self._room(("bytes",), len(own))
+        self._room(("flat",), len(flat))
+        self.hash[: len(stay)], self.length[: len(stay)], self.size[: len(stay)] = h, length, size
+        self.at[: len(stay)], self.start[: len(stay)] = np.cumsum(length) - length, np.cumsum(size) - size
+        self.bytes[: len(own)], self.flat[: len(flat)] = own, flat
+        self.slots = np.full(slots, -1, np.int32)
+        self._insert(np.arange(self.known))
+
+    # --- texts
+
+    def _split(self, buf: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where chunks start."""
+        cut = (buf == 32) | (buf == 10)
+        if self.fine:
+            cut[1:] |= ((buf[1:] == 44) | (buf[1:] == 46)) & _ALNUM[buf[:-1]]
+        cut[begins] = True
+        return np.flatnonzero(cut)
+
+    def _whole(self, texts: Sequence[str], buf: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Which texts have white space that touches white space."""
+        blank = (buf == 32) | ((buf >= 9) & (buf <= 13)) | ((buf >= 28) & (buf <= 31))
+        # Other white space starts with one of these bytes; such texts are looked
+        # at one by one.
+        odd = np.isin(buf, (0xC2, 0xE1, 0xE2, 0xE3))
+        touch = np.zeros(len(buf), bool)
+        touch[1:] = blank[1:] & blank[:-1]
+        touch[begins] = False
+        whole = np.add.reduceat(touch, begins) > 0
+        for row in np.flatnonzero(~whole & (np.add.reduceat(odd, begins) > 0)):
+            whole[row] = _TOUCHING.search(texts[row]) is not None
+        return whole
+
+    def _piece(self, texts: Sequence[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are not empty."""
+        buf = np.frombuffer(b"".join(raw), np.uint8)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        begins = np.cumsum(sizes) - sizes
+        whole = self._whole(texts, buf, begins)
+        starts = self._split(buf, begins)
+        text_of = np.searchsorted(begins, starts, side="right") - 1
+        length = np.diff(np.append(starts, len(buf)))
+        inside = np.arange(len(buf), dtype=np.int64) - np.repeat(starts, length)
+        weighed = (buf.astype(np.uint64) + np.uint64(1)) * _WEIGHTS[np.minimum(inside, 63)]
+        h = np.add.reduceat(weighed, starts)
+        del weighed
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        short = length <= MAX_BYTES
+        code = np.full(len(starts), -1, np.int64)
+        code[short] = self._find(h[short], length[short])
+        # Equal hashes are not enough: an entry's bytes must be the chunk's.
+        at = np.where(code >= 0, self.at[code], 0).astype(np.int64)
+        known = np.repeat(code >= 0, length)
+        entry = np.where(known, inside + np.repeat(at, length), 0)
+        differs = np.add.reduceat((self.bytes[entry] != buf) & known, starts) > 0
+        del entry, known, inside
+        code[differs] = -1
+        asked = (code < 0) & ~whole[text_of]
+        new = np.flatnonzero(asked & short & ~differs)
+        _, first, own = np.unique(h[new], return_index=True, return_inverse=True)
+        lead = new[first]
+        # New chunks of one hash: those whose bytes are not the first one's are
+        # encoded by themselves, as long ones are.
+        mate = lead[own]
+        same = length[new] == length[mate]
+        at_new = ragged(buf, starts[new[same]], length[new[same]])
+        at_mate = ragged(buf, starts[mate[same]], length[mate[same]])
+        if len(at_new):
+            runs = np.cumsum(length[new[same]]) - length[new[same]]
+            unlike = np.add.reduceat(at_new != at_mate, runs) > 0
+            same[np.flatnonzero(same)[unlike]] = False
+        alone = np.concatenate([np.flatnonzero(asked & (~short | differs)), new[~same]])
+        learn = np.concatenate([lead, alone])
+        if len(learn):
+            codes = self._add(buf, starts[learn], length[learn], h[learn], len(lead))
+            code[new[same]] = codes[: len(lead)][own[same]]
+            code[alone] = codes[len(lead) :]
+        code[whole[text_of]] = 0
+        size = np.where(whole[text_of], 0, self.size[code]).astype(np.int64)
+        ids = ragged(self.flat, self.start[code].astype(np.int64), size)
+        self.hits[: self.known] += np.bincount(
+            code[(code < self.known) & (size > 0)], minlength=self.known
+        )[: self.known]
+        self._forget()
+        lengths = np.bincount(text_of, weights=size, minlength=len(raw)).astype(np.int64)
+        rows = np.flatnonzero(whole)
+        if len(rows):
             runs = np.split(ids, np.cumsum(lengths)[:-1])
-            for row, found in zip(whole, self._ids([texts[r] for r in whole])):
+            for row, found in zip(rows, self._ids([texts[r] for r in rows])):
                 runs[row] = found
             ids = np.concatenate(runs)
             lengths = np.fromiter(map(len, runs), np.int64, len(runs))
         return ids, lengths
 
+    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.zeros(len(texts), np.int64)
+        found = [np.zeros(0, np.int32)]
+        rows: list[int] = []
+        raw: list[bytes] = []
+        held = 0
+        for row, text in enumerate(texts):
+            if text:
+                rows.append(row)
+                raw.append(self.prefix + text.encode("utf-8", "surrogatepass"))
+                held += len(raw[-1])
+            if rows and (held >= _SLICE or row == len(texts) - 1):
+                ids, sizes = self._piece([texts[r] for r in rows], raw)
+                found.append(ids)
+                lengths[rows] = sizes
+                rows, raw, held = [], [], 0
+        return np.concatenate(found), lengths
+
 
 class Encoder(ChunkMemory):
     """``encode(texts)`` gives the ids of all texts in a row and each text's
@@ -221,10 +307,9 @@ class Encoder(ChunkMemory):
         ids = self._ids(chunks)
         return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    def _new_ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the waiting chunks in their order, and how many each has."""
+    def _new_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         kinds: tuple[list[int], ...] = ([], [], [])
-        for i, c in enumerate(self.waiting):
+        for i, c in enumerate(chunks):
             if c[:1] == " " and c[1:].isalpha():
                 kinds[0].append(i)
             else:
@@ -233,8 +318,8 @@ class Encoder(ChunkMemory):
         flats, sizes = [], []
         for kind, some in enumerate(kinds):
             for at in range(0, len(some), 20_000):
-                chunks = [self.waiting[i] for i in some[at : at + 20_000]]
-                found = next(f for way in ways[kind:] if (f := way(chunks)) is not None)
+                own = [chunks[i] for i in some[at : at + 20_000]]
+                found = next(f for way in ways[kind:] if (f := way(own)) is not None)
                 flats.append(found[0])
                 sizes.append(found[1])
         flat, size = np.concatenate(flats), np.concatenate(sizes)

@@ -90,7 +90,7 @@ def test_token_store_shards_blocks_and_unknown_keys(spark):
     assert got.start.tolist() == (got.n_tokens.cumsum() - got.n_tokens).tolist()
     want = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
     ids = ids_of("word_bpe_49k.json", [t for _, t in want], 2)
-    assert [np.frombuffer(x, "<u2").tolist() for x in got.ids] == ids
+    assert [np.frombuffer(x, "<u4").tolist() for x in got.ids] == ids
     assert [None if np.isnan(x) else x for x in got.doc_id] == [i for i, _ in want]
 
 
