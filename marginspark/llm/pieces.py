@@ -160,7 +160,7 @@ class Model:
                 spelled.append(b"" if kind == CONTROL else piece.replace(MARKER, " ").encode())
         if (self.byte_ids < 0).any():
             raise ValueError("the file has no byte pieces to fall back to")
-        inner = [p for i in plain if MARKER in (p := pieces[i][0].lstrip(MARKER)) or "\n" in p[1:]]
+        inner = [p for i in plain if MARKER in (p := pieces[i][0].lstrip(MARKER)) or "\n" in p]
         if inner:
             raise ValueError(f"pieces reach over white space: {inner[:3]}")
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)

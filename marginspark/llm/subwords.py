@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from string import ascii_letters
 
 import numpy as np
 
@@ -30,8 +31,15 @@ _TOUCHING = re.compile(r"\s\s")
 #: Bytes of text that are split at once.
 _SLICE = 1 << 19
 _WEIGHTS = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * 2 + 1
-_ALNUM = np.zeros(256, bool)
-_ALNUM[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
+#: What a byte is: white space, start of a chunk, start of a chunk after a letter
+#: or digit, ASCII letter or digit, first byte of other white space.
+_BLANK, _START, _AFTER, _ALNUM, _ODD = 1, 2, 4, 8, 16
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = _ALNUM
+_KIND[[*range(9, 14), *range(28, 33)]] = _BLANK
+_KIND[[10, 32]] |= _START
+_KIND[[*b",."]] = _AFTER
+_KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = _ODD
 
 
 class ChunkMemory:
@@ -150,25 +158,28 @@ class ChunkMemory:
 
     # --- texts
 
-    def _split(self, buf: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    def _split(self, buf: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Where chunks start."""
-        cut = (buf == 32) | (buf == 10)
+        cut = (kind & _START) > 0
+        cut[1:] |= buf[:-1] == 10
         if self.fine:
-            cut[1:] |= ((buf[1:] == 44) | (buf[1:] == 46)) & _ALNUM[buf[:-1]]
+            closes = kind == _ALNUM
+            # Letters of two bytes that start with C3, but for the two signs there.
+            closes[1:] |= (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+            cut[1:] |= (kind[1:] == _AFTER) & closes[:-1]
         cut[begins] = True
         return np.flatnonzero(cut)
 
-    def _whole(self, texts: Sequence[str], buf: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    def _whole(self, texts: Sequence[str], kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Which texts have white space that touches white space."""
-        blank = (buf == 32) | ((buf >= 9) & (buf <= 13)) | ((buf >= 28) & (buf <= 31))
-        # Other white space starts with one of these bytes; such texts are looked
-        # at one by one.
-        odd = np.isin(buf, (0xC2, 0xE1, 0xE2, 0xE3))
-        touch = np.zeros(len(buf), bool)
-        touch[1:] = blank[1:] & blank[:-1]
-        touch[begins] = False
-        whole = np.add.reduceat(touch, begins) > 0
-        for row in np.flatnonzero(~whole & (np.add.reduceat(odd, begins) > 0)):
+        whole = np.zeros(len(texts), bool)
+        blank = (kind & _BLANK) > 0
+        touch = np.flatnonzero(blank[1:] & blank[:-1]) + 1
+        of = np.searchsorted(begins, touch, side="right") - 1
+        whole[of[touch > begins[of]]] = True
+        # Texts that may hold other white space are looked at one by one.
+        odd = np.unique(np.searchsorted(begins, np.flatnonzero(kind == _ODD), side="right") - 1)
+        for row in odd[~whole[odd]]:
             whole[row] = _TOUCHING.search(texts[row]) is not None
         return whole
 
@@ -177,24 +188,30 @@ class ChunkMemory:
         buf = np.frombuffer(b"".join(raw), np.uint8)
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         begins = np.cumsum(sizes) - sizes
-        whole = self._whole(texts, buf, begins)
-        starts = self._split(buf, begins)
+        kind = _KIND[buf]
+        whole = self._whole(texts, kind, begins)
+        starts = self._split(buf, kind, begins)
         text_of = np.searchsorted(begins, starts, side="right") - 1
         length = np.diff(np.append(starts, len(buf)))
-        inside = np.arange(len(buf), dtype=np.int64) - np.repeat(starts, length)
-        weighed = (buf.astype(np.uint64) + np.uint64(1)) * _WEIGHTS[np.minimum(inside, 63)]
-        h = np.add.reduceat(weighed, starts)
-        del weighed
+        # Place of each byte in its chunk, and the entry's byte to compare with.
+        inside = np.arange(len(buf), dtype=np.int32)
+        inside -= np.repeat(starts.astype(np.int32), length)
+        weight = _WEIGHTS[np.minimum(inside, 63)]
+        weight *= buf + np.uint64(1)
+        h = np.add.reduceat(weight, starts)
+        del weight
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         short = length <= MAX_BYTES
         code = np.full(len(starts), -1, np.int64)
         code[short] = self._find(h[short], length[short])
         # Equal hashes are not enough: an entry's bytes must be the chunk's.
-        at = np.where(code >= 0, self.at[code], 0).astype(np.int64)
-        known = np.repeat(code >= 0, length)
-        entry = np.where(known, inside + np.repeat(at, length), 0)
-        differs = np.add.reduceat((self.bytes[entry] != buf) & known, starts) > 0
-        del entry, known, inside
+        inside += np.repeat(np.where(code >= 0, self.at[code], -(1 << 30)), length)
+        np.maximum(inside, 0, out=inside)
+        unlike = np.flatnonzero(self.bytes[inside] != buf)
+        differs = np.zeros(len(starts), bool)
+        differs[np.searchsorted(starts, unlike, side="right") - 1] = True
+        differs &= code >= 0
+        del inside, unlike
         code[differs] = -1
         asked = (code < 0) & ~whole[text_of]
         new = np.flatnonzero(asked & short & ~differs)
@@ -268,6 +285,20 @@ class Encoder(ChunkMemory):
         self.at_end = bool(suffix)
         blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ") or [("", None)]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        # Where normalizing means lowering for words of ASCII letters, they are
+        # lowered here and need not be normalized.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        letters = [f" {c}" for c in ascii_letters]
+        self.lowers = self.at_end and all(
+            a.tolist() == b.ids
+            for a, b in zip(
+                self._ids(letters),
+                self.plain.encode_batch_fast([c.lower() for c in letters], add_special_tokens=False),
+            )
+        )
+        line = self._ids(["\n"])[0]
+        self.line = int(line[0]) if len(line) == 1 else -1
         self.border = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.border[i] = token.endswith(suffix) if suffix else token.startswith(blank[0][0])
@@ -296,30 +327,49 @@ class Encoder(ChunkMemory):
 
     def _led(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """The same for words, each with its blank, by one call over all."""
-        ids = self._ids(["".join(chunks)])[0]
+        text = "".join(chunks)
+        if self.lowers and text.isascii():
+            found = self.plain.encode_batch_fast([text.lower()], add_special_tokens=False)
+            ids = np.asarray(found[0].ids, np.int32)
+        else:
+            ids = self._ids([text])[0]
         at = np.flatnonzero(self.border[ids])
         if len(at) != len(chunks):
             return None
         ends = at + 1 if self.at_end else np.append(at[1:], len(ids))
         return ids, np.diff(ends, prepend=0)
 
+    def _bare(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for words without a blank: as with one where blanks leave no
+        trace, else line by line."""
+        if self.at_end:
+            return self._led([f" {c}" for c in chunks])
+        ids = self._ids(["\n".join(chunks) + "\n"])[0]
+        at = np.flatnonzero(ids == self.line)
+        if len(at) != len(chunks):
+            return None
+        sizes = np.diff(at, prepend=-1) - 1
+        return ids[ids != self.line], sizes
+
     def _single(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = self._ids(chunks)
         return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def _new_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        kinds: tuple[list[int], ...] = ([], [], [])
+        kinds: tuple[list[int], ...] = ([], [], [], [], [])
         for i, c in enumerate(chunks):
-            if c[:1] == " " and c[1:].isalpha():
-                kinds[0].append(i)
+            led = c[:1] == " "
+            if (c[1:] if led else c).isalpha():
+                kinds[(0 if c.isascii() else 1) if led else 2].append(i)
             else:
-                kinds[1 if c[:1] in (" ", "\n") and len(c) > 1 and MARK not in c else 2].append(i)
-        ways = (self._led, self._marked, self._single)
+                kinds[3 if c[:1] in (" ", "\n") and len(c) > 1 and MARK not in c else 4].append(i)
+        one = [self._single]
+        plans = ([self._led, self._marked], [self._led, self._marked], [self._bare], [self._marked], [])
         flats, sizes = [], []
         for kind, some in enumerate(kinds):
             for at in range(0, len(some), 20_000):
                 own = [chunks[i] for i in some[at : at + 20_000]]
-                found = next(f for way in ways[kind:] if (f := way(own)) is not None)
+                found = next(f for way in plans[kind] + one if (f := way(own)) is not None)
                 flats.append(found[0])
                 sizes.append(found[1])
         flat, size = np.concatenate(flats), np.concatenate(sizes)
