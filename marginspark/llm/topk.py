@@ -1,7 +1,7 @@
 """Exact top-k inner products by histogram selection.
 
-Queries are taken in blocks of a fixed size, each block against all candidates
-in their own partitions; no candidate is moved.  For a block,
+Queries of one length are taken in blocks of a fixed size, each block against
+all candidates of that length in their own partitions; no candidate is moved.  For a block,
 
 1. every task scores its candidates and counts them per query in ``BINS`` bins
    of the score range; counts are added over all tasks, and the bin that holds
@@ -16,8 +16,8 @@ since the global k-th cannot lie lower: at most k counts.  So what moves is
 bounded by queries x k x tasks whatever the ties.
 
 Defined results: a vector that is null, or holds a null or non-finite component,
-or has another number of components than the first good query of its block,
-takes no part; repeated rows are candidates each, and of rows with one query id
+takes no part; a query meets the candidates that have its number of components
+(vectors without components score 0); repeated rows are candidates each, and of rows with one query id
 the least vector asks; rows with the query's own id
 are not candidates for it; null ids take no part; fewer candidates than k give
 them all; an empty table gives an empty result.
@@ -64,10 +64,10 @@ def _parts(
             flat = np.asarray(x.flatten(), np.float64)
             own = np.asarray(part.column(0))
             if (sizes == width).all():
-                yield own, flat.reshape(-1, width)
+                yield own, flat.reshape(len(own), width)
             else:
                 good = sizes == width
-                yield own[good], flat[np.repeat(good, sizes)].reshape(-1, width)
+                yield own[good], flat[np.repeat(good, sizes)].reshape(int(good.sum()), width)
 
 
 def _histogram(ids, queries, low, size, k):
@@ -176,22 +176,24 @@ def top_k(
     ws = workspace or Workspace(spark)
     candidates = ws.save(quantized(vectors, id, vector, scale), "candidates")
     asked = candidates.where(is_query(F.col("id")))
-    bounds = asked.select("id").distinct()
+    asked = asked.groupBy("id").agg(F.min("x").alias("x")).withColumn("width", F.size("x"))
+    asked = ws.save(asked, "queries")
     found, after = None, None
-    while True:
-        rest = bounds if after is None else bounds.where(F.col("id") > after)
-        chosen = [r["id"] for r in rest.orderBy("id").limit(block).collect()]
-        if not chosen:
-            break
-        own = asked.where(F.col("id").between(chosen[0], chosen[-1]))
-        rows = own.groupBy("id").agg(F.min("x").alias("x")).collect()
-        after = chosen[-1]
-        known = {r["id"]: r["x"] for r in rows}
-        width = len(known[chosen[0]])
-        ids = np.array([i for i in chosen if len(known[i]) == width], np.int64)
-        queries = np.array([known[i] for i in ids.tolist()], np.float64)
-        kth, ties = _kth(candidates, ids, queries, k)
-        near = candidates.mapInArrow(_select(ids, queries, kth, ties, k), _FOUND)
+    widths = sorted(r["width"] for r in asked.select("width").distinct().collect())
+    while widths:
+        width = widths[0]
+        rest = asked.where(F.col("width") == width)
+        rest = rest if after is None else rest.where(F.col("id") > after)
+        rows = rest.orderBy("id").limit(block).select("id", "x").collect()
+        if not rows:
+            widths, after = widths[1:], None
+            continue
+        after = rows[-1]["id"]
+        ids = np.array([r["id"] for r in rows], np.int64)
+        queries = np.array([r["x"] for r in rows], np.float64).reshape(len(ids), width)
+        fitting = candidates.where(F.size("x") == width)
+        kth, ties = _kth(fitting, ids, queries, k)
+        near = fitting.mapInArrow(_select(ids, queries, kth, ties, k), _FOUND)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         best = ws.save(best, "best")

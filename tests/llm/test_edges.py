@@ -141,6 +141,16 @@ def test_topk_of_nothing(spark):
     assert [tuple(r) for r in topk.top_k(few, lambda i: i % 50 == 0).collect()] == [(0, 1, 1, 256 * 128)]
 
 
+def test_topk_keeps_queries_beside_one_of_another_length(spark):
+    rows = [(0, [1.0]), (1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [2.0, 0.0]), (4, []), (5, []), (6, [3.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for block in (1, 2, 2048):
+        got = topk.top_k(vectors, lambda i: i < 5, 1, scale=1, block=block).collect()
+        assert sorted(tuple(r) for r in got) == [
+            (0, 1, 6, 3), (1, 1, 3, 2), (2, 1, 3, 2), (3, 1, 1, 2), (4, 1, 5, 0),
+        ]
+
+
 def test_chats(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "assistant", "x"), (None, 0, None, "y"),
