@@ -47,9 +47,8 @@ _TAG = re.compile(
     r"|<[a-zA-Z][^>]*+\Z",
     re.S,
 )
-_ATTRIBUTE = re.compile(
-    r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I
-)
+#: A whole attribute: its name and, past an equals sign, its value.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*+)(?:\s*+=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^\s>]++))?")
 #: Element kinds of the language.
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -112,6 +111,11 @@ def _names(value: str) -> set[str]:
     return set(re.split(r"[^a-z0-9]+", split.lower()))
 
 
+def _attributes(raw: str) -> list[tuple[str, str]]:
+    """Names, lowered, and values of an element's attributes."""
+    return [(name.lower(), value.strip("\"'")) for name, value in _ATTRIBUTE.findall(raw)]
+
+
 def _hidden(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element gives no article text."""
     if tag in _NEVER:
@@ -120,8 +124,7 @@ def _hidden(tag: str, attributes: str, inside: bool) -> bool:
         return not inside
     if not attributes or tag in ("html", "body"):
         return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in _attributes(attributes):
         if name == "role":
             if value.lower() in _BAD_ROLES:
                 return True
@@ -144,11 +147,10 @@ def _marks(tag: str, attributes: str) -> int:
     if tag in ("article", "main"):
         return 2
     if tag in ("div", "section", "td") and attributes:
-        for name, value in _ATTRIBUTE.findall(attributes):
-            value = value.strip("\"'")
-            if name.lower() == "role" and value.lower() in ("main", "article"):
+        for name, value in _attributes(attributes):
+            if name == "role" and value.lower() in ("main", "article"):
                 return 2
-            if name.lower() in ("class", "id") and _names(value) & _TEXT_NAMES:
+            if name in ("class", "id") and _names(value) & _TEXT_NAMES:
                 return 1
     return 0
 

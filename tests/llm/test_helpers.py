@@ -155,3 +155,16 @@ def test_page_rules():
     assert html_text.main_text(bare).split("\n\n")[-1] == TEXT[-1]
     assert html_text.main_text("") == ""
     assert html_text.main_text("<article>left open <b title='a>b'>x</b> 1 < 2") == "left open x 1 < 2"
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ['href="/the-hidden-valley"', 'title="a hidden gem"', 'href="/x?id=menu"', 'data-role="banner"',
+     "title='class=ad'", 'data-id=menu href=/?class=popup', 'title="no end of hidden'],
+)
+def test_attributes_are_read_whole(attributes):
+    page = f"<article><p>Before <a {attributes}>the link</a> and after.</p></article>"
+    assert html_text.main_text(page) == "Before the link and after."
+    for name in ("hidden", "HIDDEN=''", "id=menu", "role = 'banner'", 'title="x"class="ad"'):
+        page = f"<article><p>Before.</p><p title='a > b' {name}>Not this.</p></article>"
+        assert html_text.main_text(page) == "Before."
