@@ -8,8 +8,10 @@ how they are named (adverts, notices, comments) give no blocks.
 The first pass looks at each block alone: many links make it bad; length and the
 density of stop words make it good or nearly good; short blocks stay open.  The
 second pass gives open blocks the label of their nearest decided neighbours.
-Where the page marks an article, blocks outside it are bad from the start and an
-open block inside is bad only between bad ones.
+Where the page marks an article that holds most of the words the first pass finds
+good (of nearly good ones where none is, of all but links where none is that),
+blocks outside it are bad from the start and an open block inside is bad only
+between bad ones; other marks count for nothing.
 
 Defined results: a null or empty page has an empty text; an element that is
 never closed reaches to the end of the one around it; pages of any length are
@@ -80,6 +82,10 @@ _COMMENT_NAMES = frozenset(
     "comment comments commentlist commentary reply replies respond disqus discussion".split()
 )
 _TEXT_NAMES = frozenset("article content main body post entry story text".split())
+#: These hide an element also where its name has a word of the text names.
+_MENU_NAMES = frozenset("nav navbar navigation menu sidebar widget widgets breadcrumb breadcrumbs".split())
+#: A name with one of these tells what an element is laid out with.
+_BESIDE = frozenset("has with without no".split())
 _STOP = frozenset(STOP_WORDS)
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”’…"
 
@@ -91,12 +97,12 @@ class Block:
     #: 2 inside an article element, 1 inside one named like an article, else 0.
     inside: int
 
-    def label(self) -> str:
-        """First pass: what the block is by itself."""
+    def label(self, marked: bool) -> str:
+        """First pass: what the block is by itself, or in a marked article."""
         words = self.text.split(" ")
         if self.linked > LINKED * len(self.text):
             return "bad"
-        if self.inside and len(words) >= FEW_WORDS:
+        if marked and len(words) >= FEW_WORDS:
             return "good"
         if len(words) < FEW_WORDS:
             return "short"
@@ -106,9 +112,20 @@ class Block:
         return "near" if stop >= LOW_STOP else "bad"
 
 
-def _names(value: str) -> set[str]:
-    split = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", value)
-    return set(re.split(r"[^a-z0-9]+", split.lower()))
+def _names(value: str) -> list[list[str]]:
+    """The words of each name of a class or an id."""
+    split = [re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name).lower() for name in value.split()]
+    return [words for name in split if (words := re.findall(r"[a-z0-9]+", name))]
+
+
+def _text_name(words: list[str]) -> bool:
+    """Whether a whole name says article text, as post-content or post-17 do."""
+    plain = [w for w in words if not w.isdigit()]
+    return bool(plain) and _TEXT_NAMES.issuperset(plain)
+
+
+def _menu_name(words: list[str]) -> bool:
+    return not _MENU_NAMES.isdisjoint((words[0], words[-1])) and _BESIDE.isdisjoint(words)
 
 
 def _attributes(raw: str) -> list[tuple[str, str]]:
@@ -134,11 +151,15 @@ def _hidden(tag: str, attributes: str, inside: bool) -> bool:
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         elif name in ("class", "id"):
-            own = _names(value)
+            names = _names(value)
+            own = set().union(*names)
             if own & _COMMENT_NAMES:
                 return True
-            if own & _BAD_NAMES and not own & _TEXT_NAMES and tag not in ("article", "main"):
-                return True
+            if own & _BAD_NAMES and tag not in ("article", "main"):
+                if not own & _TEXT_NAMES:
+                    return True
+                if any(map(_menu_name, names)) and not any(map(_text_name, names)):
+                    return True
     return False
 
 
@@ -150,7 +171,7 @@ def _marks(tag: str, attributes: str) -> int:
         for name, value in _attributes(attributes):
             if name == "role" and value.lower() in ("main", "article"):
                 return 2
-            if name in ("class", "id") and _names(value) & _TEXT_NAMES:
+            if name in ("class", "id") and any(map(_text_name, _names(value))):
                 return 1
     return 0
 
@@ -261,15 +282,29 @@ def _neighbours(labels: list[str]) -> list[list[int]]:
     return found
 
 
+def _deciding(blocks: list[Block]) -> int:
+    """The level of the marks that decide, 0 for none: see the module's text."""
+    for level in sorted({b.inside for b in blocks} - {0}, reverse=True):
+        words: dict[str, list[int]] = {"good": [0, 0], "near": [0, 0], "short": [0, 0]}
+        for b in blocks:
+            marked = b.inside >= level
+            if (label := b.label(marked)) != "bad":
+                words[label][marked] += b.text.count(" ") + 1
+        outside, inside = next((w for w in words.values() if any(w)), (0, 0))
+        if inside > outside:
+            return level
+    return 0
+
+
 def main_blocks(blocks: list[Block]) -> list[Block]:
     """The good blocks after both passes."""
-    best = max((b.inside for b in blocks), default=0)
-    labels = ["bad" if b.inside < best else b.label() for b in blocks]
+    best = _deciding(blocks)
+    labels = ["bad" if b.inside < best else b.label(best > 0) for b in blocks]
     if best:
         # The border of the article is no neighbour.
         for i, near in enumerate(_neighbours(labels)):
             if labels[i] in ("short", "near"):
-                own = [labels[k] for k in near if blocks[k].inside == best]
+                own = [labels[k] for k in near if blocks[k].inside >= best]
                 labels[i] += " bad" if own == ["bad", "bad"] else " good"
         return [b for b, label in zip(blocks, labels) if label.endswith("good")]
     for i, near in enumerate(_neighbours(labels)):

@@ -168,3 +168,27 @@ def test_attributes_are_read_whole(attributes):
     for name in ("hidden", "HIDDEN=''", "id=menu", "role = 'banner'", 'title="x"class="ad"'):
         page = f"<article><p>Before.</p><p title='a > b' {name}>Not this.</p></article>"
         assert html_text.main_text(page) == "Before."
+
+
+PROSE = [
+    f"In the {n} of the year we went to the river and sat there for a while, for it was warm, and "
+    "what we had with us was no more than a loaf of bread and some of the apples from the tree."
+    for n in ("spring", "summer", "autumn")
+]
+
+
+@pytest.mark.parametrize("name", ["text-center", "post-meta", "entry-title", "main-menu", "text", "content"])
+def test_a_small_mark_does_not_hide_the_article(name):
+    body = "".join(f"<p>{p}</p>" for p in PROSE)
+    page = f"<body><div class={name}>By the staff</div><div>{body}</div></body>"
+    assert html_text.main_text(page).endswith("\n\n".join(PROSE))
+    # A mark that holds the article still decides.
+    page = f"<div>{PROSE[0]}</div><div class='post-content has-sidebar'>{body}<p>Short.</p></div>"
+    assert html_text.main_text(page) == "\n\n".join([*PROSE, "Short."])
+
+
+@pytest.mark.parametrize("name", ["main-menu", "main-nav", "post-nav", "content-sidebar", "text-widget"])
+def test_menus_are_hidden_whatever_they_are_menus_of(name):
+    body = "".join(f"<p>{p}</p>" for p in PROSE)
+    page = f"<div class=wrap><div class={name}>{PROSE[0]}</div>{body}</div>"
+    assert html_text.main_text(page) == "\n\n".join(PROSE)
