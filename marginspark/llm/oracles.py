@@ -101,7 +101,31 @@ _CHAT = rf"""
         in ({_STEPS}) as step
     from turns)"""
 
+#: Lines with their line feeds, joined up to the two cuts.
+_FILL_MIDDLE = r"""
+  texts as (select doc_id, coalesce(text, '') as t, sha256('7:' || doc_id::varchar) as h from documents),
+  drawn as (select *, string_split(t, chr(10)) as l,
+      [('0x' || h[8 * k + 1:8 * k + 8])::bigint for k in range(4)] as r from texts),
+  counted as (select *, case when t = '' then 0
+      when suffix(t, chr(10)) then len(l) - 1 else len(l) end::bigint as n from drawn),
+  cuts as (select *, least(r[1] % (n + 1), r[2] % (n + 1)) as i, greatest(r[1] % (n + 1), r[2] % (n + 1)) as j,
+      case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 100
+        then 'plain' when r[4] % 100 < 50 then 'spm' else 'psm' end as form from counted),
+  ends as (select *,
+      case when i = 0 then 0 when i = n then length(t) else length(array_to_string(l[:i], chr(10))) + 1 end as a,
+      case when j = 0 then 0 when j = n then length(t) else length(array_to_string(l[:j], chr(10))) + 1 end as b
+    from cuts),
+  made as (select *, t[:a] as p, t[a + 1:b] as m, t[b + 1:] as s from ends),
+  written as (select *, case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+      else '<S>' || s || '<P>' || p || '<M>' || m end as output from made)"""
+
 ORACLES = {
+    "op13_fill_middle": f"""with {_FILL_MIDDLE}
+  select doc_id, n, form,
+    case when form <> 'plain' then length(p) end::bigint as prefix_chars,
+    case when form <> 'plain' then length(m) end::bigint as middle_chars,
+    sha256(output) as output_sha256, sha256(t) as restored_sha256
+  from written""",
     "op5_chat": f"""with {_CHAT}
   select conv_id, count(*)::bigint as n_turns,
     sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn, role, t)) as turns_sha256,

@@ -10,7 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginspark.llm import chat, html_text, line_dedup, packing, pieces, quality, simhash, token_store, topk, toxicity
+from marginspark.llm import (
+    alignment, chat, fill_middle, html_text, line_dedup, packing, pieces, quality, simhash, token_counts,
+    token_store, topk, toxicity,
+)
 from marginspark.llm.batches import size_for_texts
 from marginspark.llm.digests import with_crc32
 
@@ -91,6 +94,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    return alignment.link_scores(docs, *map(public_tokenizers.path, files))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_middle.with_digests(fill_middle.transform(docs))
+
+
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_html": op2_html,
@@ -102,4 +121,7 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_counts": op11_token_counts,
+    "op12_alignment": op12_alignment,
+    "op13_fill_middle": op13_fill_middle,
 }
