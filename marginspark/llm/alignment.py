@@ -29,19 +29,21 @@ result columns give way.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginspark.llm.batches import ragged, slices, text_batches
 from marginspark.llm.columns import boxed, unboxed
-from marginspark.llm.subwords import ChunkMemory, Encoder
+from marginspark.llm.heads import frequent
+from marginspark.llm.subwords import ChunkMemory, Encoder, byte_letters
 from marginspark.workspace import Workspace
 
 #: Pairs whose counts are joined by broadcast.
@@ -56,14 +58,6 @@ _OVER = re.compile(r"\S[ \n]|\n.|[0-9A-Za-z\u00c0-\u00ff][,.]", re.S)
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that byte-level files write for each byte: printable bytes are
-    themselves, the others are the letters from 256 on, in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def shared_ends(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """(tokens of A, tokens of B) before each end that both lists of ends have."""
     index_a = dict(zip(a, range(1, len(a) + 1)))
@@ -145,6 +139,7 @@ class Groups(ChunkMemory):
         self._tables()
         self.number: dict[tuple, int] = {}
         self.sides: tuple[list[tuple], list[tuple]] = ([()], [()])
+        self.texts = [""]
         self._arrays: list[tuple[np.ndarray, np.ndarray]] | None = None
 
     def _number(self, a: tuple, b: tuple) -> int:
@@ -152,6 +147,7 @@ class Groups(ChunkMemory):
         if code == len(self.sides[0]):
             self.sides[0].append(a)
             self.sides[1].append(b)
+            self.texts.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
         return code
 
     def _aligned(self, chunks: list[str], a: np.ndarray, many_a, b: np.ndarray, many_b):
@@ -247,72 +243,73 @@ def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), values)
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` but for the text, with ``groups`` (the ids of A
-    and of B of each group, in order) and ``links`` (each distinct linked pair
-    of ids, with its number of occurrences)."""
+_SIZES = ("n_a", "n_b", "n_groups", "n_links")
+_KINDS = {
+    "groups": _GROUP, "links": _LINK, "groups_sha256": T.StringType(),
+    **{n: T.LongType() for n in _SIZES},
+}
+
+
+def align(
+    docs: DataFrame,
+    path_a: str,
+    path_b: str,
+    text: str = "text",
+    made: Sequence[str] = ("groups", "links"),
+) -> DataFrame:
+    """The columns of ``docs`` but for the text, with those of ``made``:
+    ``groups`` (the ids of A and of B of each group, in order), ``links`` (each
+    distinct linked pair of ids, with its number of occurrences), their sizes
+    ``n_a``, ``n_b`` (ids), ``n_groups``, ``n_links`` (occurrences), and
+    ``groups_sha256`` of ``a1,a2|b1;a3|b2,b3``, empty without tokens."""
     boxes = docs.select(
-        boxed(docs, text, "groups", "links").alias("doc"),
-        docs[f"`{text}`"].cast("string").alias("text"),
-    )
-    schema = T.StructType(
-        [boxes.schema["doc"], T.StructField("groups", _GROUP), T.StructField("links", _LINK)]
+        boxed(docs, text, *made).alias("doc"), docs[f"`{text}`"].cast("string").alias("text")
     )
+    schema = T.StructType([boxes.schema["doc"], *[T.StructField(n, _KINDS[n]) for n in made]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Groups(pair_of(path_a, path_b))
         for part, texts in slices(batches, "text", _SLICE):
-            codes, many = known(texts)
-            sides, flat, of = [], [], []
-            for which in (0, 1):
-                ids, starts, sizes = known.side(which)
-                of.append(sizes[codes])
-                flat.append(ragged(ids, starts[codes], of[-1]))
-                sides.append(_lists(pa.array(flat[-1].astype(np.int32)), of[-1]))
-            groups = _lists(pa.StructArray.from_arrays(sides, ["a", "b"]), many)
-            link = expanded(flat[0], of[0], flat[1], of[1])
-            text_of = np.repeat(np.repeat(np.arange(len(texts)), many), of[0] * of[1])
-            # Equal links of a text come together by sorting (text, link).
-            order = np.lexsort((link, text_of))
-            link, text_of = link[order], text_of[order]
-            first = np.flatnonzero(np.diff(link, prepend=-1) | np.diff(text_of, prepend=-1))
-            times = np.diff(np.append(first, len(link)))
-            link, text_of = link[first], text_of[first]
-            fields = [pa.array(x.astype(np.int32)) for x in (link >> 32, link & 0xFFFFFFFF, times)]
-            links = _lists(
-                pa.StructArray.from_arrays(fields, ["a", "b", "n"]),
-                np.bincount(text_of, minlength=len(texts)),
-            )
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), groups, links], ["doc", "groups", "links"]
-            )
+            found = _columns(known, texts, made)
+            yield pa.RecordBatch.from_arrays([part.column(0), *map(found.get, made)], schema.names)
 
     aligned = boxes.mapInArrow(run, schema)
-    return aligned.select(*unboxed(aligned, "doc", text, "groups", "links"), "groups", "links")
-
-
-def group_text(groups: Column) -> Column:
-    """``a1,a2|b1;a3|b2,b3``: ids of A and B of each group."""
-
-    def ids(side: Column) -> Column:
-        return F.array_join(side.cast("array<string>"), ",")
-
-    return F.array_join(F.transform(groups, lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
-
-
-def _total(values: Column, of) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: acc + of(v))
-
-
-def sizes(groups: Column) -> dict[str, Column]:
-    """Ids of A, ids of B, groups and links between occurrences."""
-    a, b = (lambda g: F.size(g["a"]).cast("long")), (lambda g: F.size(g["b"]).cast("long"))
-    return {
-        "n_a": _total(groups, a),
-        "n_b": _total(groups, b),
-        "n_groups": F.size(groups).cast("long"),
-        "n_links": _total(groups, lambda g: a(g) * b(g)),
+    return aligned.select(*unboxed(aligned, "doc", text, *made), *made)
+
+
+def _columns(known: Groups, texts: list[str], made: Sequence[str]) -> dict[str, pa.Array]:
+    codes, many = known(texts)
+    flat, of = [], []
+    for which in (0, 1):
+        ids, starts, sizes = known.side(which)
+        of.append(sizes[codes])
+        flat.append(ragged(ids, starts[codes], of[-1]))
+    row_of = np.repeat(np.arange(len(texts)), many)
+    link = expanded(flat[0], of[0], flat[1], of[1])
+    totals = {"n_a": of[0], "n_b": of[1], "n_groups": np.ones(len(codes)), "n_links": of[0] * of[1]}
+    found = {
+        n: pa.array(np.bincount(row_of, v, len(texts)).astype(np.int64)) for n, v in totals.items()
     }
+    if "groups" in made:
+        sides = [_lists(pa.array(x.astype(np.int32)), n) for x, n in zip(flat, of)]
+        found["groups"] = _lists(pa.StructArray.from_arrays(sides, ["a", "b"]), many)
+    if "groups_sha256" in made:
+        ends = np.cumsum(many)
+        own = [codes[e - n : e].tolist() for e, n in zip(ends, many)]
+        joined = [";".join(map(known.texts.__getitem__, x)).encode() for x in own]
+        found["groups_sha256"] = pa.array([hashlib.sha256(j).hexdigest() if j else "" for j in joined])
+    if "links" in made:
+        # Equal links of a text come together by sorting (text, link).
+        row_of = np.repeat(row_of, of[0] * of[1])
+        order = np.lexsort((link, row_of))
+        link, row_of = link[order], row_of[order]
+        first = np.flatnonzero(np.diff(link, prepend=-1) | np.diff(row_of, prepend=-1))
+        times = np.diff(np.append(first, len(link)))
+        link, row_of = link[first], row_of[first]
+        fields = [pa.array(x.astype(np.int32)) for x in (link >> 32, link & 0xFFFFFFFF, times)]
+        pairs = pa.StructArray.from_arrays(fields, ["a", "b", "n"])
+        found["links"] = _lists(pairs, np.bincount(row_of, minlength=len(texts)))
+    return found
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -330,8 +327,7 @@ def link_scores(
     workspace: Workspace | None = None,
 ) -> DataFrame:
     """The columns of ``docs`` but for the text, with ``n_a``, ``n_b``,
-    ``n_groups``, ``n_links``, ``groups_sha256`` (of :func:`group_text`; empty
-    without tokens), ``n_best``, the links whose count is the highest of their
+    ``n_groups``, ``n_links``, ``groups_sha256`` (as :func:`align`), ``n_best``, the links whose count is the highest of their
     id of A, and ``count_sum``, the sum of the counts of all links."""
     ws = workspace or Workspace(docs.sparkSession)
     made = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum")
@@ -340,13 +336,8 @@ def link_scores(
         F.monotonically_increasing_id().alias("row"),
         docs[f"`{text}`"].alias("text"),
     )
-    digest = F.when(F.size("groups") > 0, F.sha2(group_text(F.col("groups")), 256)).otherwise("")
     with text_batches(ws.spark):
-        rows = align(box, path_a, path_b).select(
-            "doc", "row", *[c.alias(n) for n, c in sizes(F.col("groups")).items()],
-            digest.alias("groups_sha256"), "links",
-        )
-        rows = ws.save(rows, "aligned")
+        rows = ws.save(align(box, path_a, path_b, made=(*made[:5], "links")), "aligned")
     counts = pair_counts(rows)
     counts = ws.save(counts, "counts")
     highest = counts.groupBy("a").agg(F.max("n_docs").alias("highest"))
@@ -355,7 +346,7 @@ def link_scores(
         "a", "b", "n_docs", (F.col("n_docs") == F.col("highest")).alias("best")
     )
     known = ws.save(known, "known")
-    near = ws.save(known.orderBy(F.desc("n_docs"), "a", "b").limit(head), "head")
+    near = ws.save(frequent(known, "n_docs", head), "head")
     spread = rows.select("row", F.explode("links").alias("l")).select("row", "l.a", "l.b", "l.n")
     sums = [
         F.sum(F.when(F.col("best"), F.col("n").cast("long"))).alias("n_best"),
