@@ -11,8 +11,9 @@
 3. A document's count is the sum of frequency times pieces.
 
 A worker cuts each distinct word (a run without ASCII white space) into
-pre-tokens once, by the library's own normalizer and pre-tokenizer, and
-remembers a bounded number of words.  That needs a tokenizer for which white
+pre-tokens once, and remembers a bounded number of words.  It is cut by the
+library's own normalizer and pre-tokenizer, or, if it has common letters only,
+by the expression that the file gives for them.  That needs a tokenizer for which white
 space separates pre-tokens and leaves no trace, as in files of BPE with word
 ends; for other files a text is cut as a whole.
 
@@ -24,13 +25,14 @@ an empty result; columns of the input named like result columns give way.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ from pyspark.sql import types as T
 
 from marginspark.llm.batches import slices, text_batches
 from marginspark.llm.columns import boxed, unboxed
+from marginspark.llm.heads import frequent
+from marginspark.llm.subwords import byte_letters
 from marginspark.workspace import Workspace
 
 #: Tokens of a document beyond which it is over the limit.
@@ -71,6 +75,25 @@ class PreTokens:
         self.words = not any(re.search(r"\s", s) for s in strings) and all(
             self.of(text) == [p for w in words for p in self.of(w)] for text, words in _SEPARATED
         )
+        self._rule = self._own_rule(strings)
+
+    def _own_rule(self, added: list[str]):
+        """For files that lower a text and split it by a regular expression into
+        byte-level pre-tokens: that expression, for words of common letters.
+        They are the characters that the normalizer lowers one by one."""
+        pre = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        kinds = [(k["type"], k.get("behavior"), k.get("invert"), k.get("use_regex")) for k in pre.get("pretokenizers", [])]
+        if kinds != [("Split", "Removed", True, None), ("ByteLevel", None, None, False)]:
+            return None
+        first = {s[0] for s in added}
+        chars = [
+            c for c in map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)])
+            if c not in first and (c.isascii() or c.isalpha())
+            and self.tokenizer.normalizer.normalize_str(c) == c.lower()
+        ]
+        self._common = re.compile(f"[{re.escape(''.join(chars))}]+")
+        self._letters = {b: c for c, b in byte_letters().items()}
+        return regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"])
 
     def of(self, text: str) -> list[str]:
         """The pre-tokens of a text in order; an added token is one by itself."""
@@ -90,7 +113,14 @@ class PreTokens:
         return raw.split() if self.words else [raw] if raw else []
 
     def of_unit(self, unit: bytes) -> list[str]:
-        return self.of(unit.decode("utf-8", "surrogatepass"))
+        word = unit.decode("utf-8", "surrogatepass")
+        if not self._rule or not self._common.fullmatch(word):
+            return self.of(word)
+        word = word.lower()
+        if word.isascii():
+            return [word] if word.isalpha() else self._rule.findall(word)
+        parts = self._rule.findall(word)
+        return [p if p.isascii() else p.encode().decode("latin-1").translate(self._letters) for p in parts]
 
     def pieces(self, pretoken: str) -> int:
         if pretoken in self.added:
@@ -161,7 +191,7 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def _head(known: DataFrame, size: int) -> dict[bytes, int]:
     """Pieces of the pre-tokens met in most documents: ``size`` rows at most."""
-    rows = known.orderBy(F.desc("n_docs"), "key").limit(size).select("key", "pieces").collect()
+    rows = frequent(known, "n_docs", size).select("key", "pieces").collect()
     return {bytes(r["key"]): r["pieces"] for r in rows}
 
 
