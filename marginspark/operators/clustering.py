@@ -11,13 +11,14 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginspark.functions import batches as B
+from marginspark.functions import vectors as V
 from marginspark.operators.sampling import bernoulli, first_k
 from marginspark.sources import schema
-from marginspark.workspace import widen
+from marginspark.workspace import Workspace, widen
 
 METRICS = ("linear", "euclid", "rbf")
 
@@ -51,11 +52,13 @@ def assign(
     fold: int | None = None,
     x: Column | None = None,
     distance: str | None = None,
+    sigma: float = 1.0,
 ) -> DataFrame:
     """Add ``cid``, the nearest center (ties to the lowest number).
 
     All three metrics rise with the squared distance, so that is what is
-    compared; ``distance`` names a column for the metric's own value.  ``fold``
+    compared; ``distance`` names a column for the metric's own value, that of RBF
+    with the width ``sigma``.  ``fold``
     takes the number modulo that many clusters.  It is a projection: no join
     and no shuffle.
     """
@@ -70,7 +73,7 @@ def assign(
         added[distance] = {
             "linear": F.sqrt(d2),
             "euclid": F.sqrt(F.sqrt(d2)),
-            "rbf": F.sqrt(F.lit(2.0) - F.lit(2.0) * F.exp(-d2 / F.lit(2.0))),
+            "rbf": F.sqrt(F.lit(2.0) - F.lit(2.0) * F.exp(-d2 / F.lit(2.0 * sigma * sigma))),
         }[metric]
     return found.withColumns(added).drop("_near")
 
@@ -158,46 +161,49 @@ def cluster_counts(assigned: DataFrame) -> DataFrame:
 
 # --- landmarks -------------------------------------------------------------
 
-# Candidates one pass brings to the driver; a constant, see ``landmarks``.
-CANDIDATES_PER_PASS = 1024
-# Groups of partitions whose lowest rows are merged before the last merge.
-_MERGES = 64
+# Candidates one pass brings to the driver, and doubles that they may hold; both
+# are constants, see ``landmarks``.
+CANDIDATES_PER_PASS = 8192
+CANDIDATE_CELLS = 1 << 21
+# Cells of the histogram of scores: steps per halving, and halvings.
+_STEPS, _HALVINGS = 8, 60
 
 
-def _kernel(A: np.ndarray, L: np.ndarray, kernel: str) -> np.ndarray:
+def _kernel(A: np.ndarray, L: np.ndarray, kernel: str, sigma: float = 1.0) -> np.ndarray:
     if kernel == "linear":
         return A @ L.T
-    return np.exp(
-        -np.stack([((A - c) ** 2).sum(axis=1) for c in L], axis=1) / 2.0
-    )
+    gaps = np.stack([((A - c) ** 2).sum(axis=1) for c in L], axis=1)
+    return np.exp(-gaps / (2.0 * sigma * sigma))
 
 
 def _self_kernel(A: np.ndarray, kernel: str) -> np.ndarray:
     return np.einsum("ij,ij->i", A, A) if kernel == "linear" else np.ones(len(A))
 
 
-def _halves(X: np.ndarray, chosen: np.ndarray, kernel: str) -> np.ndarray:
+def _halves(X: np.ndarray, chosen: np.ndarray, kernel: str, sigma: float = 1.0) -> np.ndarray:
     """Each row's coordinates in the span of the landmarks; their squares add up
     to the row's score."""
     if not len(chosen):
         return np.zeros((len(X), 0))
-    root = np.linalg.cholesky(_kernel(chosen, chosen, kernel))
-    return np.linalg.solve(root, _kernel(X, chosen, kernel).T).T
+    root = np.linalg.cholesky(_kernel(chosen, chosen, kernel, sigma))
+    return np.linalg.solve(root, _kernel(X, chosen, kernel, sigma).T).T
 
 
-def _scores(X: np.ndarray, chosen: np.ndarray, gram: str, kernel: str) -> np.ndarray:
+def _scores(
+    X: np.ndarray, chosen: np.ndarray, gram: str, kernel: str, sigma: float = 1.0
+) -> np.ndarray:
     """Quadratic form of each row's kernel vector with the inverse Gram of the
     chosen landmarks: how much of the row they already explain."""
     if not len(chosen):
         return _self_kernel(X, kernel)
     if gram == "lower":
-        Q, K = _kernel(chosen, chosen, kernel), _kernel(X, chosen, kernel)
+        Q, K = _kernel(chosen, chosen, kernel, sigma), _kernel(X, chosen, kernel, sigma)
         return np.einsum("ij,ji->i", K, np.linalg.solve(np.tril(Q), K.T))
-    return (_halves(X, chosen, kernel) ** 2).sum(axis=1)
+    return (_halves(X, chosen, kernel, sigma) ** 2).sum(axis=1)
 
 
 def kernel_vectors(
-    points: DataFrame, chosen: Sequence[Sequence[float]], kernel: str = "rbf"
+    points: DataFrame, chosen: Sequence[Sequence[float]], kernel: str = "rbf", sigma: float = 1.0
 ) -> DataFrame:
     """``(id, kq)``: each row's kernel value with every landmark, in order."""
     picked = np.array(chosen, dtype=float)
@@ -205,7 +211,7 @@ def kernel_vectors(
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                K = _kernel(B.matrix(batch["x"]), picked, kernel)
+                K = _kernel(B.matrix(batch["x"]), picked, kernel, sigma)
                 yield pa.RecordBatch.from_arrays(
                     [batch["id"], B.vectors(K)], ["id", "kq"]
                 )
@@ -215,7 +221,7 @@ def kernel_vectors(
 
 def landmark_scores(
     points: DataFrame, chosen: Sequence[Sequence[float]], kernel: str = "rbf",
-    gram: str = "symmetric",
+    gram: str = "symmetric", sigma: float = 1.0,
 ) -> DataFrame:
     """``(id, score)`` of every row against the chosen landmarks; with none
     chosen the score is the row's self-kernel."""
@@ -224,7 +230,7 @@ def landmark_scores(
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                s = _scores(B.matrix(batch["x"]), picked, gram, kernel)
+                s = _scores(B.matrix(batch["x"]), picked, gram, kernel, sigma)
                 yield pa.RecordBatch.from_arrays(
                     [batch["id"], pa.array(s)], ["id", "score"]
                 )
@@ -237,38 +243,138 @@ def _spanned(own: np.ndarray, score: np.ndarray) -> np.ndarray:
     return own - score <= 1e-9 * np.maximum(own, 1.0)
 
 
-def _lowest(points: DataFrame, chosen, kernel: str, gram: str, limit: int) -> DataFrame:
-    """The ``limit`` rows with the lowest (score, id).  A task passes on its own
-    lowest rows only, ids and scores without vectors; tasks' rows are merged
-    group by group, so the last merge has at most ``_MERGES * limit`` rows; the
-    vectors are looked up for the winners."""
-    picked = np.array(list(chosen), dtype=float)
+def _least_explained(points: DataFrame, chosen: list, kernel: str, sigma: float):
+    """The row of the lowest (score, id) by the inverse of the lower triangle,
+    that is not chosen; each task passes on one row."""
+    picked = np.array([x for _, x in chosen], dtype=float)
+    taken = np.array([i for i, _ in chosen], np.int64)
 
     def run(batches):
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+        best = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            X = B.matrix(batch["x"])
-            s = _scores(X, picked, gram, kernel)
-            # what lies in the span of the landmarks stays there
-            free = np.ones(len(s), bool)
-            if len(picked) and gram == "symmetric":
-                free = ~_spanned(_self_kernel(X, kernel), s)
-            ids = np.concatenate([ids, np.asarray(batch["id"]).astype(np.int64)[free]])
-            scores = np.concatenate([scores, s[free]])
-            order = np.lexsort((ids, scores))[:limit]
-            ids, scores = ids[order], scores[order]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(scores)], ["id", "score"])
-
-    rows = points.select("id", "x").mapInArrow(run, "id bigint, score double")
-    group = F.pmod(F.spark_partition_id(), F.lit(_MERGES))
-    first = Window.partitionBy("_group").orderBy("score", "id")
-    merged = rows.withColumn("_group", group).withColumn("_place", F.row_number().over(first))
-    best = merged.where(F.col("_place") <= limit).orderBy("score", "id").limit(limit)
-    # ``limit`` rows at most go to all tasks
-    found = points.join(F.broadcast(best.select("id", "score")), "id")
-    return found.select("id", "x", "score").orderBy("score", "id")
+            X, ids = B.matrix(batch["x"]), np.asarray(batch["id"]).astype(np.int64)
+            s = _scores(X, picked, "lower", kernel, sigma)
+            s[np.isin(ids, taken) | ~np.isfinite(s)] = np.inf
+            i = int(np.lexsort((ids, s))[0])
+            if np.isfinite(s[i]) and (best is None or (s[i], ids[i]) < best[:2]):
+                best = (s[i], ids[i], X[i])
+        if best is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([best[0]]), pa.array([best[1]]), B.vectors(best[2][None])], ["score", "id", "x"]
+            )
+
+    rows = points.select("id", "x").mapInArrow(run, "score double, id bigint, x array<double>")
+    return rows.agg(F.min(F.struct("score", "id", "x")).alias("row")).first()["row"]
+
+
+class Factor:
+    """The stored rows of a pivoted factor of the kernel matrix: ``(id, x, own,
+    score, z)`` with one coordinate in ``z`` per landmark; the squares of the
+    coordinates add up to the score, and ``own - score`` is the residual.
+
+    :meth:`extend` stores the rows anew with the coordinates of new landmarks
+    only, each of them one kernel column and one product with the coordinates
+    that are there.  Rows in the span of the landmarks stay there, so they are
+    left out."""
+
+    def __init__(self, rows: DataFrame, kernel: str, sigma: float, ws: Workspace) -> None:
+        self.kernel, self.sigma, self.ws = kernel, sigma, ws
+        self.table, self.known = rows, 0
+        self.ids: list[int] = []
+        self.vectors: list[np.ndarray] = []
+        self.coordinates: list[np.ndarray] = []
+
+    def add(self, id: int, x: np.ndarray, z: np.ndarray, left: float) -> None:
+        """A landmark by its coordinates so far and the root of its residual."""
+        self.ids.append(id)
+        self.vectors.append(x)
+        self.coordinates.append(np.append(z, np.sqrt(left)))
+
+    def extend(self) -> None:
+        old, kernel, sigma = self.known, self.kernel, self.sigma
+        fresh = np.array(self.vectors[old:])
+        before = np.array([z[:old] for z in self.coordinates[old:]])
+        block = np.zeros((len(fresh), len(fresh)))
+        for i, z in enumerate(self.coordinates[old:]):
+            block[i, : i + 1] = z[old:]
+
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                X = B.matrix(batch["x"])
+                if old:
+                    own, score = np.asarray(batch["own"]), np.asarray(batch["score"])
+                    Z = B.matrix(batch["z"])
+                else:
+                    own, score, Z = _self_kernel(X, kernel), np.zeros(len(X)), np.zeros((len(X), 0))
+                open_ = _kernel(X, fresh, kernel, sigma) - Z @ before.T
+                Z = np.c_[Z, np.linalg.solve(block, open_.T).T]
+                score = score + (Z[:, old:] ** 2).sum(axis=1)
+                free = ~_spanned(own, score)
+                columns = [B.vectors(X[free]), pa.array(own[free]), pa.array(score[free]), B.vectors(Z[free])]
+                ids = batch["id"].filter(pa.array(free))
+                yield pa.RecordBatch.from_arrays([ids, *columns], ["id", "x", "own", "score", "z"])
+
+        columns = ["id", "x"] + (["own", "score", "z"] if old else [])
+        rows = self.table.select(*columns).mapInArrow(
+            run, "id bigint, x array<double>, own double, score double, z array<double>"
+        )
+        stored = self.ws.save(rows, "factor")
+        self.ws.drop(self.table)
+        self.table, self.known = stored, len(self.ids)
+
+    def candidates(self, least: float, limit: int) -> tuple[DataFrame, float]:
+        """Rows of the lowest scores, ``limit`` at most, and a bound that the
+        scores of all others reach.  No score is below ``least``; a histogram
+        of the scores above it, finest at its lower end, gives the bound."""
+        gap = F.greatest(F.col("score") - F.lit(least), F.lit(0.0))
+        cell = F.when(gap > 2.0**-_HALVINGS, F.floor(F.log2(gap) * _STEPS)).otherwise(-_HALVINGS * _STEPS)
+        histogram = self.table.groupBy(cell.cast("long").alias("cell")).agg(F.count("*").alias("n")).collect()
+        held, last = 0, None
+        for row in sorted(histogram, key=lambda r: r["cell"]):
+            held += row["n"]
+            if held > limit:
+                last = row["cell"]
+                break
+        if last is None:
+            return self.table, np.inf
+        if last > min(r["cell"] for r in histogram):
+            bound = least + 2.0 ** (last / _STEPS)
+            # rounding of the logarithm must not let a row of the next cell in
+            bound -= 1e-12 * abs(bound)
+            return self.table.where(F.col("score") < bound), bound
+        # More rows than the limit at the very lowest scores: the first of them.
+        rows = self.table.orderBy("score", "id").limit(limit)
+        return rows, -np.inf
+
+
+def _picked(factor: Factor, rows: list, bound: float, k: int) -> bool:
+    """Add the landmarks that the candidates settle; whether there was one."""
+    ids = np.array([r["id"] for r in rows])
+    X = np.array([r["x"] for r in rows], dtype=float)
+    Z = np.array([r["z"] for r in rows], dtype=float)
+    own, s = np.array([r["own"] for r in rows]), np.array([r["score"] for r in rows])
+    s[np.isin(ids, factor.ids)] = np.inf
+    first = len(factor.ids)
+    while len(factor.ids) < k:
+        best = int(np.lexsort((ids, s))[0])
+        # the first pick after a pass is settled by the pass itself
+        if not np.isfinite(s[best]) or (len(factor.ids) > first and s[best] >= bound):
+            break
+        if _spanned(own[best], s[best]):
+            s[best] = np.inf
+            continue
+        left, z = own[best] - s[best], Z[best].copy()
+        factor.add(int(ids[best]), X[best], z, left)
+        # one more coordinate for every candidate
+        column = _kernel(X, X[best : best + 1], factor.kernel, factor.sigma)[:, 0]
+        column = (column - Z @ z) / np.sqrt(left)
+        Z, s = np.c_[Z, column], s + column**2
+        s[best] = np.inf
+    return len(factor.ids) > first
 
 
 def landmarks(
@@ -278,16 +384,19 @@ def landmarks(
     seed: int = 0,
     kernel: str = "rbf",
     gram: str = "symmetric",
+    sigma: float = 1.0,
+    workspace: Workspace | None = None,
 ) -> list[tuple[int, np.ndarray]]:
     """Greedy landmarks ``[(id, x), ...]``: first the row with the smallest
     self-kernel, then always the row the chosen ones explain least.
 
-    A row's score never falls as landmarks are added, so one pass serves many
-    picks: it brings the lowest-scored candidates to the driver, and the best
-    of them is the best of all rows as long as its new score stays below that
-    of the first row left behind.  Only then is the next pass needed.  (With
-    ``gram="lower"`` the inverse is that of the lower triangle alone, scores
-    may fall, and each pick takes a pass.)
+    A row's score never falls as landmarks are added, so one pass over the
+    stored :class:`Factor` serves many picks: it brings the lowest-scored
+    candidates to the driver, and the best of them is the best of all rows as
+    long as its new score stays below the bound that all others reach.  Only
+    then is the next pass needed, which adds the coordinates of the landmarks
+    found since.  (With ``gram="lower"`` the inverse is that of the lower
+    triangle alone, scores may fall, and each pick takes a pass.)
 
     A row whose residual is zero up to rounding lies in the span of the
     landmarks and is passed over; selection ends early only when no other row
@@ -296,52 +405,83 @@ def landmarks(
     """
     if gram not in ("symmetric", "lower"):
         raise ValueError(f"unknown gram {gram!r}")
-    sample = widen(bernoulli(points.select("id", "x"), fraction, seed)).persist()
-    chosen: list[tuple[int, np.ndarray]] = []
+    ws = workspace or Workspace(points.sparkSession)
+    mark = ws.mark()
+    sample = ws.save(widen(bernoulli(points.select("id", "x"), fraction, seed)), "sample")
     try:
-        while len(chosen) < k:
-            vectors = [x for _, x in chosen]
-            taken = {i for i, _ in chosen}
-            if not chosen:
-                per_pass = 1
-            else:
-                per_pass = CANDIDATES_PER_PASS if gram == "symmetric" else k + 1
-            rows = _lowest(sample, vectors, kernel, gram, per_pass).collect()
-            whole = len(rows) < per_pass or not chosen
-            # Without landmarks the score is the self-kernel, no lower bound.
-            bound = np.inf if whole and chosen else -np.inf
-            if not whole:
-                bound = rows[-1]["score"] - 1e-9
-            pool = [r for r in (rows if whole else rows[:-1]) if r["id"] not in taken]
-            if not pool:
+        own = F.lit(1.0) if kernel == "rbf" else V.dot("x", "x")
+        start = sample.agg(F.min(F.struct(own.alias("own"), "id", "x")).alias("row")).first()["row"]
+        if start is None:
+            return []
+        x = np.array(start["x"], dtype=float)
+        if gram == "lower":
+            return _lower_landmarks(sample, [(start["id"], x)], k, kernel, sigma)
+        own = float(_self_kernel(x[None], kernel)[0])
+        if own <= 0.0:
+            # A row of zeros explains nothing and cannot be factored.
+            raise ValueError("the first landmark is a vector of zeros")
+        factor = Factor(sample, kernel, sigma, ws)
+        factor.add(start["id"], x, np.zeros(0), own)
+        limit = max(2, min(CANDIDATES_PER_PASS, CANDIDATE_CELLS // (len(x) + k)))
+        least = 0.0
+        while len(factor.ids) < k:
+            factor.extend()
+            near, bound = factor.candidates(least, limit)
+            rows = near.collect()
+            if not rows or not _picked(factor, rows, bound, k):
                 break
-            ids = np.array([r["id"] for r in pool])
-            X = np.array([r["x"] for r in pool], dtype=float)
-            marks = np.array(vectors)
-            s = _scores(X, marks, gram, kernel)
-            halves = _halves(X, marks, kernel) if gram == "symmetric" else None
-            own = _self_kernel(X, kernel)
-            while len(chosen) < k:
-                best = int(np.lexsort((ids, s))[0])
-                # the first pick after a pass is settled by the pass itself
-                if len(chosen) > len(vectors) and s[best] >= bound:
-                    break
-                left = own[best] - s[best]
-                if not np.isfinite(s[best]):
-                    break
-                if chosen and halves is not None and _spanned(own[best], s[best]):
-                    s[best] = np.inf
-                    continue
-                chosen.append((int(ids[best]), X[best]))
-                if halves is None or len(chosen) == 1:
-                    break
-                # one more coordinate for every candidate
-                column = _kernel(X, X[best : best + 1], kernel)[:, 0]
-                column = (column - halves @ halves[best]) / np.sqrt(left)
-                halves, s = np.c_[halves, column], s + column**2
-                s[best] = np.inf
-            if len(chosen) == len(vectors):  # nothing but rounding is left
-                break
-        return chosen
+            least = bound if np.isfinite(bound) else least
+        return list(zip(factor.ids, factor.vectors))
     finally:
-        sample.unpersist()
+        ws.release(mark)
+
+
+def _lower_landmarks(sample: DataFrame, chosen: list, k: int, kernel: str, sigma: float) -> list:
+    """One pass per pick, with the inverse of the lower triangle."""
+    while len(chosen) < k:
+        row = _least_explained(sample, chosen, kernel, sigma)
+        if row is None:
+            break
+        chosen.append((row["id"], np.array(row["x"], dtype=float)))
+    return chosen
+
+
+# --- feature map -----------------------------------------------------------
+
+
+def feature_map(
+    points: DataFrame,
+    chosen: Sequence[Sequence[float]],
+    kernel: str = "rbf",
+    sigma: float = 1.0,
+    bias: bool = False,
+) -> DataFrame:
+    """``points`` with ``x`` replaced by its coordinates in the span of the
+    landmarks, ``K(x, landmarks) L^-T`` with the Cholesky factor ``L`` of their
+    Gram: linear kernels of the new vectors are kernels of the old ones, up to
+    the residuals.  ``bias`` adds a component 1.  It is a projection; landmarks
+    number as many as a parameter says, so they travel with the task."""
+    picked, inverse = _feature_root(chosen, kernel, sigma)
+    names = points.columns
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                Z = _kernel(B.matrix(batch["x"]), picked, kernel, sigma) @ inverse
+                Z = np.c_[Z, np.ones(len(Z))] if bias else Z
+                columns = [B.vectors(Z) if n == "x" else batch[n] for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return points.mapInArrow(run, points.schema)
+
+
+def _feature_root(chosen, kernel: str, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    picked = np.array(list(chosen), dtype=float)
+    return picked, np.linalg.inv(np.linalg.cholesky(_kernel(picked, picked, kernel, sigma))).T
+
+
+def images(chosen, kernel: str = "rbf", sigma: float = 1.0, bias: bool = False) -> list[list[float]]:
+    """What :func:`feature_map` makes of the landmarks themselves."""
+    picked, inverse = _feature_root(chosen, kernel, sigma)
+    Z = _kernel(picked, picked, kernel, sigma) @ inverse
+    return (np.c_[Z, np.ones(len(Z))] if bias else Z).tolist()

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginspark.functions import margin as M
+from marginspark.functions import vectors as V
 from marginspark.operators import clustering, dual, placement, primal
 from marginspark.params import MarginParams
 from marginspark.sources import schema, sinks
@@ -48,6 +49,33 @@ POLICIES = {
 }
 
 
+@dataclass(frozen=True)
+class FeatureMap:
+    """A kernel as a linear map: landmarks and the width of the kernel."""
+
+    landmarks: tuple[tuple[float, ...], ...]
+    sigma: float
+
+    def __call__(self, points: DataFrame) -> DataFrame:
+        return clustering.feature_map(points, self.landmarks, "rbf", self.sigma, bias=True)
+
+    def images(self) -> list[list[float]]:
+        """The landmarks' own features."""
+        return clustering.images(self.landmarks, "rbf", self.sigma, bias=True)
+
+
+def rbf_features(
+    points: DataFrame, rank: int = 50, sigma: float = 1.0, fraction: float = 0.5, seed: int = 0,
+    workspace: Workspace | None = None,
+) -> FeatureMap:
+    """A map of at most ``rank`` dimensions and a bias for the RBF kernel, from
+    the greedy landmarks of a sample."""
+    chosen = clustering.landmarks(
+        points, rank, fraction, seed, "rbf", "symmetric", sigma, workspace
+    )
+    return FeatureMap(tuple(tuple(map(float, x)) for _, x in chosen), sigma)
+
+
 @dataclass(frozen=True)
 class Fit:
     """``coef`` holds the non-zero signed coefficients of every level, ``duals``
@@ -57,6 +85,7 @@ class Fit:
     duals: DataFrame
     history: DataFrame
     n: int
+    features: FeatureMap | None = None
 
     @property
     def last_coef(self) -> DataFrame:
@@ -64,12 +93,23 @@ class Fit:
 
     @property
     def weights(self) -> DataFrame:
-        """Primal weights ``(j, w)`` of the last level."""
+        """Primal weights ``(j, w)`` of the last level, of the mapped features
+        where there is a map."""
         return primal.recover_weights(self.duals, self.n)
 
+    def scores(self, points: DataFrame) -> DataFrame:
+        """``(id, score)``: what the last level says of any rows ``(id, x)``;
+        its sign is the predicted label."""
+        w = [0.0] * self.n
+        for row in self.weights.collect():  # n components
+            w[row["j"]] = row["w"]
+        rows = points.select("id", "x")
+        rows = self.features(rows) if self.features else rows
+        return rows.select("id", V.dot_literal("x", w).alias("score"))
+
 
 def _first_parts(points, policy, levels, seed, fraction, n_clusters, n_landmarks, ws,
-                 landmark_kernel, gram, rotate):
+                 landmark_kernel, gram, rotate, sigma, features):
     k = policy.base**levels
     if policy.start == "random":
         return placement.random_split(points, k, seed)
@@ -80,9 +120,12 @@ def _first_parts(points, policy, levels, seed, fraction, n_clusters, n_landmarks
             points, n_clusters, policy.kmeans_iterations, 1e-6, fraction, seed
         )
         assigned = clustering.assign(points, centers, "linear")
+    elif features is not None:
+        # Distances between images are those of the kernel.
+        assigned = clustering.assign(points, features.images(), "euclid", fold=n_clusters)
     else:
         chosen = clustering.landmarks(
-            points, n_landmarks, fraction, seed, landmark_kernel, gram
+            points, n_landmarks, fraction, seed, landmark_kernel, gram, sigma, ws
         )
         assigned = clustering.assign(
             points, [x for _, x in chosen], "rbf", fold=n_clusters
@@ -110,6 +153,9 @@ def fit_hierarchy(
     max_part_rows: int = dual.MAX_PART_ROWS,
     workspace: Workspace | None = None,
     sink_dir: str | None = None,
+    kernel: str = "linear",
+    sigma: float = 1.0,
+    rank: int | None = None,
 ) -> Fit:
     """Train by the named policy from ``base ** levels`` parts downwards.
 
@@ -117,7 +163,14 @@ def fit_hierarchy(
     Every part is solved to its optimum, or with ``sweeps`` by at most
     ``sweeps + 1`` sweeps, which takes long for parts above ``max_part_rows``.
     With ``sink_dir`` history and coefficients are appended there per level.
+
+    ``kernel="rbf"`` trains with a Gaussian kernel of width ``sigma``: rows are
+    replaced once by their coordinates in the span of ``rank`` greedy landmarks
+    (``n_landmarks`` by default), which are stored, and the linear problems over
+    these are the kernel's problems up to what the landmarks leave unexplained.
     """
+    if kernel not in ("linear", "rbf"):
+        raise ValueError(f"unknown kernel {kernel!r}")
     name = policy if isinstance(policy, str) else "custom"
     policy = POLICIES[policy] if isinstance(policy, str) else policy
     if levels < max(policy.last_level, 1 if policy.start == "cluster" else 0):
@@ -125,7 +178,13 @@ def fit_hierarchy(
     spark = points.sparkSession
     ws = workspace or Workspace(spark)
     began = time.monotonic()
-    points = spread(points.select("id", "x", "y"))
+    points = points.select("id", "x", "y")
+    features = None
+    if kernel == "rbf":
+        check_points(points)
+        features = rbf_features(points, rank or n_landmarks, sigma, fraction, seed, ws)
+        points = ws.save(features(points), "features")
+    points = spread(points)
     m, n = check_points(points)
     max_part_rows = min(max_part_rows, max(1, dual.MAX_PART_CELLS // n))
 
@@ -136,7 +195,7 @@ def fit_hierarchy(
     state = dual.zero_duals(
         _first_parts(
             points, policy, levels, seed, fraction, n_clusters, n_landmarks, ws,
-            landmark_kernel, gram, rotate,
+            landmark_kernel, gram, rotate, sigma, features,
         )
     )
     table, sizes, coefs, history = None, None, None, []
@@ -193,4 +252,4 @@ def fit_hierarchy(
                 spark.createDataFrame(history[-1:], schema.HISTORY), sink_dir
             )
     points.unpersist()
-    return Fit(coefs, table, spark.createDataFrame(history, schema.HISTORY), n)
+    return Fit(coefs, table, spark.createDataFrame(history, schema.HISTORY), n, features)

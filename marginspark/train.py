@@ -38,6 +38,9 @@ def arguments() -> argparse.ArgumentParser:
     h.add_argument("--fraction", type=float, default=0.5)
     h.add_argument("--clusters", type=int, default=200)
     h.add_argument("--landmarks", type=int, default=50)
+    h.add_argument("--kernel", choices=("linear", "rbf"), default="linear")
+    h.add_argument("--sigma", type=float, default=1.0)
+    h.add_argument("--rank", type=int, help="dimensions of the kernel's feature map")
     g = p.add_argument_group("gradient jobs")
     g.add_argument("--epochs", type=int, default=20)
     g.add_argument("--steps", type=int, default=10, help="steps or rounds per epoch")
@@ -60,7 +63,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         fit = fit_hierarchy(
             points, a.job, levels=a.levels, fraction=a.fraction,
             sweeps=None if a.sweeps < 0 else a.sweeps, n_clusters=a.clusters,
-            n_landmarks=a.landmarks, sink_dir=a.output, **common,
+            n_landmarks=a.landmarks, sink_dir=a.output, kernel=a.kernel, sigma=a.sigma,
+            rank=a.rank, **common,
         )
         model = fit.weights
     else:

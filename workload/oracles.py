@@ -6,7 +6,7 @@ import math
 
 from marginspark.params import MarginParams
 from workload import fixtures as fx
-from workload.queries import K, PARTS, SEED
+from workload.queries import K, PARTS, SEED, SIGMA
 
 P = MarginParams()
 LOW, HIGH, LAM, MU = P.low, P.high, P.lam, P.mu
@@ -267,6 +267,64 @@ dealt AS (
   FROM near)"""]
 
 
+def gauss(a: str, b: str, sigma: float = SIGMA) -> str:
+    gap = f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    return f"exp(-({gap}) / {num(2 * sigma * sigma)})"
+
+
+def greedy(points: str, k: int, kernel, lower: bool = False, where: str = "true") -> str:
+    """The picks of ``k`` landmarks, one after the other, with a column per pick:
+    coordinates of a pivoted factor, or the solution by the lower triangle."""
+    ctes = [points, f"""
+f0 AS MATERIALIZED (
+  SELECT id, x, {kernel("x", "x")} AS own, 0::double AS score, []::double[] AS z FROM pts WHERE {where})"""]
+    for t in range(k):
+        order = "(own, id)" if t == 0 else "(score, id)"
+        taken = " AND ".join(f"id NOT IN (SELECT id FROM p{u})" for u in range(t)) or "true"
+        free = "true" if lower else "own - score > 1e-9::double * greatest(own, 1::double)"
+        dots = "coalesce(list_sum(list_transform(list_zip(f.z, p.z), lambda q: q[1] * q[2])), 0::double)"
+        if lower:
+            # the pick's row of the triangle: its kernels with the picks before
+            kernels = ", ".join(f"{kernel('c.x', f'p{u}.x')}" for u in range(t))
+            froms = "".join(f", p{u}" for u in range(t))
+            pick_z, root = f"[{kernels}]::double[]", "c.own"
+            gain = f"{kernel('f.x', 'p.x')} * col"
+        else:
+            froms, pick_z, root, gain = "", "c.z", "sqrt(c.own - c.score)", "col * col"
+        ctes.append(f"""
+p{t} AS MATERIALIZED (
+  SELECT c.id, c.x, {pick_z} AS z, {root} AS root
+  FROM (SELECT arg_min(id, {order}) AS id FROM f{t} WHERE {taken} AND {free}) w
+  JOIN f{t} c ON c.id = w.id{froms.replace(", ", " CROSS JOIN ")})""")
+        if t < k - 1:
+            ctes.append(f"""
+f{t + 1} AS MATERIALIZED (
+  SELECT id, x, own, score + gain AS score, list_append(z, col) AS z FROM (
+    SELECT f.*, ({kernel("f.x", "p.x")} - {dots}) / p.root AS col, {gain} AS gain
+    FROM f{t} f, p{t} p))""")
+    union = " UNION ALL ".join(f"SELECT {t} AS pick, id FROM p{t}" for t in range(k))
+    return "WITH " + ",".join(ctes) + "\n" + union
+
+
+def linear(a: str, b: str) -> str:
+    return f"list_inner_product({a}, {b})"
+
+
+#: The coordinates of ``pts`` in the span of three rows, and a bias.
+FEATURES = [fx.ORDERS_SQL.replace("pts AS", "raw AS"), centers(3).replace("FROM pts", "FROM raw"), f"""
+marks AS (
+  SELECT *, {gauss("a", "b")} AS ab, {gauss("a", "c")} AS ac, {gauss("b", "c")} AS bc FROM (
+    SELECT arg_max(cx, cid = 0) AS a, arg_max(cx, cid = 1) AS b, arg_max(cx, cid = 2) AS c FROM centers)),
+roots AS (
+  SELECT *, (bc - ab * ac) / rb AS lc FROM (SELECT *, sqrt(1 - ab * ab) AS rb FROM marks)),
+spanned AS (
+  SELECT id, y, {gauss("x", "a")} AS z1, {gauss("x", "b")} AS kb, {gauss("x", "c")} AS kc,
+         ab, ac, rb, lc, sqrt(1 - ac * ac - lc * lc) AS rc FROM raw, roots),
+pts AS (
+  SELECT id, y, [z1, z2, (kc - ac * z1 - lc * z2) / rc, 1::double] AS x
+  FROM (SELECT *, (kb - ab * z1) / rb AS z2 FROM spanned))"""]
+
+
 def clusters(name: str, k: int, seed: int, steps: int = 2) -> list[str]:
     """``name`` (id, cid): the nearest of ``k`` centers after two rounds."""
     names = [f"{name}_c{i}" for i in range(steps + 1)]
@@ -435,6 +493,16 @@ FROM near GROUP BY cid""",
 SELECT 0 AS pick, id FROM pts ORDER BY list_inner_product(x, x), id LIMIT 1""",
     "landmark_second": picks(2),
     "landmark_third": picks(3),
+    "landmarks_rbf": greedy(fx.ORDERS_SQL, 10, lambda a, b: gauss(a, b, 1.0)),
+    "landmarks_linear": greedy(fx.ORDERS_SQL, 4, linear),
+    "landmarks_lower": greedy(fx.ORDERS_SQL, 20, linear, lower=True),
+    "landmarks_of_sample": greedy(
+        fx.EMBEDDINGS_SQL, 20, gauss, where=f"substr({key()}, 1, 13) < '{math.ceil(0.5 * 2**52):013x}'"
+    ),
+    "kernel_vectors_sigma": kernel_rows(fx.ORDERS_SQL, gauss("p.x", "c.cx")),
+    "rbf_features": with_(*FEATURES) + """
+SELECT id, (generate_subscripts(x, 1) - 1)::int AS j, round(unnest(x), 6) + 0.0 AS v FROM pts""",
+    "rbf_dual_two_sweeps": levels(FEATURES, split(PARTS), [PARTS], 2, False),
     "landmark_scores": with_(fx.ORDERS_SQL, centers(2), f"""
 a AS (SELECT cx FROM centers WHERE cid = 0),
 b AS (SELECT cx FROM centers WHERE cid = 1),

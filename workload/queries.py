@@ -22,6 +22,7 @@ PARAMS = MarginParams()
 K = 8  # centers of the single-step cluster queries
 PARTS = 64
 SEED = 7
+SIGMA = 0.4
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -228,6 +229,65 @@ def landmark_third(spark, sf_dir):
     return _picks(spark, sf_dir, 3)
 
 
+def _chosen(spark, picked):
+    rows = [(i, p[0]) for i, p in enumerate(picked)]
+    return spark.createDataFrame(rows, "pick int, id bigint")
+
+
+@query
+def landmarks_rbf(spark, sf_dir):
+    return _chosen(spark, C.landmarks(fx.orders(spark, sf_dir), 10))
+
+
+@query
+def landmarks_linear(spark, sf_dir):
+    return _chosen(spark, C.landmarks(fx.orders(spark, sf_dir), 4, kernel="linear"))
+
+
+@query
+def landmarks_lower(spark, sf_dir):
+    """Linear kernel and the lower triangle of the Gram matrix alone."""
+    picked = C.landmarks(fx.orders(spark, sf_dir), 20, kernel="linear", gram="lower")
+    return _chosen(spark, picked)
+
+
+@query
+def landmarks_of_sample(spark, sf_dir):
+    """Twenty landmarks of a narrow kernel among half of the wide vectors."""
+    picked = C.landmarks(fx.embeddings(spark, sf_dir), 20, 0.5, SEED, sigma=SIGMA)
+    return _chosen(spark, picked)
+
+
+@query
+def kernel_vectors_sigma(spark, sf_dir):
+    points = fx.orders(spark, sf_dir)
+    kq = C.kernel_vectors(points, _start_centers(points), sigma=SIGMA)
+    rows = kq.select("id", F.posexplode("kq").alias("q", "k"))
+    return rows.select("id", "q", r6("k").alias("k"))
+
+
+def _mapped(spark, sf_dir):
+    points = fx.orders(spark, sf_dir)
+    return C.feature_map(points, _start_centers(points, 3), "rbf", SIGMA, bias=True)
+
+
+@query
+def rbf_features(spark, sf_dir):
+    """Coordinates of all rows in the span of three landmarks, and a bias."""
+    rows = _mapped(spark, sf_dir).select("id", F.posexplode("x").alias("j", "v"))
+    return rows.select("id", "j", r6("v").alias("v"))
+
+
+@query
+def rbf_dual_two_sweeps(spark, sf_dir):
+    """Two sweeps of all parts with the RBF kernel by its feature map."""
+    points = placement.random_split(_mapped(spark, sf_dir), PARTS, SEED)
+    solved = dual.solve_parts(
+        dual.zero_duals(points), PARAMS, points.count(), 1, PARTS, Workspace(spark)
+    )
+    return _state(solved)
+
+
 @query
 def landmark_scores(spark, sf_dir):
     points = fx.orders(spark, sf_dir)
@@ -605,6 +665,12 @@ def fit_distribution_aware(spark, sf_dir):
     return _fit(spark, sf_dir, "distribution_aware").coef
 
 
+@query
+def fit_rbf(spark, sf_dir):
+    """Distribution-aware training with a Gaussian kernel."""
+    return _fit(spark, sf_dir, "distribution_aware", kernel="rbf", sigma=SIGMA).coef
+
+
 @query
 def history(spark, sf_dir):
     return _fit(spark, sf_dir, "distribution_aware").history
