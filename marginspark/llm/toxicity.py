@@ -205,6 +205,9 @@ def held_out(id: str = "doc_id") -> Column:
 
 
 def keep_civil(docs: DataFrame, model: list[tuple[int, float]]) -> DataFrame:
-    """The rows that score below ``THRESHOLD``, with the columns of ``docs``."""
+    """The rows that score below ``THRESHOLD``, with the columns of ``docs``; all
+    rows where nothing could be learned."""
+    if not model:
+        return docs
     judged = scores(docs.select(F.struct("*").alias("_row"), "text"), model)
     return judged.where(F.col("score") < THRESHOLD).select("_row.*")

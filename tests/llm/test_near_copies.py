@@ -74,3 +74,43 @@ def test_ids_may_be_null_and_tables_empty(spark):
     kept = near_copies.keep_one(docs).collect()
     assert sorted(kept, key=lambda r: r.text) == [(3, "a b c d e f"), (None, "g h")]
     assert near_copies.keep_one(docs.where("false")).count() == 0
+
+
+def test_prefixes_miss_no_similar_pair():
+    rng = random.Random(8)
+    sets = [set(rng.sample(range(60), rng.randrange(1, 40))) for _ in range(120)]
+    sets += [set(list(s)[: max(1, len(s) - rng.randrange(5))]) for s in sets]
+    met, often = {}, {t: sum(t in s for s in sets) for s in sets for t in s}
+    for d, s in enumerate(sets):
+        shared = sorted((t for t in s if often[t] > 1), key=lambda t: (often[t], t))
+        for asks, *key in near_copies.prefix_keys(len(s), len(s) - len(shared), shared, 0.8):
+            met.setdefault(tuple(key), ([], []))[asks].append(d)
+    pairs = {(a, b) for lie, ask in met.values() for a in ask for b in lie if len(sets[b]) <= len(sets[a])}
+    for a, s in enumerate(sets):
+        for b in range(a):
+            if len(s & sets[b]) >= 0.8 * len(s | sets[b]):
+                assert (a, b) in pairs or (b, a) in pairs
+
+
+def test_texts_that_each_differ_too_much_are_not_compared(spark, monkeypatch):
+    compared = []
+    plain = near_copies._similar
+    monkeypatch.setattr(
+        near_copies, "_similar", lambda pairs, *a: compared.append(pairs.count()) or plain(pairs, *a)
+    )
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base, per_text = [word() for _ in range(200)], []
+    for n in (100, 400):
+        rows = []
+        for i in range(n):
+            own = list(base)
+            for at in rng.sample(range(200), 6):
+                own[at] = word()
+            rows.append((i, " ".join(own)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        compared.clear()
+        kept = [r.doc_id for r in near_copies.keep_one(docs).collect()]
+        assert sorted(kept) == survivors(rows)
+        per_text.append(sum(compared) / n)
+    assert per_text[1] < 1.6 * per_text[0]
