@@ -163,7 +163,7 @@ def cluster_counts(assigned: DataFrame) -> DataFrame:
 
 # Candidates one pass brings to the driver, and doubles that they may hold; both
 # are constants, see ``landmarks``.
-CANDIDATES_PER_PASS = 8192
+CANDIDATES_PER_PASS = 32_768
 CANDIDATE_CELLS = 1 << 21
 # Cells of the histogram of scores: steps per halving, and halvings.
 _STEPS, _HALVINGS = 8, 60
@@ -351,12 +351,10 @@ class Factor:
         return rows, -np.inf
 
 
-def _picked(factor: Factor, rows: list, bound: float, k: int) -> bool:
+def _picked(factor: Factor, rows: pa.Table, bound: float, k: int) -> bool:
     """Add the landmarks that the candidates settle; whether there was one."""
-    ids = np.array([r["id"] for r in rows])
-    X = np.array([r["x"] for r in rows], dtype=float)
-    Z = np.array([r["z"] for r in rows], dtype=float)
-    own, s = np.array([r["own"] for r in rows]), np.array([r["score"] for r in rows])
+    ids, X, Z = np.asarray(rows["id"]), B.matrix(rows["x"]), B.matrix(rows["z"])
+    own, s = np.asarray(rows["own"]), np.array(rows["score"])
     s[np.isin(ids, factor.ids)] = np.inf
     first = len(factor.ids)
     while len(factor.ids) < k:
@@ -427,8 +425,8 @@ def landmarks(
         while len(factor.ids) < k:
             factor.extend()
             near, bound = factor.candidates(least, limit)
-            rows = near.collect()
-            if not rows or not _picked(factor, rows, bound, k):
+            rows = near.toArrow()
+            if not rows.num_rows or not _picked(factor, rows, bound, k):
                 break
             least = bound if np.isfinite(bound) else least
         return list(zip(factor.ids, factor.vectors))
