@@ -30,6 +30,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from string import ascii_letters
 
 import pyarrow as pa
 import regex
@@ -91,6 +92,9 @@ class PreTokens:
             if c not in first and (c.isascii() or c.isalpha())
             and self.tokenizer.normalizer.normalize_str(c) == c.lower()
         ]
+        #: Words of ASCII letters, with one of these after them or not, need no
+        #: expression: the letters are one pre-token, the sign another.
+        self._signs = (b",", b".") if {*ascii_letters, ",", "."} <= {*chars} else ()
         self._common = re.compile(f"[{re.escape(''.join(chars))}]+")
         self._letters = {b: c for c, b in byte_letters().items()}
         return regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"])
@@ -113,6 +117,11 @@ class PreTokens:
         return raw.split() if self.words else [raw] if raw else []
 
     def of_unit(self, unit: bytes) -> list[str]:
+        if self._rule and self._signs:
+            if unit.isalpha():
+                return [unit.lower().decode()]
+            if unit[-1:] in self._signs and unit[:-1].isalpha():
+                return [unit[:-1].lower().decode(), unit[-1:].decode()]
         word = unit.decode("utf-8", "surrogatepass")
         if not self._rule or not self._common.fullmatch(word):
             return self.of(word)
