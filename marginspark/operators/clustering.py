@@ -354,7 +354,7 @@ class Factor:
 def _picked(factor: Factor, rows: pa.Table, bound: float, k: int) -> bool:
     """Add the landmarks that the candidates settle; whether there was one."""
     ids, X, Z = np.asarray(rows["id"]), B.matrix(rows["x"]), B.matrix(rows["z"])
-    own, s = np.asarray(rows["own"]), np.array(rows["score"])
+    own, s = np.asarray(rows["own"]), np.asarray(rows["score"]).copy()
     s[np.isin(ids, factor.ids)] = np.inf
     first = len(factor.ids)
     while len(factor.ids) < k:
