@@ -54,11 +54,9 @@ _LINE_DEDUP = rf"""
   texts as (select doc_id, text, string_split(text, chr(10)) as l from documents),
   flat as (select doc_id, unnest(l) as s, unnest(range(len(l))) as i from texts),
   spoken as (select doc_id, s, i,
-      len(list_filter(string_split_regex(s, '[ 	-
-]+'), lambda x: x <> '')) as w,
+      len(list_filter(string_split_regex(s, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as w,
       row_number() over (order by doc_id, i) as pos
-    from flat where regexp_matches(s, '[^ 	-
-]')),
+    from flat where regexp_matches(s, '[^\x20\x09-\x0D]')),
   pairs as (select b.doc_id, a.doc_id as other, b.pos, b.i, b.w, b.pos - a.pos as gap
     from spoken a join spoken b on a.s = b.s and a.pos < b.pos),
   islands as (select *,

@@ -18,7 +18,7 @@ of a payload.  ``read`` does this for a table of keys, bucket by bucket.
 
 Defined results: a null or empty text is the end id alone; documents of one id
 stand together, in the order of the stored rows, and are all found; a null id
-comes first and is found by a null (the least 64-bit number stands for it);
+comes first and is found by a null (it has a bucket of its own);
 unknown keys give no row; an empty table gives an empty store; other columns of
 the input are not stored, so no name can clash.
 """
@@ -215,7 +215,10 @@ def _documents(row: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _bucket(key: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(11)), F.lit(buckets)).cast("int")
+    """The bucket of a key; null has one of its own, so that no number is its twin."""
+    return F.when(key.isNull(), -1).otherwise(
+        F.pmod(F.xxhash64(key, F.lit(11)), F.lit(buckets)).cast("int")
+    )
 
 
 def _encoded(docs: DataFrame, splits: list[float], tokenizer: str, end_id: int) -> DataFrame:

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables, clashing names."""
 
+import math
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +153,36 @@ def test_topk_keeps_queries_beside_one_of_another_length(spark):
         ]
 
 
+def test_topk_of_large_components(spark):
+    rows = [
+        [400000.0, 0.0039063], [3e9, 1.0], [-3e9, 2.5], [1e30, -1e30], [1e30, -9e29], [0.5, 0.25],
+        [2.0**60, 3.0], [400000.0, 0.0039063],
+    ]
+    for some in (rows[:1] + rows[5:6] + rows[7:], rows[:3] + rows[5:6], rows[:3] + rows[5:7], rows):
+        vectors = spark.createDataFrame(
+            [(i, v) for i, v in enumerate(some)], "vec_id long, embedding array<double>"
+        ).repartition(3)
+        got = topk.top_k(vectors, lambda i: i < 9, 3).collect()
+        whole = [[math.floor(256 * x) for x in v] for v in some]
+        for q, own in enumerate(whole):
+            best = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in enumerate(whole) if i != q)
+            want = [(i, min(max(-s, -(2**63)), 2**63 - 1)) for s, i in best[:3]]
+            assert [(r.vec_id, r.score) for r in sorted(got) if r.query_id == q] == want
+    beyond = spark.createDataFrame([(0, [1e307]), (1, [1.0])], "vec_id long, embedding array<double>")
+    assert topk.top_k(beyond, lambda i: i < 9).count() == 0
+
+
+def test_store_tells_null_from_the_least_id(spark):
+    rows = [(None, "nothing"), (-(2**63), "least"), (5, "five"), (None, "again")]
+    store = token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), BPE, 1)
+    size = {i: set() for i, _ in rows}
+    for r in store.read(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        size[r.doc_id].add((r.start, r.n_tokens))
+    assert [len(size[i]) for i in (None, -(2**63), 5)] == [2, 1, 1]
+    starts = sorted(s for own in size.values() for s, _ in own)
+    assert starts[0] == min(size[None])[0] and len(starts) == 4
+
+
 def test_chats(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "assistant", "x"), (None, 0, None, "y"),
