@@ -5,13 +5,19 @@ tags, each with its words, linked characters and place.  Elements that are no
 article text by what they are (scripts, forms, menus, footers, sidebars) or by
 how they are named (adverts, notices, comments) give no blocks.
 
-The first pass looks at each block alone: many links make it bad; length and the
-density of stop words make it good or nearly good; short blocks stay open.  The
-second pass gives open blocks the label of their nearest decided neighbours.
+The first pass looks at each block alone: many links make it bad; length and a
+high density of stop words make it good, less of either nearly good; a low density
+leaves a longer block open, and short blocks are open always.  Nearly good blocks
+with nothing bad between them that are long enough together are good.  Where no
+block of a page is good, the nearly good ones are, else the open ones by length.
+
+The second pass gives nearly good blocks a good label unless all their nearest
+decided neighbours are bad, and open blocks the label of the nearest of theirs.
 Where the page marks an article that holds most of the words the first pass finds
 good (of nearly good ones where none is, of all but links where none is that),
-blocks outside it are bad from the start and an open block inside is bad only
-between bad ones; other marks count for nothing.
+blocks outside it are bad from the start; inside, the mark is one more vote: nearly
+good blocks are good, and an open block is bad only between bad ones; other marks
+count for nothing.
 
 Defined results: a null or empty page has an empty text; an element that is
 never closed reaches to the end of the one around it; pages of any length are
@@ -97,19 +103,21 @@ class Block:
     #: 2 inside an article element, 1 inside one named like an article, else 0.
     inside: int
 
-    def label(self, marked: bool) -> str:
-        """First pass: what the block is by itself, or in a marked article."""
-        words = self.text.split(" ")
+    @property
+    def n_words(self) -> int:
+        return self.text.count(" ") + 1
+
+    def label(self) -> str:
+        """First pass: what the block is by itself."""
         if self.linked > LINKED * len(self.text):
             return "bad"
-        if marked and len(words) >= FEW_WORDS:
-            return "good"
+        words = self.text.split(" ")
         if len(words) < FEW_WORDS:
             return "short"
         stop = sum(w.lower().strip(_EDGES) in _STOP for w in words) / len(words)
-        if stop >= HIGH_STOP:
-            return "good" if len(words) >= MANY_WORDS else "near"
-        return "near" if stop >= LOW_STOP else "bad"
+        if stop >= HIGH_STOP and len(words) >= MANY_WORDS:
+            return "good"
+        return "near" if stop >= LOW_STOP else "low"
 
 
 def _names(value: str) -> list[list[str]]:
@@ -282,42 +290,61 @@ def _neighbours(labels: list[str]) -> list[list[int]]:
     return found
 
 
-def _deciding(blocks: list[Block]) -> int:
+def _deciding(blocks: list[Block], labels: list[str]) -> int:
     """The level of the marks that decide, 0 for none: see the module's text."""
     for level in sorted({b.inside for b in blocks} - {0}, reverse=True):
-        words: dict[str, list[int]] = {"good": [0, 0], "near": [0, 0], "short": [0, 0]}
-        for b in blocks:
-            marked = b.inside >= level
-            if (label := b.label(marked)) != "bad":
-                words[label][marked] += b.text.count(" ") + 1
-        outside, inside = next((w for w in words.values() if any(w)), (0, 0))
-        if inside > outside:
-            return level
+        for kinds in (("good",), ("near",), ("low", "short")):
+            words = [0, 0]
+            for b, label in zip(blocks, labels):
+                if label in kinds:
+                    words[b.inside >= level] += b.n_words
+            if any(words):
+                if words[1] > words[0]:
+                    return level
+                break
     return 0
 
 
+def _together(blocks: list[Block], labels: list[str]) -> list[str]:
+    """Nearly good blocks that make a long text with those beside them are good;
+    a page without a good block has its best ones as good."""
+    labels, run = list(labels), []
+    for i, label in enumerate([*labels, "bad"]):
+        if label == "near":
+            run.append(i)
+        elif label == "bad":
+            if sum(blocks[k].n_words for k in run) >= MANY_WORDS:
+                for k in run:
+                    labels[k] = "good"
+            run = []
+    if "good" not in labels:
+        best = next((kind for kind in ("near", "low", "short") if kind in labels), None)
+        labels = ["good" if label == best else label for label in labels]
+    return labels
+
+
 def main_blocks(blocks: list[Block]) -> list[Block]:
     """The good blocks after both passes."""
-    best = _deciding(blocks)
-    labels = ["bad" if b.inside < best else b.label(best > 0) for b in blocks]
+    alone = [b.label() for b in blocks]
+    best = _deciding(blocks, alone)
+    alone = ["bad" if b.inside < best else label for b, label in zip(blocks, alone)]
+    labels = _together(blocks, alone)
     if best:
-        # The border of the article is no neighbour.
-        for i, near in enumerate(_neighbours(labels)):
-            if labels[i] in ("short", "near"):
-                own = [labels[k] for k in near if blocks[k].inside >= best]
-                labels[i] += " bad" if own == ["bad", "bad"] else " good"
-        return [b for b, label in zip(blocks, labels) if label.endswith("good")]
+        labels = ["good" if label == "near" else label for label in labels]
+    settled = list(labels)
     for i, near in enumerate(_neighbours(labels)):
         if labels[i] == "near":
-            good = not near or any(labels[k] == "good" for k in near)
-            labels[i] = "good near" if good else "bad near"
-    labels = [label.split(" ")[0] for label in labels]
+            settled[i] = "good" if any(labels[k] == "good" for k in near) else "bad"
+        elif best and labels[i] in ("low", "short"):
+            # The border of the article is no neighbour.
+            own = [labels[k] for k in near if blocks[k].inside >= best]
+            settled[i] = "bad" if own == ["bad", "bad"] else "good"
+    labels = settled
     settled = list(labels)
     for i, near in enumerate(_neighbours(labels)):
-        if labels[i] == "short":
+        if labels[i] in ("low", "short"):
             gap = min((abs(k - i) for k in near), default=0)
-            nearest = {labels[k] for k in near if abs(k - i) == gap}
-            settled[i] = "good" if "good" in nearest else "bad"
+            settled[i] = "good" if any(labels[k] == "good" for k in near if abs(k - i) == gap) else "bad"
     return [b for b, label in zip(blocks, settled) if label == "good"]
 
 

@@ -192,3 +192,44 @@ def test_menus_are_hidden_whatever_they_are_menus_of(name):
     body = "".join(f"<p>{p}</p>" for p in PROSE)
     page = f"<div class=wrap><div class={name}>{PROSE[0]}</div>{body}</div>"
     assert html_text.main_text(page) == "\n\n".join(PROSE)
+
+
+def test_html_of_pages_without_marks():
+    import pyarrow.parquet as pq
+
+    from tests.conftest import SMALL
+
+    pages = pq.read_table(f"{SMALL}/pages.parquet").column("html").to_pylist()
+    for page in filter(None, pages):
+        bare = page.replace("<article", "<div").replace("</article", "</div")
+        assert bare != page and html_text.main_text(bare) == html_text.main_text(page) != ""
+
+
+PARAGRAPHS = [
+    "The river is high in the spring and the people of the town go down to it with their boats, "
+    "as they have done for a hundred years, and when the water is low again they come back to the market.",
+    "Der Fluss ist im Frühling hoch und die Leute aus der Stadt gehen mit den Booten zu ihm hinunter, wie "
+    "sie es seit hundert Jahren tun, und wenn das Wasser wieder niedrig ist, kommen sie auf den Markt zurück.",
+    "Le fleuve est haut au printemps et les gens de la ville vont vers lui avec leurs bateaux, comme ils le "
+    "font depuis cent ans, et quand l'eau est basse ils reviennent au marché de la place avec les enfants.",
+    "El río es alto en la primavera y la gente de la ciudad va a él con sus barcos, como lo hace desde hace "
+    "cien años, y cuando el agua es baja otra vez la gente vuelve al mercado de la plaza con los niños.",
+]
+
+
+@pytest.mark.parametrize("prose", PARAGRAPHS)
+def test_html_passes_decide_without_marks(prose):
+    menu = "".join(f'<li><a href="/{i}">Section number {i}</a></li>' for i in range(9))
+    names = "Aldo Brunt Cesk Dorn Eskil Frode Gunt Halm Ivor Jost Kled Lunt Mard"
+    page = (
+        f"<body><div><ul>{menu}</ul></div><div><h1>Title</h1><p>{prose}</p><p>Short.</p><p>{names}</p>"
+        f"<p>{prose}</p></div><div class=ad>{prose}</div><div><ul>{menu}</ul><p>Imprint</p></div></body>"
+    )
+    want = ["Title", prose, "Short.", names, prose]
+    assert html_text.main_text(page) == "\n\n".join(want)
+    # Where nothing is long enough alone, blocks that stand together are.
+    half = prose[: prose.index(" ", len(prose) // 2)]
+    rest = prose[len(half) + 1 :]
+    page = f"<div><ul>{menu}</ul></div><div><p>{half}</p><p>{rest}</p></div><div><ul>{menu}</ul></div>"
+    assert html_text.main_text(page) == f"{half}\n\n{rest}"
+    assert html_text.main_text(f"<div><ul>{menu}</ul></div><div>Only this.</div>") == "Only this."
