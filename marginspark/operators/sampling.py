@@ -6,6 +6,7 @@ Every choice is a function of the row id and a seed, so a recomputed task
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -29,6 +30,18 @@ def md5_number(seed: int, id_col: str = "id") -> Column:
     return F.conv(F.substring(md5_key(seed, id_col), 1, 8), 16, 10).cast("bigint")
 
 
+def counted(seed: int, kind: str, *numbers: Column) -> Column:
+    """A 52-bit number for each tuple of counters; any engine with md5 can follow."""
+    text = F.concat_ws(":", F.lit(f"{seed}:{kind}"), *[c.cast("string") for c in numbers])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
+def start_vector(n: int, seed: int) -> np.ndarray:
+    """``n`` numbers in [0, 1) by the same rule."""
+    keys = (hashlib.md5(f"{seed}:start:{j}".encode()).hexdigest() for j in range(n))
+    return np.array([int(key[:13], 16) / 2**52 for key in keys])
+
+
 def bernoulli(df: DataFrame, fraction: float, seed: int) -> DataFrame:
     """Keep each row with probability ``fraction``; a map-side filter."""
     if fraction >= 1.0:
@@ -75,11 +88,17 @@ def draw_with_replacement(
     The result is ``(id, stratum, step)`` with dense 0-based steps; see
     :func:`with_rows`.
 
-    Uniform positions need no global sort: ids fall into hash buckets, one
-    narrow scan counts the buckets, and only the ids of buckets that hold a
-    drawn position are ranked.  The driver sees bucket counts (at most
-    ``MAX_BUCKETS``) and the draws themselves.
+    Draw ``d`` of a stratum takes the row at position ``counted(seed, "draw",
+    stratum, d) mod size``, rows being in the order of (bucket, id); the steps
+    follow ``counted(seed, "step", stratum, d)``.
+
+    Positions need no global sort: ids fall into hash buckets, one narrow scan
+    counts the buckets, and only the ids of buckets that hold a drawn position
+    are ranked.  Bucket counts (at most ``MAX_BUCKETS``) and draws are tables;
+    nothing of them reaches the driver.
     """
+    if total < 1:
+        raise ValueError("draw at least one row")
     ws = workspace or Workspace(rows.sparkSession)
     kept = ["id", *([stratum] if stratum else [])]
     key = F.col(stratum).cast("int") if stratum else F.lit(0)
@@ -87,42 +106,60 @@ def draw_with_replacement(
     m, strata = narrow.agg(F.count("*"), F.count_distinct("_stratum")).first()
     if m == 0:
         raise ValueError("nothing to draw from")
-    buckets = int(min(max(m // 32, 1), max(MAX_BUCKETS // strata, 1)))
-    bucket = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(buckets))
-    keyed = narrow.withColumn("_bucket", bucket.cast("int"))
-
-    counts = keyed.groupBy("_stratum", "_bucket").count().toPandas()
-    counts = counts.sort_values(["_stratum", "_bucket"])
-    rng = np.random.default_rng(seed)
-    draws = []
-    for value, group in counts.groupby("_stratum", sort=True):
-        size = int(group["count"].sum())
-        quota = total if stratum is None else -(-size * total // m)
-        ends = group["count"].to_numpy().cumsum()
-        at = rng.integers(0, size, quota)
-        found = np.searchsorted(ends, at, side="right")
-        starts = ends - group["count"].to_numpy()
-        for b, offset in zip(found, at - starts[found]):
-            draws.append((int(value), int(group["_bucket"].iat[b]), int(offset)))
-    steps = rng.permutation(len(draws))
-    drawn = rows.sparkSession.createDataFrame(
-        [(*d, int(s)) for d, s in zip(draws, steps)],
-        "_stratum int, _bucket int, _offset int, step int",
+    keyed = narrow.withColumn(
+        "_bucket", F.pmod(md5_number(seed), F.lit(bucket_count(m, strata))).cast("int")
     )
+
+    counts = keyed.groupBy("_stratum", "_bucket").agg(F.count("*").alias("n"))
+    counts = ws.save(counts, "buckets")
+    before = Window.partitionBy("_stratum").orderBy("_bucket")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(before), F.lit(0))
+    starts = counts.select("_stratum", first.alias("at"), "_bucket", first.alias("first"))
+
+    quota = F.lit(total) if stratum is None else F.ceil(F.col("size") * total / F.lit(m))
+    sizes = counts.groupBy("_stratum").agg(F.sum("n").alias("size"))
+    draws = sizes.withColumn("d", F.explode(F.sequence(F.lit(0), quota.cast("int") - 1)))
+    place = F.pmod(counted(seed, "draw", F.col("_stratum"), F.col("d")), F.col("size"))
+    draws = draws.select("_stratum", place.alias("at"), "d")
+    # The bucket of a draw is the last one that starts at or before its position.
+    up_to = Window.partitionBy("_stratum").orderBy("at", F.col("d").isNotNull())
+    up_to = up_to.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = starts.unionByName(draws, allowMissingColumns=True).select(
+        "_stratum",
+        "d",
+        F.last("_bucket", True).over(up_to).alias("_bucket"),
+        (F.col("at") - F.last("first", True).over(up_to)).alias("_offset"),
+    )
+    # As many rows as draws, which is a parameter whatever the size of the data.
+    turn = Window.orderBy(
+        counted(seed, "step", F.col("_stratum"), F.col("d")), "_stratum", "d"
+    )
+    drawn = found.where(F.col("d").isNotNull()).select(
+        "_stratum",
+        "_bucket",
+        "_offset",
+        (F.row_number().over(turn).cast("bigint") - 1).alias("step"),
+    )
+    drawn = ws.save(drawn, "positions")
     hit = drawn.select("_stratum", "_bucket").distinct()
-    # The number of draws is a parameter, whatever the size of the data.
-    if len(draws) <= MAX_BROADCAST_DRAWS:
+    if total + strata <= MAX_BROADCAST_DRAWS:
         hit, drawn = F.broadcast(hit), F.broadcast(drawn)
     rank = Window.partitionBy("_stratum", "_bucket").orderBy("id")
     picked = (
         keyed.join(hit, ["_stratum", "_bucket"])
-        .withColumn("_offset", F.row_number().over(rank) - 1)
+        .withColumn("_offset", F.row_number().over(rank).cast("bigint") - 1)
         .join(drawn, ["_stratum", "_bucket", "_offset"])
         .select(*kept, "step")
     )
     return ws.save(picked, "draws")
 
 
+def bucket_count(m: int, strata: int) -> int:
+    """Hash buckets of ``m`` rows: some 32 rows each, a bounded number in all."""
+    return int(min(max(m // 32, 1), max(MAX_BUCKETS // strata, 1)))
+
+
 def with_rows(points: DataFrame, draws: DataFrame, workspace: Workspace) -> DataFrame:
     """The drawn rows in full: one scan of ``points``.  The draws are a stored
     table, so their measured size decides how they are joined."""

@@ -33,7 +33,7 @@ class LinearFit:
 
 def _start(n: int, w0: Sequence[float] | None, seed: int) -> np.ndarray:
     if w0 is None:
-        return np.random.default_rng(seed).random(n)
+        return sampling.start_vector(n, seed)
     if len(w0) != n:
         raise ValueError(f"w0 has {len(w0)} numbers, the points have {n}")
     return np.array(w0, dtype=float)

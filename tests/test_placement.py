@@ -76,3 +76,36 @@ def test_null_keys_are_numbered_too(spark, ws, limit):
     assert len(got) == 40
     for _, own in got.groupby("key", dropna=False):
         assert own.sort_values("id")["slot"].tolist() == list(range(len(own)))
+
+
+def test_draws_follow_their_counters(spark, ws):
+    """Ids and steps by the rule in plain Python, for two strata of unlike size."""
+    import hashlib
+
+    def number(text, digits=13):
+        return int(hashlib.md5(text.encode()).hexdigest()[:digits], 16)
+
+    rows = [(i, 0 if i % 7 else 1) for i in range(900)]
+    frame = spark.createDataFrame(rows, "id bigint, cid int").repartition(5)
+    for stratum, total in (("cid", 40), (None, 25)):
+        groups = {}
+        for i, c in rows:
+            groups.setdefault(c if stratum else 0, []).append(i)
+        buckets = sampling.bucket_count(len(rows), len(groups))
+        tickets = []
+        for c, ids in groups.items():
+            ids.sort(key=lambda i: (number(f"9:{i}", 8) % buckets, i))
+            quota = -(-len(ids) * total // len(rows)) if stratum else total
+            for d in range(quota):
+                at = number(f"9:draw:{c}:{d}") % len(ids)
+                tickets.append((number(f"9:step:{c}:{d}"), c, d, ids[at]))
+        want = [(step, t[3]) for step, t in enumerate(sorted(tickets))]
+        got = sampling.draw_with_replacement(frame, total, 9, stratum, ws).collect()
+        assert sorted((r.step, r.id) for r in got) == want
+
+
+@pytest.mark.parametrize("total, rows", [(0, 5), (3, 0)])
+def test_nothing_to_draw_is_told(spark, ws, total, rows):
+    frame = spark.range(rows).select("id")
+    with pytest.raises(ValueError):
+        sampling.draw_with_replacement(frame, total, 1, None, ws)

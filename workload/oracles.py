@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from marginspark.operators.sampling import MAX_BUCKETS
 from marginspark.params import MarginParams
 from workload import fixtures as fx
 from workload.queries import K, PARTS, SEED, SIGMA
@@ -400,16 +401,98 @@ w0 AS (SELECT {vec(fx.weights(4))} AS w)"""
 MODEL = "SELECT (generate_subscripts(w, 1) - 1)::int AS j, round(unnest(w), 6) + 0.0 AS w FROM "
 
 
-def svrg_epochs(epochs: int, steps: int) -> str:
-    ctes = [fx.ORDERS_SQL, SCALED, W0, f"""
-drawn AS (SELECT s, row_number() OVER (ORDER BY {key()}, id) - 1 AS step
-          FROM (SELECT id, s FROM scaled ORDER BY {key()}, id LIMIT {epochs * steps}))"""]
+def counted(kind: str, *numbers: str) -> str:
+    text = " || ':' || ".join([f"'{SEED}:{kind}'", *[f"{n}::varchar" for n in numbers]])
+    return f"('0x' || substr(md5({text}), 1, 13))::bigint"
+
+
+def draws(total: int, source: str = "pts", stratum: str = "") -> list[str]:
+    """``picked`` (step, id, st): draws with replacement from ``source``."""
+    st = stratum or "0"
+    quota = f"ceil(size * {total} / {M_SQL})::bigint" if stratum else str(total)
+    buckets = (
+        f"least(greatest({M_SQL} // 32, 1), greatest({MAX_BUCKETS} // "
+        f"(SELECT count(DISTINCT {st}) FROM {source}), 1))"
+    )
+    return [f"""
+ranked AS (
+  SELECT id, st, row_number() OVER (PARTITION BY st ORDER BY b, id) - 1 AS pos
+  FROM (SELECT id, {st} AS st, {bits()} % {buckets} AS b FROM {source}))""", f"""
+tickets AS (
+  SELECT st, {counted("draw", "st", "d")} % size AS pos,
+         row_number() OVER (ORDER BY {counted("step", "st", "d")}, st, d) - 1 AS step
+  FROM (SELECT st, size, unnest(range({quota})) AS d
+        FROM (SELECT st, count(*) AS size FROM ranked GROUP BY st)))""", """
+picked AS (SELECT t.step, r.id, r.st FROM tickets t JOIN ranked r ON t.st = r.st AND t.pos = r.pos)"""]
+
+
+def start(n: int) -> str:
+    return f"""
+w0 AS (SELECT list({counted("start", "j")} / {2**52}::double ORDER BY j) AS w
+       FROM (SELECT unnest(range({n})) AS j))"""
+
+
+def epochs_over(epochs: int, steps: int) -> list[str]:
+    """``w1``, ``w2``, ...: corrected steps over ``drawn`` (step, s), from ``w0``."""
+    ctes = []
     for e in range(epochs):
         rows = (
             f"SELECT step - {e * steps} AS step, s FROM drawn "
             f"WHERE step >= {e * steps} AND step < {(e + 1) * steps}"
         )
         ctes += inner(f"w{e + 1}", f"w{e}", f"w{e}", rows, 0.0)
+    return ctes
+
+
+DRAWN = """
+drawn AS (SELECT p.step, s.s FROM picked p JOIN scaled s ON p.id = s.id)"""
+
+
+def svrg_drawn(epochs: int, steps: int) -> str:
+    ctes = [fx.ORDERS_SQL, SCALED, start(4), *draws(epochs * steps), DRAWN]
+    return "WITH RECURSIVE " + ",".join(ctes + epochs_over(epochs, steps)) + MODEL + f"w{epochs}"
+
+
+def sampled_centers(k: int, steps: int, x: str = "x") -> list[str]:
+    """``means``: centers after ``steps`` rounds over half the points."""
+    names = [f"c{i}" for i in range(steps)] + ["means"]
+    limit = f"{math.ceil(0.5 * 2**52):013x}"
+    rounds = [centers(k, SEED, names[0]), *[moved(a, b) for a, b in zip(names, names[1:])]]
+    rounds = [c.replace("FROM pts", "FROM half") for c in rounds]
+    return [f"""
+half AS (SELECT id, {x} AS x, y FROM pts WHERE substr({key()}, 1, 13) < '{limit}')""",
+        *[c.replace(" AS (", " AS MATERIALIZED (") for c in rounds],
+    ]
+
+
+def kmeans_of_sample(k: int, steps: int) -> str:
+    return with_(fx.ORDERS_SQL, *sampled_centers(k, steps)) + f"""
+SELECT cid, (j1 - 1)::int AS j, {r6("c")} AS c
+FROM (SELECT cid, generate_subscripts(cx, 1) AS j1, unnest(cx) AS c FROM means)"""
+
+
+def stratified(total: int) -> list[str]:
+    """``picked``: draws by the clusters of label-scaled features."""
+    scaled_x = "list_transform(x, lambda v: v * y)"
+    d2 = D2.replace("p.x", f"list_transform(p.x, lambda v: v * p.y)")
+    return [*sampled_centers(20, 30, scaled_x), f"""
+strata AS MATERIALIZED (
+  SELECT id, arg_min(cid, (d2, cid)) AS cid
+  FROM (SELECT p.id, c.cid, {d2} AS d2 FROM pts p, means c) GROUP BY id)""",
+        *draws(total, "strata", "cid"),
+    ]
+
+
+def svrg_stratified(epochs: int, steps: int) -> str:
+    ctes = [fx.ORDERS_SQL, SCALED, start(4), *stratified(epochs * steps), DRAWN]
+    return "WITH RECURSIVE " + ",".join(ctes + epochs_over(epochs, steps)) + MODEL + f"w{epochs}"
+
+
+def svrg_epochs(epochs: int, steps: int) -> str:
+    ctes = [fx.ORDERS_SQL, SCALED, W0, f"""
+drawn AS (SELECT s, row_number() OVER (ORDER BY {key()}, id) - 1 AS step
+          FROM (SELECT id, s FROM scaled ORDER BY {key()}, id LIMIT {epochs * steps}))"""]
+    ctes += epochs_over(epochs, steps)
     return "WITH RECURSIVE " + ",".join(ctes) + MODEL + f"w{epochs}"
 
 
@@ -442,6 +525,15 @@ dealt AS (
     ),
     "distribution_aware_two_levels": levels(strata(64), "dealt", [64, 32], 1, False),
     "svrg_epochs": svrg_epochs(3, 10),
+    "fit_svrg": svrg_drawn(20, 10),
+    "fit_svrg_stratified": svrg_stratified(30, 100),
+    "sample_with_replacement": with_(fx.ORDERS_SQL, *draws(3000)) + "SELECT step, id FROM picked",
+    "stratified_sample": with_(fx.ORDERS_SQL, *stratified(3000))
+    + "SELECT step, id, st AS cid FROM picked",
+    "random_start": "WITH n AS (SELECT any_value(len(embedding)) + 1 AS n FROM embeddings), "
+    f"""w AS (SELECT unnest(range(n)) AS j FROM n)
+SELECT j::int AS j, {r6(counted("start", "j") + f" / {2**52}::double")} AS w FROM w""",
+    "kmeans": kmeans_of_sample(20, 30),
     "block_svrg_rounds": block_rounds(2, 20, 100_000, 0.2),
     "parse_points": with_(fx.ORDER_LINES_SQL) + f"""
 SELECT {r6("x0")} AS x0, {r6("x1")} AS x1, {r6("x2")} AS x2, {r6("x3")} AS x3,

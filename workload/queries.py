@@ -15,6 +15,7 @@ from marginspark.operators import dual, placement, primal, sampling
 from marginspark.params import MarginParams
 from marginspark.plans import hierarchy, variance_reduced
 from marginspark.sources import sinks, text
+from marginspark.sources.text import check_points
 from marginspark.workspace import Workspace
 from workload import fixtures as fx
 
@@ -679,7 +680,15 @@ def history(spark, sf_dir):
 @query
 def fit_svrg(spark, sf_dir):
     fit = variance_reduced.fit_svrg(fx.orders(spark, sf_dir), params=PARAMS, seed=SEED)
-    return fit.model
+    return _model(spark, fit.w)
+
+
+@query
+def random_start(spark, sf_dir):
+    """The start of a gradient job over the embeddings, one number a feature."""
+    _, n = check_points(fx.embeddings(spark, sf_dir))
+    w = sampling.start_vector(n, SEED)
+    return _model(spark, w)
 
 
 @query
@@ -687,7 +696,7 @@ def fit_svrg_stratified(spark, sf_dir):
     fit = variance_reduced.fit_stratified_svrg(
         fx.orders(spark, sf_dir), params=PARAMS, seed=SEED
     )
-    return fit.model
+    return _model(spark, fit.w)
 
 
 @query
@@ -713,7 +722,8 @@ def sample_with_replacement(spark, sf_dir):
 @query
 def kmeans(spark, sf_dir):
     centers = C.kmeans(fx.orders(spark, sf_dir), 20, 30, 1e-6, 0.5, SEED)
-    return C.centers_frame(spark, centers)
+    rows = C.centers_frame(spark, centers).select("cid", F.posexplode("cx").alias("j", "c"))
+    return rows.select("cid", "j", r6("c").alias("c"))
 
 
 @query
