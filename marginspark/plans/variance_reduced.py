@@ -1,8 +1,8 @@
 """Variance-reduced stochastic gradient jobs for linear models.
 
-Per epoch one distributed pass gives the full gradient; the inner steps touch a
-parameter-sized set of sampled rows in one grouped map, and ``n`` numbers come
-back to the driver.
+Per epoch or round one job: a distributed pass gives the full gradient, whose sums
+go to the grouped map that takes the inner steps over a parameter-sized set of
+sampled rows, and ``n`` numbers come back to the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,25 +73,36 @@ def inner_mean(X, y, start, anchor, full, p: MarginParams, pull: float = 0.0):
     return total / len(X)
 
 
-def _run_block(rows: DataFrame, start, anchor, full, p, pull=0.0) -> np.ndarray:
-    """Inner steps over the rows in ``step`` order, inside one task."""
+def _run_block(
+    rows: DataFrame, start, anchor, batch: DataFrame, m: float, p, pull=0.0
+) -> np.ndarray:
+    """The full gradient of ``batch`` at ``anchor`` and the inner steps over
+    ``rows`` in ``step`` order, in one job: the gradient's ``n`` sums meet the
+    block's rows in the task that takes the steps."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("step")
+        block = table.filter(pc.is_valid(table["step"])).sort_by("step")
+        if not len(block):
+            return pa.table([B.vectors(np.zeros((0, len(anchor))))], names=["w"])
+        sums = table.filter(pc.is_valid(table["j"]))
+        full = np.array(anchor, dtype=float)
+        np.add.at(full, np.asarray(sums["j"]), B.numbers(sums["g"]))
         mean = inner_mean(
-            B.matrix(table["x"]), B.numbers(table["y"]), start, anchor, full, p, pull
+            B.matrix(block["x"]), B.numbers(block["y"]), start, anchor, full, p, pull
         )
         return pa.table([B.vectors(mean[None, :])], names=["w"])
 
+    sums = primal.loss_gradient(batch, anchor, p, m).select("j", "g")
     out = (
-        rows.select("x", "y", "step")
+        rows.select("x", "y", F.col("step").cast("bigint").alias("step"))
+        .unionByName(sums, allowMissingColumns=True)
         .groupBy(F.lit(0).alias("block"))
         .applyInArrow(run, "w array<double>")
-        .first()
+        .collect()
     )
-    if out is None:
+    if not out:
         raise ValueError("a block without rows")
-    return np.array(out["w"], dtype=float)
+    return np.array(out[0]["w"], dtype=float)
 
 
 def run_epochs(
@@ -106,11 +118,10 @@ def run_epochs(
     that epoch's draws; the mean iterate is the next ``w``."""
     spark, trace = points.sparkSession, []
     for epoch in range(epochs):
-        full = primal.gradient_vector(points, w, p, m)
         block = draws.where(
             (F.col("step") >= epoch * steps) & (F.col("step") < (epoch + 1) * steps)
         )
-        w = _run_block(block, w, w, full, p)
+        w = _run_block(block, w, w, points, m, p)
         trace.append((epoch, 0, w.tolist(), None))
     return LinearFit(_model(spark, w), spark.createDataFrame(trace, schema.TRACE), w)
 
@@ -274,10 +285,8 @@ def fit_block_svrg(
             loss = primal.batch_loss(batch, w, params, size_m).first()[0]
             z = w.copy()
             for i in range(rounds):
-                full = primal.gradient_vector(batch, z, params, size_m)
-                z = _run_block(
-                    rows.where(F.col("round") == i), w, z, full, params, pull
-                )
+                block = rows.where(F.col("round") == i)
+                z = _run_block(block, w, z, batch, size_m, params, pull)
                 trace.append((epoch, i, z.tolist(), float(loss)))
             ws.drop(rows)
             if sample is not points:
