@@ -9,6 +9,7 @@ part held in one task and a part spread over many.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,15 +23,21 @@ MEMORY = 12
 MAX_PASSES = 1000
 
 
+@functools.lru_cache(maxsize=4)
+def _upper(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n)
+
+
 def sums(S, s, c, p: MarginParams, second: bool) -> np.ndarray:
     """Loss, gradient and (``second``) Hessian sums of label-scaled rows ``S``
-    with margins ``s``, as one vector; the norm term is not part of them."""
+    with margins ``s``, as one vector, of the Hessian the upper triangle; the
+    norm term is not part of them."""
     low, high = np.maximum(p.low - s, 0.0), np.maximum(s - p.high, 0.0)
     loss = ((low**2 + p.mu * high**2) / (2.0 * c)).sum()
     out = [[loss], ((p.mu * high - low) / c) @ S]
     if second:
         curve = ((low > 0) + p.mu * (high > 0)) / c
-        out.append(((S * curve[:, None]).T @ S).ravel())
+        out.append(((S * curve[:, None]).T @ S)[_upper(S.shape[1])])
     return np.concatenate(out)
 
 
@@ -81,7 +88,10 @@ def advance(t: Trial, v: np.ndarray) -> Trial:
     moves, changes = list(t.moves), list(t.changes)
     size = 1e-9 * (1.0 + np.abs(t.w).max())
     if len(v) > n + 1:
-        direction = -np.linalg.solve(v[n + 1 :].reshape(n, n) + np.eye(n), g)
+        curve = np.zeros((n, n))
+        curve[_upper(n)] = v[n + 1 :]
+        curve = curve + np.triu(curve, 1).T + np.eye(n)
+        direction = -np.linalg.solve(curve, g)
         done = np.abs(direction).max() <= size
     else:
         if t.base is not None and (t.w - t.base) @ (g - t.g) > 0.0:

@@ -19,10 +19,10 @@ size of a part picks the plan and never the answer.
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from marginspark.functions import batches as B
 from marginspark.functions import margin as M
 from marginspark.functions import vectors as V
-from marginspark.operators import damped, placement, primal
+from marginspark.operators import damped, placement, primal, sums
 from marginspark.params import MarginParams
 from marginspark.sources import schema
 from marginspark.workspace import Workspace
@@ -155,123 +155,119 @@ def _solve_in_tasks(duals, tasks, p, m, sweeps, scale):
 
 # --- one part over many tasks ------------------------------------------------
 
-_VECTORS = "array<array<double>>"
-_STATE = (
-    "part int, c double, w array<double>, base array<double>, f double, "
-    "g array<double>, direction array<double>, step double, done boolean, "
-    f"moves {_VECTORS}, changes {_VECTORS}"
-)
+# Numbers in the states that travel with the tasks: parts beyond them wait for
+# their turn.
+STATE_CELLS = 1 << 22
 
 
-def _partials(p: MarginParams, second: bool):
-    """Per task and part, the sums at the part's ``w`` that a step needs."""
+def _step_sums(states: dict, p: MarginParams, second: bool):
+    """What a step needs of the rows, at each part's ``w``; ``states`` has the
+    ``(w, ridge)`` of the parts that are not settled."""
+
+    def prepare(batch: pa.RecordBatch):
+        S, part = B.matrix(batch["x"]), B.numbers(batch["part"])
+        S = S * B.numbers(batch["y"])[:, None]
+
+        def add(at: np.ndarray) -> np.ndarray:
+            (w, c), own = states[int(part[at[0]])], S[at]
+            return damped.sums(own, own @ w, c, p, second)
+
+        return add
+
+    return prepare
+
+
+def _advanced(trials: dict):
+    """One step per part, from its trial and its sums ``v``."""
+
+    def run(batches):
+        for batch in batches:
+            for part, v in zip(batch["part"].to_pylist(), batch["v"]):
+                trial = damped.advance(trials[part], v.values.to_numpy())
+                row = [pa.array([part], pa.int32()), pa.array([pickle.dumps(trial)])]
+                yield pa.RecordBatch.from_arrays(row, ["part", "trial"])
+
+    return run
+
+
+def _state_at(solution: dict, p: MarginParams):
+    """The dual state of rows whose part is solved by ``w``."""
 
     def run(batches):
-        totals: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            S = B.matrix(batch["x"]) * B.numbers(batch["y"])[:, None]
-            s, c, part = (B.numbers(batch[k]) for k in ("s", "c", "part"))
-            for value in np.unique(part):
-                at = part == value
-                v = damped.sums(S[at], s[at], c[at], p, second)
-                key = int(value)
-                totals[key] = totals[key] + v if key in totals else v
-        for key, v in totals.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key], pa.int32()), B.vectors(v[None, :])], ["part", "v"]
-            )
+            S, part = B.matrix(batch["x"]), B.numbers(batch["part"])
+            s, c = np.zeros(len(S)), np.zeros(len(S))
+            for key in np.unique(part):
+                at = part == key
+                w, ridge = solution[int(key)]
+                s[at], c[at] = S[at] @ w, ridge
+            s *= B.numbers(batch["y"])
+            fresh = {
+                "zeta": pa.array(np.maximum(p.low - s, 0.0) / c),
+                "beta": pa.array(np.maximum(s - p.high, 0.0) * p.mu / c),
+            }
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([fresh.get(k, batch[k]) for k in names], names)
 
     return run
 
 
-def _advance_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One step per part, from its stored trial and its new sums ``v``."""
+def _groups(parts: list[int], cells: int) -> list[list[int]]:
+    """Parts in order, as many together as their states allow."""
+    many = max(1, STATE_CELLS // cells)
+    return [parts[i : i + many] for i in range(0, len(parts), many)]
 
-    def array(value):
-        return None if value is None else np.asarray(value, dtype=float)
 
-    out = []
-    for r in pdf.itertuples(index=False):
-        trial = damped.Trial(
-            array(r.w), array(r.base), r.f, array(r.g), array(r.direction), r.step,
-            False, [array(v) for v in r.moves], [array(v) for v in r.changes],
-        )
-        t = damped.advance(trial, array(r.v))
-        out.append(
-            (r.part, r.c, t.w.tolist(), t.base.tolist(), t.f, t.g.tolist(),
-             t.direction.tolist(), t.step, t.done,
-             [v.tolist() for v in t.moves], [v.tolist() for v in t.changes])
-        )
-    columns = [c.split()[0] for c in _STATE.split(", ")]
-    return pd.DataFrame(out, columns=columns)
+def _optima(rows, ridge: dict, p: MarginParams, n: int, tasks: int) -> dict:
+    """``(w, ridge)`` at the optimum of each part of ``ridge``, one job a step."""
+    second = n <= damped.HESSIAN_LIMIT
+    coef = M.signed_coef("y", "zeta", "beta")
+    warm = {r["part"]: r["w"] for r in primal.weighted_sums_by(rows, "part", coef, n).collect()}
+    trials = {k: damped.Trial(np.array(warm[k], dtype=float)) for k in ridge}
+    narrow = rows.select("part", "x", "y")
+    for _ in range(damped.MAX_PASSES):
+        open_ = {k: t for k, t in trials.items() if not t.done}
+        if not open_:
+            return {k: (t.w, ridge[k]) for k, t in trials.items()}
+        states = {k: (t.w, ridge[k]) for k, t in open_.items()}
+        own = narrow if len(open_) == len(trials) else narrow.where(F.col("part").isin(list(open_)))
+        totals = sums.vectors_by(own, "part", _step_sums(states, p, second), tasks)
+        for r in totals.mapInArrow(_advanced(open_), "part int, trial binary").collect():
+            trials[r["part"]] = pickle.loads(r["trial"])
+    raise RuntimeError("the steps did not settle")
 
 
 def _solve_over_tasks(duals, p, m, scale, ws):
-    """Solve every part of ``duals`` without gathering any."""
+    """Solve every part of ``duals`` without gathering any.
+
+    The number of parts is set by parameters; a part's state is a few vectors
+    (``MEMORY`` pairs of them for wide rows) and travels with the tasks.  Rows
+    are stored once, meet no other table and stay where they are."""
     # Rows sorted by part: a task sees few parts, and each row gets its slot.
     rows = ws.save(
-        placement.local_index(duals, "part", workspace=ws, max_window_rows=0),
+        placement.local_index(duals, "part", workspace=ws, max_window_rows=0)
+        .withColumn("slot", F.col("slot").cast("int"))
+        .select("id", "x", "y", "zeta", "beta", "slot", "part"),
         "split-parts",
     )
-    n = rows.select(F.size("x")).first()[0]
-    second = n <= damped.HESSIAN_LIMIT
-    ridge = F.lit(p.ridge(m))
-    if scale == "local":
-        ridge = F.col("n_rows") * F.lit(p.ridge(1.0))
-    vector, none = "array<double>", F.lit(None)
-    warm = primal.weighted_sums_by(
-        rows, "part", M.signed_coef("y", "zeta", "beta"), n
-    )
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n_rows"))
-    state = ws.save(
-        warm.join(sizes, "part").select(
-            "part", ridge.alias("c"), "w", none.cast(vector).alias("base"),
-            F.lit(0.0).alias("f"), none.cast(vector).alias("g"),
-            none.cast(vector).alias("direction"), F.lit(1.0).alias("step"),
-            F.lit(False).alias("done"), F.array().cast(_VECTORS).alias("moves"),
-            F.array().cast(_VECTORS).alias("changes"),
-        ),
-        "trials",
-    )
-    margin = (F.col("y") * V.dot("x", "w")).alias("s")
-    for _ in range(damped.MAX_PASSES):
-        # The state is one row per large part; its stored size tells Catalyst
-        # whether to broadcast it.
-        open_ = state.where(~F.col("done"))
-        totals = (
-            rows.join(open_.select("part", "c", "w"), "part")
-            .select("part", "x", "y", "c", margin)
-            .mapInArrow(_partials(p, second), "part int, v array<double>")
-            .select("part", F.posexplode("v").alias("i", "v"))
-            .groupBy("part", "i")
-            .agg(F.sum("v").alias("v"))
-            .groupBy("part")
-            .agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("v"))
-            .select("part", F.transform("v", lambda e: e["v"]).alias("v"))
-        )
-        stepped = open_.join(totals, "part").mapInPandas(
-            lambda it: (_advance_parts(pdf) for pdf in it if len(pdf)), _STATE
-        )
-        fresh = ws.save(state.where("done").unionByName(stepped), "trials")
-        ws.drop(state)
-        state = fresh
-        if state.where(~F.col("done")).isEmpty():
-            break
-    else:
-        raise RuntimeError("the steps did not settle")
-    s, c = F.col("s"), F.col("c")
-    zeta = F.greatest(F.lit(p.low) - s, F.lit(0.0)) / c
-    beta = F.greatest(s - F.lit(p.high), F.lit(0.0)) * F.lit(p.mu) / c
-    return (
-        rows.join(state.select("part", "c", "w"), "part")
-        .select("id", "x", "y", "slot", "part", "c", margin)
-        .select(
-            "id", "x", "y", zeta.alias("zeta"), beta.alias("beta"),
-            F.col("slot").cast("int").alias("slot"), "part",
-        )
-    )
+    first = rows.select(F.size("x")).first()
+    if first is None:
+        return rows
+    n = first[0]
+    counts = dict(rows.groupBy("part").count().collect())
+    ridge = {k: p.ridge(many if scale == "local" else m) for k, many in counts.items()}
+    tasks = rows.rdd.getNumPartitions()  # of a stored table: nothing runs
+    vectors = 4 if n <= damped.HESSIAN_LIMIT else 4 + 2 * damped.MEMORY
+    out = None
+    for group in _groups(sorted(ridge), n * vectors):
+        whole = len(group) == len(ridge)
+        own = rows if whole else rows.where(F.col("part").between(group[0], group[-1]))
+        solution = _optima(own, {k: ridge[k] for k in group}, p, n, tasks)
+        solved = own.mapInArrow(_state_at(solution, p), schema.DUALS)
+        out = solved if out is None else out.unionByName(solved)
+    return out
 
 
 # --- sweeps of one part over many tasks ----------------------------------------

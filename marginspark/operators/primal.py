@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marginspark.functions import batches as B
 from marginspark.functions import margin as M
 from marginspark.functions.vectors import UNROLL_LIMIT
+from marginspark.operators import sums
 from marginspark.params import MarginParams
 
 
@@ -32,8 +33,8 @@ def weighted_sum(df: DataFrame, weight: Column, n: int, name: str = "w") -> Data
     """
     rows = df.select("x", weight.cast("double").alias("_weight"))
     if n <= UNROLL_LIMIT:
-        sums = [F.sum(F.col("_weight") * F.col("x")[j]) for j in range(n)]
-        vector = F.array(*[F.coalesce(s, F.lit(0.0)) for s in sums])
+        totals = [F.sum(F.col("_weight") * F.col("x")[j]) for j in range(n)]
+        vector = F.array(*[F.coalesce(s, F.lit(0.0)) for s in totals])
         return rows.agg(vector.alias("v")).select(F.posexplode("v").alias("j", name))
 
     def add(batch):
@@ -44,19 +45,18 @@ def weighted_sum(df: DataFrame, weight: Column, n: int, name: str = "w") -> Data
 
 
 def weighted_sums_by(df: DataFrame, key: str, weight: Column, n: int) -> DataFrame:
-    """:func:`weighted_sum` per ``key``, as rows ``(key, w array)``."""
+    """:func:`weighted_sum` per ``key``, as rows ``(key, w array)``; wide vectors
+    are summed whole, see :mod:`sums`."""
     rows = df.select(key, "x", weight.cast("double").alias("_weight"))
     if n <= UNROLL_LIMIT:
-        sums = [F.sum(F.col("_weight") * F.col("x")[j]) for j in range(n)]
-        return rows.groupBy(key).agg(F.array(*sums).alias("w"))
-    return (
-        rows.select(key, "_weight", F.posexplode("x").alias("j", "v"))
-        .groupBy(key, "j")
-        .agg(F.sum(F.col("_weight") * F.col("v")).alias("v"))
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("w"))
-        .select(key, F.transform("w", lambda e: e["v"]).alias("w"))
-    )
+        totals = [F.sum(F.col("_weight") * F.col("x")[j]) for j in range(n)]
+        return rows.groupBy(key).agg(F.array(*totals).alias("w"))
+
+    def add(batch):
+        X, weights = B.matrix(batch["x"]), B.numbers(batch["_weight"])
+        return lambda at: weights[at] @ X[at]
+
+    return sums.vectors_by(rows, key, add).withColumnRenamed("v", "w")
 
 
 def loss_gradient(
