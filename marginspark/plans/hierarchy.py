@@ -7,7 +7,7 @@ parts a level has and which rows are carried on, so they share one driver.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,13 +156,17 @@ def fit_hierarchy(
     kernel: str = "linear",
     sigma: float = 1.0,
     rank: int | None = None,
+    resume: bool = False,
 ) -> Fit:
     """Train by the named policy from ``base ** levels`` parts downwards.
 
     ``fraction`` is the sample that clustering and landmark selection see.
     Every part is solved to its optimum, or with ``sweeps`` by at most
     ``sweeps + 1`` sweeps, which takes long for parts above ``max_part_rows``.
-    With ``sink_dir`` history and coefficients are appended there per level.
+    With ``sink_dir`` history and coefficients are committed there level by
+    level (see ``sinks.RunFolder``), in a folder without another run.
+    ``resume=True`` takes a stopped run of the same settings up after its last
+    committed level, from the rows that its workspace has stored.
 
     ``kernel="rbf"`` trains with a Gaussian kernel of width ``sigma``: rows are
     replaced once by their coordinates in the span of ``rank`` greedy landmarks
@@ -178,6 +182,8 @@ def fit_hierarchy(
     spark = points.sparkSession
     ws = workspace or Workspace(spark)
     began = time.monotonic()
+    if resume and not sink_dir:
+        raise ValueError("only a run with a sink_dir can be resumed")
     points = points.select("id", "x", "y")
     features = None
     if kernel == "rbf":
@@ -191,15 +197,58 @@ def fit_hierarchy(
     plan = [(lv, policy.base**lv) for lv in range(levels, policy.last_level - 1, -1)]
     if policy.final_gather:
         plan.append((0, 1))
+    run, done = None, []
+    if sink_dir:
+        settings = {
+            "policy": asdict(policy), "params": asdict(params), "levels": levels,
+            "sweeps": sweeps, "seed": seed, "fraction": fraction, "n_clusters": n_clusters,
+            "n_landmarks": n_landmarks, "landmark_kernel": landmark_kernel, "gram": gram,
+            "merge": merge, "rotate": rotate, "scale": scale, "kernel": kernel,
+            "sigma": sigma, "rank": rank, "rows": m, "features": n,
+        }
+        run = sinks.RunFolder(spark, sink_dir)
+        done = run.begin(settings, resume)
+
+    def next_level(solved: DataFrame, step: int):
+        """Where the rows go next, what is counted on the way, and the number of
+        support vectors."""
+        last = step == len(plan) - 1
+        gathers = policy.final_gather and step == len(plan) - 2
+        carried = None
+        if not last and (policy.support_only or gathers):
+            carried = M.is_support("zeta", "beta")
+        state = solved
+        if gathers:
+            state = placement.gather(solved)
+        elif not last and policy.start != "cluster":
+            state = placement.merge_deal(solved, plan[step + 1][1], merge)
+        counted = dual.part_sizes(state, max_part_rows, carried)
+        state = state if carried is None else state.where(carried)
+        reassigned = policy.start == "cluster" and not gathers
+        return state, None if reassigned else counted, counted.n_support
+
+    table, sizes, coefs, history = None, None, None, []
+    if done:
+        began -= done[-1].elapsed_ms / 1000.0
+        history = [tuple(r) for r in run.read("history", schema.HISTORY).orderBy(F.desc("level")).collect()]
+        for c in done:
+            stored = spark.read.schema(schema.COEF).parquet(c.coef)
+            coefs = stored if coefs is None else coefs.unionByName(stored)
+        table = spark.read.schema(schema.DUALS).parquet(done[-1].state)
+        state = table
+        if len(done) < len(plan):
+            state, sizes, _ = next_level(table, len(done) - 1)
     mark = ws.mark()
-    state = dual.zero_duals(
-        _first_parts(
-            points, policy, levels, seed, fraction, n_clusters, n_landmarks, ws,
-            landmark_kernel, gram, rotate, sigma, features,
+    if not done:
+        state = dual.zero_duals(
+            _first_parts(
+                points, policy, levels, seed, fraction, n_clusters, n_landmarks, ws,
+                landmark_kernel, gram, rotate, sigma, features,
+            )
         )
-    )
-    table, sizes, coefs, history = None, None, None, []
     for step, (level, k) in enumerate(plan):
+        if step < len(done):
+            continue
         if sizes is None:
             if policy.start == "cluster":
                 centers = clustering.kmeans(
@@ -220,36 +269,22 @@ def fit_hierarchy(
             "coef",
         )
         elapsed = int((time.monotonic() - began) * 1000)
-        # the input, sorted copies and trial states of this level, and the last one
+        # the input, sorted copies and trial states of this level
         ws.release(mark, fresh, level_coef)
-        ws.drop(table)
         mark = ws.mark()
-        solved_sizes, table, state = sizes, fresh, fresh
-
-        # Where the rows go next, and what is counted on the way.
-        last = step == len(plan) - 1
-        gathers = policy.final_gather and step == len(plan) - 2
-        carried = None
-        if not last and (policy.support_only or gathers):
-            carried = M.is_support("zeta", "beta")
-        if gathers:
-            state = placement.gather(state)
-        elif not last and policy.start != "cluster":
-            state = placement.merge_deal(state, plan[step + 1][1], merge)
-        counted = dual.part_sizes(state, max_part_rows, carried)
-        state = state if carried is None else state.where(carried)
-        reassigned = policy.start == "cluster" and not gathers
-        sizes = None if reassigned else counted
-
+        solved_sizes, before, table = sizes, table, fresh
+        state, sizes, n_support = next_level(fresh, step)
         history.append(
-            (name, level, solved_sizes.n_parts, solved_sizes.n_rows, counted.n_support,
+            (name, level, solved_sizes.n_parts, solved_sizes.n_rows, n_support,
              solved_sizes.max_part_rows, solved_sizes.n_split_parts, elapsed)
         )
         coefs = level_coef if coefs is None else coefs.unionByName(level_coef)
-        if sink_dir:
-            sinks.append_coefs(level_coef, sink_dir)
-            sinks.append_history(
-                spark.createDataFrame(history[-1:], schema.HISTORY), sink_dir
+        if run:
+            row = spark.createDataFrame(history[-1:], schema.HISTORY)
+            run.commit(
+                level_coef, row, sinks.Commit(level, ws.path(fresh), ws.path(level_coef), elapsed)
             )
+        # nothing needs the level before any more, a resumed run neither
+        ws.drop(before)
     points.unpersist()
     return Fit(coefs, table, spark.createDataFrame(history, schema.HISTORY), n, features)

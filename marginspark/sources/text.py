@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginspark.workspace import Workspace
 
+# Input splits, each a path and two numbers, that may travel with the tasks.
+MAX_BROADCAST_SPLITS = 100_000
+
 
 def parse_lines(lines: DataFrame, sep: str = ",", width: int | None = None) -> DataFrame:
     """Parse a ``value`` column into ``x``, ``y`` and a ``reason`` that is null
@@ -57,9 +62,13 @@ def read_points(
     """Read text files into ``(points, rejected)``.
 
     The row id is the row's place among the good rows in file order.  It is
-    found without a sort: rows of one split are contiguous, so a count per
-    split gives each split's first id.  The result is stored, which pins the ids
-    and spares later passes the text parsing.
+    found without a sort or a window over rows: good rows are numbered as they
+    are stored, so those of one input split lie in a run without gaps, and a
+    directory with a row per split says by how much its run has to be shifted.
+    However long a split is, its ids are a projection, in as many tasks as the
+    stored rows have.  The rows are stored once, which pins the numbers and
+    spares later passes the text parsing; the ids are added as they are read,
+    unless the directory is too long to travel with the tasks.
     """
     ws = workspace or Workspace(spark)
     mark = ws.mark()
@@ -70,41 +79,61 @@ def read_points(
     )
     if width is None:
         width = common_width(lines, sep)
-    parsed = ws.save(
-        parse_lines(lines, sep, width).withColumn(
-            "_pos", F.monotonically_increasing_id()
-        ),
-        "parsed",
+    parsed = parse_lines(lines, sep, width)
+    good = parsed.where("reason is null").select(
+        "_file", "_start", F.monotonically_increasing_id().alias("_pos"), "x", "y"
     )
+    good = ws.save(good, "good")
     rejected = ws.save(
         parsed.where("reason is not null").select(F.col("value").alias("line"), "reason"),
         "rejected",
     )
-    good = parsed.where("reason is null").drop("value", "reason")
-    # Bad rows leave gaps inside a split: number the good rows of a split by
-    # a window over that split only.
-    split = Window.partitionBy("_file", "_start").orderBy("_pos")
-    counts = good.groupBy("_file", "_start").count()
-    before = Window.orderBy("_file", "_start").rowsBetween(
-        Window.unboundedPreceding, -1
+    directory = ws.save(_directory(good, ws), "directory")
+    short = directory.count() <= MAX_BROADCAST_SPLITS
+    points = good.join(F.broadcast(directory) if short else directory, ["_file", "_start"])
+    points = points.select((F.col("_pos") + F.col("_shift")).alias("id"), "x", "y")
+    if short:
+        ws.release(mark, good, directory, rejected)
+    else:
+        points = ws.save(points, "points")
+        ws.release(mark, points, rejected)
+    return points, rejected
+
+
+def _directory(good: DataFrame, ws: Workspace) -> DataFrame:
+    """``(_file, _start, _shift)``: what turns ``_pos`` into the id, per split.
+
+    Splits are sorted over tasks and added up within each; the totals of the
+    tasks, one number for each, are added up on the driver."""
+    splits = good.groupBy("_file", "_start").agg(
+        F.min("_pos").alias("_first"), F.count("*").alias("_n")
     )
-    # one row per input split reaches this window
-    offsets = ws.save(
-        counts.select(
-            "_file",
-            "_start",
-            F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"),
+    ordered = splits.repartitionByRange("_file", "_start").sortWithinPartitions("_file", "_start")
+
+    def add_up(batches):
+        before = 0
+        for batch in batches:
+            n = batch["_n"].to_numpy()
+            start = pa.array(before + np.cumsum(n) - n)
+            before += int(n.sum())
+            columns = [batch[k] for k in ("_file", "_start", "_run", "_first", "_n")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, start], ["_file", "_start", "_run", "_first", "_n", "_before"]
+            )
+
+    runs = ws.save(
+        ordered.withColumn("_run", F.spark_partition_id()).mapInArrow(
+            add_up, "_file string, _start long, _run int, _first long, _n long, _before long"
         ),
-        "offsets",
+        "runs",
     )
-    points = (
-        good.withColumn("_i", F.row_number().over(split) - 1)
-        .join(offsets, ["_file", "_start"])
-        .select((F.col("_before") + F.col("_i")).alias("id"), "x", "y")
-    )
-    points = ws.save(points, "points")
-    ws.release(mark, points, rejected)
-    return points, rejected
+    base, totals = 0, []
+    for r in runs.groupBy("_run").agg(F.sum("_n").alias("n")).orderBy("_run").collect():
+        totals.append((r["_run"], base))
+        base += r["n"]
+    bases = ws.spark.createDataFrame(totals, "_run int, _base long")
+    shift = F.col("_base") + F.col("_before") - F.col("_first")
+    return runs.join(F.broadcast(bases), "_run").select("_file", "_start", shift.alias("_shift"))
 
 
 def dimensions(points: DataFrame) -> DataFrame:

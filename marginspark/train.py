@@ -41,6 +41,7 @@ def arguments() -> argparse.ArgumentParser:
     h.add_argument("--kernel", choices=("linear", "rbf"), default="linear")
     h.add_argument("--sigma", type=float, default=1.0)
     h.add_argument("--rank", type=int, help="dimensions of the kernel's feature map")
+    h.add_argument("--resume", action="store_true", help="go on after the last committed level")
     g = p.add_argument_group("gradient jobs")
     g.add_argument("--epochs", type=int, default=20)
     g.add_argument("--steps", type=int, default=10, help="steps or rounds per epoch")
@@ -54,7 +55,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = arguments().parse_args(argv)
     spark = spark or SparkSession.builder.appName("marginspark").getOrCreate()
     params = MarginParams(**{name: getattr(a, name) for name in vars(MarginParams())})
-    sinks.require_empty(spark, a.output)
+    if a.resume and a.job not in POLICIES:
+        raise ValueError(f"{a.job} cannot be resumed")
+    if not a.resume:
+        sinks.require_empty(spark, a.output)
     ws = Workspace(spark)
     points, rejected = read_points(spark, a.input, a.separator, a.width, ws)
     rejected.write.mode("overwrite").parquet(f"{a.output}/rejected")
@@ -64,7 +68,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             points, a.job, levels=a.levels, fraction=a.fraction,
             sweeps=None if a.sweeps < 0 else a.sweeps, n_clusters=a.clusters,
             n_landmarks=a.landmarks, sink_dir=a.output, kernel=a.kernel, sigma=a.sigma,
-            rank=a.rank, **common,
+            rank=a.rank, resume=a.resume, **common,
         )
         model = fit.weights
     else:

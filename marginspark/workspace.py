@@ -52,6 +52,10 @@ class Workspace:
         """Delete a table made by :meth:`save` once nothing reads it any more."""
         self._delete(getattr(table, "_marginspark_table", None))
 
+    def path(self, table: DataFrame) -> str:
+        """Where a table made by :meth:`save` is stored."""
+        return self._paths[table._marginspark_table]
+
     def mark(self) -> int:
         """A point in time for :meth:`release`."""
         return self._count

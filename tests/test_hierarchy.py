@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from marginspark import POLICIES, MarginParams, fit_hierarchy
 from marginspark.operators import dual, primal
+from marginspark.plans import hierarchy
+from marginspark.sources import schema, sinks
+from marginspark.workspace import Workspace
 from tests import brute
 from tests.conftest import SMALL, blobs, frame
 from workload import fixtures as fx
@@ -129,3 +132,71 @@ def test_support_vectors_drop_nan_free(spark, ws, blob_points):
     state = dual.zero_duals(blob_points).withColumn("zeta", F.lit(0.5))
     assert dual.support_vectors(state).count() == 200
     assert dual.support_vectors(dual.zero_duals(blob_points)).count() == 0
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("policy", ["cascade", "divide_conquer", "distribution_aware"])
+def test_a_stopped_run_goes_on_after_its_last_level(
+    spark, ws, blob_points, tmp_path, monkeypatch, policy
+):
+    """Same coefficients as without the stop; what the stopped level left behind
+    is never read."""
+    shape = {**SHAPE, "levels": 3 if policy == "distribution_aware" else 2}
+    whole = fit_hierarchy(blob_points, policy, P, workspace=ws, **shape)
+    folder, solve, done = str(tmp_path / "out"), dual.solve_parts, []
+
+    def stops(*args, **kw):
+        done.append(1)
+        if len(done) == 2:
+            raise Stopped
+        return solve(*args, **kw)
+
+    monkeypatch.setattr(dual, "solve_parts", stops)
+    with pytest.raises(Stopped):
+        fit_hierarchy(blob_points, policy, P, workspace=ws, sink_dir=folder, **shape)
+    monkeypatch.setattr(dual, "solve_parts", solve)
+    run = sinks.RunFolder(spark, folder)
+    assert [c.level for c in run.commits()] == [shape["levels"]]
+    next_one = shape["levels"] - 1
+    for table in ("coef", "history"):
+        spark.range(3).write.parquet(f"{folder}/{table}/level={next_one}")
+    assert run.read("history", schema.HISTORY).count() == 1
+    first = run.read("coef", schema.COEF)
+    assert {r["level"] for r in first.select("level").distinct().collect()} == {shape["levels"]}
+
+    monkeypatch.setattr(hierarchy.clustering, "landmarks", None)  # not chosen again
+    fit = fit_hierarchy(blob_points, policy, P, workspace=Workspace(spark, str(tmp_path / "new")),
+                        sink_dir=folder, resume=True, **shape)
+    want = whole.coef.toPandas().sort_values(["level", "id"])
+    for got in (fit.coef, run.read("coef", schema.COEF)):
+        got = got.toPandas().sort_values(["level", "id"])
+        assert (got[["level", "id"]].to_numpy() == want[["level", "id"]].to_numpy()).all()
+        np.testing.assert_allclose(got["coef"], want["coef"], atol=1e-9)
+    columns = ["solver", "level", "n_parts", "n_rows", "n_support", "max_part_rows"]
+    for history in (fit.history, run.read("history", schema.HISTORY)):
+        assert sorted(history.select(*columns).collect()) == sorted(whole.history.select(*columns).collect())
+    np.testing.assert_allclose(
+        primal.to_vector(fit.weights, 3), primal.to_vector(whole.weights, 3), atol=1e-9
+    )
+    # a run that is through is only read
+    monkeypatch.setattr(dual, "solve_parts", None)
+    again = fit_hierarchy(blob_points, policy, P, workspace=ws, sink_dir=folder, resume=True, **shape)
+    assert again.coef.count() == len(want) and again.duals.count() == whole.duals.count()
+
+
+def test_runs_are_not_mixed(spark, ws, blob_points, tmp_path):
+    folder, shape = str(tmp_path / "out"), {**SHAPE, "levels": 1}
+    fit_hierarchy(blob_points, "random", P, workspace=ws, sink_dir=folder, **shape)
+    with pytest.raises(FileExistsError):
+        fit_hierarchy(blob_points, "random", P, workspace=ws, sink_dir=folder, **shape)
+    with pytest.raises(ValueError, match="other settings"):
+        fit_hierarchy(blob_points, "random", P, workspace=ws, sink_dir=folder, resume=True,
+                      **{**shape, "seed": 4})
+    with pytest.raises(ValueError, match="sink_dir"):
+        fit_hierarchy(blob_points, "random", P, workspace=ws, resume=True, **shape)
+    spark.range(1).write.parquet(str(tmp_path / "used/history"))
+    with pytest.raises(FileExistsError):
+        fit_hierarchy(blob_points, "random", P, workspace=ws, sink_dir=str(tmp_path / "used"), **shape)

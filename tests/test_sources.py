@@ -1,3 +1,5 @@
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def test_points_and_rejects(spark, ws, tmp_path):
     assert text.check_points(points) == (40, 3)
 
 
-def test_ids_follow_the_file_order_over_many_splits(spark, ws, tmp_path):
+def test_ids_follow_the_file_order_over_many_splits(spark, ws, tmp_path, monkeypatch):
     lines = [f"{i},{i},1" for i in range(5000)]
     write(tmp_path / "in/a.txt", lines[:4000])
     write(tmp_path / "in/b.txt", lines[4000:])
@@ -41,10 +43,39 @@ def test_ids_follow_the_file_order_over_many_splits(spark, ws, tmp_path):
         points, rejected = text.read_points(spark, str(tmp_path / "in"), workspace=ws)
         assert points.where("x[0] <> id").count() == 0
         assert points.count() == 5000 and rejected.count() == 0
+        # a directory that is too long to travel makes no difference
+        monkeypatch.setattr(text, "MAX_BROADCAST_SPLITS", 0)
+        again, _ = text.read_points(spark, str(tmp_path / "in"), workspace=ws)
+        assert again.where("x[0] <> id").count() == 0 and again.count() == 5000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_files_that_cannot_be_split(spark, ws, tmp_path):
+    """Ids of compressed files skip their bad lines, with no window in the plan
+    and one stored copy of the rows."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = [f"{i},{i},1" if i % 7 else "bad" for i in range(3000)]
+    for name, own in (("a", lines[:1000]), ("b", lines[1000:1001]), ("c", lines[1001:])):
+        with gzip.open(folder / f"{name}.txt.gz", "wt") as out:
+            out.write("\n".join(own) + "\n")
+    points, rejected = text.read_points(spark, str(folder), workspace=ws)
+    want = [i for i in range(3000) if i % 7]
+    assert [r["x"][0] for r in points.orderBy("id").collect()] == want
+    assert [r["id"] for r in points.orderBy("id").collect()] == list(range(len(want)))
+    assert rejected.count() == 3000 - len(want)
+    assert "Window" not in points._jdf.queryExecution().optimizedPlan().toString()
+    stored = {f.parent.name.split("-", 1)[1] for f in tmp_path.rglob("_SUCCESS")}
+    assert stored == {"good", "directory", "rejected"}
+
+
+def test_no_good_lines(spark, ws, tmp_path):
+    write(tmp_path / "in/a.txt", ["x,1", "y,2"])
+    points, rejected = text.read_points(spark, str(tmp_path / "in"), workspace=ws)
+    assert points.count() == 0 and rejected.count() == 2
+
+
 def test_orders_survive_the_round_trip(spark, ws, tmp_path):
     points = fx.orders(spark, SMALL)
     features = F.slice("x", 1, 3)

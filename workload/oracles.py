@@ -194,7 +194,7 @@ PAR = f"""
 par AS (SELECT count(*) * {D} / {num(2 * LAM)} AS c FROM pts)"""
 
 
-def level(name: str, source: str, count: int) -> list[str]:
+def level(name: str, source: str, count: int, ridges: str = ", par") -> list[str]:
     """Sweeps over every part of ``source`` (id, part, s, q, zeta, beta), row by
     row: each visit is a recursion over the row numbers of the part.  The result
     ``name`` has the same columns and ``slot``."""
@@ -224,7 +224,7 @@ def level(name: str, source: str, count: int) -> list[str]:
                greatest(0::double, o.a - ({sign} * list_inner_product(r.s, p.u)
                  + {ridge} * o.a + {num(shift)}) / (r.q + {ridge})) AS a
         FROM {visit} p JOIN {name}_rows r ON r.part = p.part AND r.slot = p.slot + 1
-        JOIN {old} o ON o.part = r.part AND o.slot = r.slot, par))""")
+        JOIN {old} o ON o.part = r.part AND o.slot = r.slot{ridges}))""")
             u = f"(SELECT part, arg_max(u, slot) AS u FROM {visit} GROUP BY part)"
             state[a] = visit
     ctes.append(f"""
@@ -235,22 +235,53 @@ def level(name: str, source: str, count: int) -> list[str]:
     return ctes
 
 
-def levels(points: list[str], parts: str, sizes: list[int], count: int, support: bool) -> str:
-    """Train from the rows of ``parts`` (id, part) down the given part counts."""
-    ctes = [*points, PAR, f"""
+def first_rows(points: list[str], parts: str) -> list[str]:
+    """The rows of ``parts`` (id, part) with the zero state."""
+    return [*points, PAR, f"""
 first AS (
   SELECT p.id, k.part, list_transform(p.x, lambda v: v * p.y) AS s,
          list_inner_product(p.x, p.x) AS q, 0::double AS zeta, 0::double AS beta
-  FROM pts p JOIN {parts} k ON k.id = p.id)""", *level("l0", "first", count)]
+  FROM pts p JOIN {parts} k ON k.id = p.id)"""]
+
+
+def level_ctes(
+    points: list[str], parts: str, sizes: list[int], count: int, support: bool = False
+) -> list[str]:
+    """Train from the rows of ``parts`` (id, part) down the given part counts."""
+    ctes = [*first_rows(points, parts), *level("l0", "first", count)]
     keep = "WHERE zeta + beta > 0" if support else ""
     for i, k in enumerate(sizes[1:], 1):
         source = f"""(SELECT id, (slot % {k})::int AS part, s, q, zeta, beta
          FROM l{i - 1} {keep})"""
         ctes += level(f"l{i}", source, count)
-    return "WITH RECURSIVE " + ",".join(ctes) + f"""
+    return ctes
+
+
+STATE = """
 SELECT id, part, slot::int AS slot, round(zeta, 9) + 0.0 AS zeta,
        round(beta, 9) + 0.0 AS beta
-FROM l{len(sizes) - 1}"""
+FROM """
+
+
+def levels(points: list[str], parts: str, sizes: list[int], count: int, support: bool) -> str:
+    ctes = level_ctes(points, parts, sizes, count, support)
+    return "WITH RECURSIVE " + ",".join(ctes) + STATE + f"l{len(sizes) - 1}"
+
+
+def local_scale(k: int, count: int) -> str:
+    """One level whose parts have their own number of rows as the scale."""
+    own = f"""
+own AS (SELECT part, count(*) * {D} / {num(2 * LAM)} AS c FROM first GROUP BY part)"""
+    ctes = [*first_rows([fx.ORDERS_SQL], split(k)), own, *level("l0", "first", count, " JOIN own ON own.part = r.part")]
+    return "WITH RECURSIVE " + ",".join(ctes) + STATE + "l0"
+
+
+def run_of(select: str) -> str:
+    """``select`` over each level (``{rows}``, numbered ``{level}``) of the run
+    of 81 and 27 parts."""
+    ctes = level_ctes([fx.ORDERS_SQL], split(81), [81, 27], 1)
+    parts = [select.format(level=4 - i, rows=f"l{i}") for i in (0, 1)]
+    return "WITH RECURSIVE " + ",".join(ctes) + " UNION ALL ".join(parts)
 
 
 def strata(k: int) -> list[str]:
@@ -496,7 +527,7 @@ drawn AS (SELECT s, row_number() OVER (ORDER BY {key()}, id) - 1 AS step
     return "WITH RECURSIVE " + ",".join(ctes) + MODEL + f"w{epochs}"
 
 
-def block_rounds(rounds: int, blocks: int, rows_per_part: int, pull: float) -> str:
+def block_ctes(rounds: int, blocks: int, rows_per_part: int, pull: float) -> list[str]:
     ctes = [fx.ORDERS_SQL, SCALED, W0, f"""
 parted AS (SELECT id, s, {bits()} % ceil({M_SQL} / {rows_per_part}::double)::bigint AS part
            FROM scaled)""", f"""
@@ -508,12 +539,36 @@ first_part AS (SELECT s, row_number() OVER (ORDER BY id) - 1 AS slot,
             f"WHERE slot // size = {r}"
         )
         ctes += inner(f"w{r + 1}", "w0", f"w{r}", rows, pull)
+    return ctes
+
+
+def block_rounds(rounds: int, blocks: int, rows_per_part: int, pull: float) -> str:
+    ctes = block_ctes(rounds, blocks, rows_per_part, pull)
     return "WITH RECURSIVE " + ",".join(ctes) + MODEL + f"w{rounds}"
 
 
+def block_trace(rounds: int, blocks: int, rows_per_part: int, pull: float) -> str:
+    ctes = block_ctes(rounds, blocks, rows_per_part, pull)
+    models = [
+        f"SELECT {r}::int AS round, j, w FROM ({MODEL} w{r + 1})" for r in range(rounds)
+    ]
+    return "WITH RECURSIVE " + ",".join(ctes) + " UNION ALL ".join(models)
+
+
 ORACLES: dict[str, str] = {
     "dual_two_sweeps": levels([fx.ORDERS_SQL], split(PARTS), [PARTS], 2, False),
     "dual_two_sweeps_split": levels([fx.ORDERS_SQL], split(PARTS), [PARTS], 2, False),
+    "dual_two_sweeps_local_scale": local_scale(PARTS, 2),
+    "run_history": run_of("""
+SELECT {level}::int AS level, count(*)::int AS n_parts, sum(n)::bigint AS n_rows,
+       sum(support)::bigint AS n_support, max(n)::bigint AS max_part_rows
+FROM (SELECT count(*) AS n, count(*) FILTER (zeta > 0 OR beta > 0) AS support
+      FROM {rows} GROUP BY part)"""),
+    "run_coefficients": run_of("""
+SELECT {level}::int AS level, id, round(y * (zeta - beta), 9) + 0.0 AS coef
+FROM {rows} JOIN pts USING (id) WHERE y * (zeta - beta) <> 0"""),
+    "trace_sink": block_trace(2, 20, 100_000, 0.2),
+    "weight_text_sink": recover(fx.ORDERS_SQL),
     "random_two_levels": levels([fx.ORDERS_SQL], split(81), [81, 27], 1, False),
     "cascade_four_levels": levels([fx.EMBEDDINGS_SQL], split(8), [8, 4, 2, 1], 2, True),
     "divide_conquer_three_levels": clustered_levels(2, 2),

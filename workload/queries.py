@@ -14,7 +14,7 @@ from marginspark.operators import clustering as C
 from marginspark.operators import dual, placement, primal, sampling
 from marginspark.params import MarginParams
 from marginspark.plans import hierarchy, variance_reduced
-from marginspark.sources import sinks, text
+from marginspark.sources import schema, sinks, text
 from marginspark.sources.text import check_points
 from marginspark.workspace import Workspace
 from workload import fixtures as fx
@@ -641,6 +641,62 @@ def coefficient_sink(spark, sf_dir):
     return spark.read.parquet(f"{ws.root}/coef").select("id", "coef")
 
 
+def _run(spark, sf_dir):
+    """Training of 81 and 27 parts, one sweep each, with a folder for its output."""
+    ws = Workspace(spark)
+    hierarchy.fit_hierarchy(
+        fx.orders(spark, sf_dir), hierarchy.Policy(3, "random", 3), PARAMS, levels=4, sweeps=0,
+        seed=SEED, sink_dir=f"{ws.root}/out",
+    )
+    return sinks.RunFolder(spark, f"{ws.root}/out")
+
+
+@query
+def run_history(spark, sf_dir):
+    """The committed levels' rows of history, but for the clock."""
+    rows = _run(spark, sf_dir).read("history", schema.HISTORY)
+    return rows.select("level", "n_parts", "n_rows", "n_support", "max_part_rows")
+
+
+@query
+def run_coefficients(spark, sf_dir):
+    """The committed levels' coefficients."""
+    rows = _run(spark, sf_dir).read("coef", schema.COEF)
+    return rows.select("level", "id", (F.round("coef", 9) + F.lit(0.0)).alias("coef"))
+
+
+@query
+def trace_sink(spark, sf_dir):
+    """The weights of each round, written to the sink and read back."""
+    ws = Workspace(spark)
+    variance_reduced.fit_block_svrg(
+        fx.orders(spark, sf_dir), rounds=2, epochs=0, params=PARAMS, seed=SEED,
+        w0=fx.weights(4), sink_dir=ws.root,
+    )
+    rows = spark.read.parquet(f"{ws.root}/trace").select("round", F.posexplode("w").alias("j", "w"))
+    return rows.select("round", "j", r6("w").alias("w"))
+
+
+@query
+def weight_text_sink(spark, sf_dir):
+    """Weights written as one line of text and read back."""
+    path = f"{Workspace(spark).root}/weights"
+    sinks.write_weights_text(primal.recover_weights(_duals(spark, sf_dir), 4), path)
+    fields = F.split("value", ",")
+    rows = spark.read.text(path).select(F.posexplode(fields).alias("j", "w"))
+    return rows.select("j", r6(F.col("w").cast("double")).alias("w"))
+
+
+@query
+def dual_two_sweeps_local_scale(spark, sf_dir):
+    """Two sweeps of all parts, each with its own number of rows as the scale."""
+    points = placement.random_split(fx.orders(spark, sf_dir), PARTS, SEED)
+    solved = dual.solve_parts(
+        dual.zero_duals(points), PARAMS, points.count(), 1, PARTS, Workspace(spark), scale="local"
+    )
+    return _state(solved)
+
+
 @query
 def fit_dc(spark, sf_dir):
     return _fit(spark, sf_dir, "divide_conquer", levels=4, fraction=0.1).coef
