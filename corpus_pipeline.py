@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginspark.llm import line_dedup, near_copies as copies, packing, quality, toxicity
+from marginspark.llm import line_dedup, near_copies as copies, packing, quality, simhash, toxicity
 from marginspark.llm.batches import size_for_texts
 from marginspark.llm.digests import with_crc32
 from marginspark.llm.queries import table
@@ -47,10 +47,11 @@ def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays: five words and a
-    similarity of 0.8 or more, by :mod:`near_copies`.  The fingerprints of
-    :mod:`simhash` are no source of candidates here: at that similarity they are
-    some 10 of 64 bits apart."""
-    return copies.keep_one(docs)
+    similarity of 0.8 or more, compared on the texts.  Fingerprints of
+    :mod:`simhash` that 3 bits link, as in ``op3_simhash``, are compared first.
+    Texts at that similarity may be some 10 of 64 bits apart; those meet by
+    :mod:`near_copies`."""
+    return copies.keep_one(docs, radius=simhash.RADIUS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ similarity of ``least`` or more; a class is what links connect.
 2. A set has ``BANDS`` bucket keys of ``ROWS`` minima each.  Two sets at
    similarity s share no bucket with probability (1 - s^ROWS)^BANDS: below one
    in a million at 0.8.  This is the only place where chance plays a part.
+   With a ``radius`` the texts' SimHash fingerprints are made in the same scan,
+   and those that the radius links, found through the BK-trees of
+   :mod:`simhash`, are compared before all others.
 3. Links are compared on the texts themselves.  In the first rounds each bucket
    is compared with one member of its own, drawn anew in each round; only
    members of other classes are compared.  So a large group of near copies
@@ -37,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginspark.llm import simhash
 from marginspark.llm.batches import slices, text_batches
 from marginspark.llm.components import connected
 from marginspark.workspace import Workspace
@@ -86,13 +90,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _prints(rows: DataFrame, shingle: int) -> DataFrame:
-    """(_h1, _h2, _id, d, n, bands): ``d`` names the set, ``n`` is its size."""
+def _prints(rows: DataFrame, shingle: int, marked: bool) -> DataFrame:
+    """(_h1, _h2, _id, d, n, bands, fp): ``d`` names the set, ``n`` is its size,
+    ``fp`` is the text's SimHash fingerprint (null if not ``marked``)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "_text"):
-            d, n, keys = [], [], []
+            d, n, keys, fp = [], [], [], []
             for text in texts:
+                fp.append(int(np.uint64(simhash.fingerprint(text)).view(np.int64)) if marked else None)
                 own = shingles(text, shingle)
                 d.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 n.append(len(own))
@@ -105,16 +111,29 @@ def _prints(rows: DataFrame, shingle: int) -> DataFrame:
                     pa.array(np.array(d, np.uint64).view(np.int64)),
                     pa.array(n, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    pa.array(fp, pa.int64()),
                 ],
-                ["_h1", "_h2", "_id", "d", "n", "bands"],
+                ["_h1", "_h2", "_id", "d", "n", "bands", "fp"],
             )
 
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.select("_h1", "_h2", "_id", F.col("_text").cast("string").alias("_text")).mapInArrow(
-        scan, f"_h1 long, _h2 long, _id {kind}, d long, n long, bands array<long>"
+        scan, f"_h1 long, _h2 long, _id {kind}, d long, n long, bands array<long>, fp long"
     )
 
 
+def _simhash_pairs(prints: DataFrame, ws: Workspace, radius: int) -> DataFrame:
+    """Pairs ``(d, d2)`` of sets whose texts' fingerprints the radius links: one
+    per set and class of fingerprints, as :func:`simhash.links` has them."""
+    met = ws.save(prints.select("d", "fp").distinct(), "fingerprints")
+    names = ws.save(met.groupBy("fp").agg(F.min("d").alias("name")), "names")
+    found = simhash.links(names.select("fp"), ws, radius).distinct()
+    a, b = names.toDF("a", "left"), names.toDF("b", "right")
+    near = found.join(a, "a").join(b, "b").select(F.col("left").alias("d"), F.col("right").alias("d2"))
+    same = met.join(names, "fp").select("d", F.col("name").alias("d2"))
+    return ws.save(same.unionByName(near).where("d <> d2"), "simhash")
+
+
 def _shared(rows: DataFrame, ws: Workspace, shingle: int) -> DataFrame:
     """(d, n, c, unique, shared): the shingles of ``rows(d, n, c, text)`` that
     other rows have too, rarest first, and the number of the others."""
@@ -221,36 +240,45 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return met.mapInArrow(compare, "a long, b long")
 
 
-def _roots(sets: DataFrame, docs: DataFrame, ws: Workspace, shingle: int, least: float) -> DataFrame:
-    """(node, root) of the sets that are not the root of their class."""
+def _roots(
+    sets: DataFrame, docs: DataFrame, ws: Workspace, shingle: int, least: float, first: DataFrame | None
+) -> DataFrame:
+    """(node, root) of the sets that are not the root of their class; the pairs
+    of ``first`` are compared first."""
     spread = sets.select("d", "n", F.explode("bands").alias("v"))
     shared = spread.groupBy("v").agg(F.count("*").alias("many")).where("many > 1").select("v")
     members = ws.save(spread.join(shared, "v"), "members")
-    named = sets.join(members.select("d").distinct(), "d").select("d", "_h1", "_h2")
+    known = members.select("d")
+    if first is not None:
+        known = known.unionByName(first.select("d")).unionByName(first.select(F.col("d2").alias("d")))
+    named = sets.join(known.distinct(), "d").select("d", "_h1", "_h2")
     texts = docs.join(named, ["_h1", "_h2"]).groupBy("d").agg(F.first("_text").alias("text"))
     texts = ws.save(texts, "texts")
     links = seen = None
     roots = ws.spark.createDataFrame([], "node long, root long")
-    for turn in range(DRAWS + 1):
-        own = members.join(roots, members["d"] == roots["node"], "left").select(
-            "v", "d", "n", F.coalesce("root", "d").alias("c")
-        )
-        own = ws.save(own, "labelled")
-        # One member of each bucket that is not of one class yet.
-        draw = F.struct(F.xxhash64("v", "d", F.lit(turn)).alias("_at"), "d", "n", "c")
-        drawn = own.groupBy("v").agg(
-            F.min(draw).alias("p"), (F.min("c") < F.max("c")).alias("open")
-        )
-        drawn = ws.save(drawn.where("open").select("v", "p.d", "p.n", "p.c"), "drawn")
-        drawn = drawn.toDF("v", "d2", "n2", "c2")
-        if drawn.isEmpty():
-            break
-        if turn == DRAWS:
-            left = own.join(drawn.select("v"), "v").select("d", "n", "c").distinct()
-            pairs = _rare_pairs(left.join(texts, "d").select("d", "n", "c", "text"), ws, shingle, least)
+    for turn in range(-1 if first is not None else 0, DRAWS + 1):
+        if turn < 0:
+            pairs = first
         else:
-            near = F.least("n", "n2") >= least * F.greatest("n", "n2")
-            pairs = own.join(drawn, "v").where(near & (F.col("c") != F.col("c2")))
+            own = members.join(roots, members["d"] == roots["node"], "left").select(
+                "v", "d", "n", F.coalesce("root", "d").alias("c")
+            )
+            own = ws.save(own, "labelled")
+            # One member of each bucket that is not of one class yet.
+            draw = F.struct(F.xxhash64("v", "d", F.lit(turn)).alias("_at"), "d", "n", "c")
+            drawn = own.groupBy("v").agg(
+                F.min(draw).alias("p"), (F.min("c") < F.max("c")).alias("open")
+            )
+            drawn = ws.save(drawn.where("open").select("v", "p.d", "p.n", "p.c"), "drawn")
+            drawn = drawn.toDF("v", "d2", "n2", "c2")
+            if drawn.isEmpty():
+                break
+            if turn == DRAWS:
+                left = own.join(drawn.select("v"), "v").select("d", "n", "c").distinct()
+                pairs = _rare_pairs(left.join(texts, "d").select("d", "n", "c", "text"), ws, shingle, least)
+            else:
+                near = F.least("n", "n2") >= least * F.greatest("n", "n2")
+                pairs = own.join(drawn, "v").where(near & (F.col("c") != F.col("c2")))
         pairs = pairs.select(F.greatest("d", "d2").alias("a"), F.least("d", "d2").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
@@ -271,8 +299,11 @@ def keep_one(
     text: str = "text",
     shingle: int = SHINGLE,
     least: float = LEAST,
+    radius: int | None = None,
 ) -> DataFrame:
-    """One row of each class, with the columns of ``docs``."""
+    """One row of each class, with the columns of ``docs``.  With a ``radius``
+    texts whose SimHash fingerprints are linked by so many bits are candidates
+    before all others."""
     ws = Workspace(docs.sparkSession)
     plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     rows = docs.select(
@@ -283,13 +314,14 @@ def keep_one(
         F.struct("*").alias("_row"),
     )
     with text_batches(ws.spark):
-        prints = ws.save(_prints(rows, shingle), "prints")
+        prints = ws.save(_prints(rows, shingle, radius is not None), "prints")
     key = F.struct("_h1", "_h2")
     sets = prints.groupBy("d").agg(
         F.min(key).alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
     sets = ws.save(sets.select("d", "n", "bands", "key.*"), "sets")
-    roots = _roots(sets, rows.select("_h1", "_h2", "_text"), ws, shingle, least)
+    pairs = None if radius is None else _simhash_pairs(prints, ws, radius)
+    roots = _roots(sets, rows.select("_h1", "_h2", "_text"), ws, shingle, least, pairs)
     first = F.struct(F.col("_id").isNull().alias("none"), "_id", "_h1", "_h2")
     least_of = prints.groupBy("d").agg(F.min(first).alias("first"))
     classes = least_of.join(roots, F.col("d") == F.col("node"), "left")

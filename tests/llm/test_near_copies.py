@@ -114,3 +114,24 @@ def test_texts_that_each_differ_too_much_are_not_compared(spark, monkeypatch):
         assert sorted(kept) == survivors(rows)
         per_text.append(sum(compared) / n)
     assert per_text[1] < 1.6 * per_text[0]
+
+
+def test_stage_compares_what_simhash_links(spark, monkeypatch):
+    """Fingerprints that 3 bits link are compared, at whatever similarity."""
+    compared = []
+    plain = near_copies._similar
+    monkeypatch.setattr(
+        near_copies, "_similar", lambda pairs, *a: compared.append(pairs.collect()) or plain(pairs, *a)
+    )
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    # Runs of the same three words give one fingerprint, 9 other words most of the shingles.
+    runs = [" ".join([word() for _ in range(3)] * 150) for _ in range(2)]
+    rows = [(10 * i + j, f"{run} {' '.join(word() for _ in range(9))}") for i, run in enumerate(runs) for j in range(4)]
+    rows += [(100, "a b c d e f g"), (101, "h i j k l m n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len({simhash.fingerprint(t) for _, t in rows}) == 4
+    kept = [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect()]
+    assert sorted(kept) == survivors(rows)
+    # Three of the four texts of a run meet the fourth.
+    assert len(compared[0]) == 6
