@@ -175,3 +175,37 @@ def test_nan_is_reported(spark, ws, split, sweeps):
             dual.zero_duals(points), P, 2, sweeps, 1, ws,
             max_part_rows=0 if split else 9,
         ).collect()
+
+
+@pytest.mark.parametrize("kept", [0, 2])
+def test_matrices_that_are_not_kept_give_the_same_moves(monkeypatch, kept):
+    X, y = blobs(400)
+    want = brute.dense_descent(X, y, P, 400, 6)
+    monkeypatch.setattr(dual, "KEPT_CELLS", kept * 3 * dual._CHUNK**2)
+    got = dual.descend(X, y.astype(float), np.zeros(400), np.zeros(400), P, 400, 6)
+    for a, b in zip(got, want):
+        np.testing.assert_allclose(a, b, atol=1e-10)
+
+
+def test_a_part_that_fits_a_task_is_stored_by_no_sweep(spark, ws):
+    """120,000 rows of one part: one exchange for all sweeps, no table."""
+    rows = 120_000
+    x = F.array((F.col("id") % 7 - 3) / 3.0, (F.col("id") % 11 - 5) / 5.0, F.lit(1.0))
+    points = spark.range(rows).select("id", x.alias("x"), F.when(F.col("id") % 7 > 3, 1).otherwise(-1).alias("y"))
+    solved = dual.solve_parts(dual.zero_duals(points), P, rows, 1, 1, ws)
+    assert not ws._paths
+    plan = solved._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    got = sorted_state(solved)
+    assert (got["slot"] == np.arange(rows)).all()
+    pdf = points.toPandas().sort_values("id")
+    want = dual.descend(
+        np.array(pdf["x"].tolist()), pdf["y"].to_numpy(float), np.zeros(rows), np.zeros(rows), P, rows, 1
+    )
+    np.testing.assert_allclose(got["zeta"], want[0], atol=1e-12)
+    np.testing.assert_allclose(got["beta"], want[1], atol=1e-12)
+
+
+def test_rows_of_a_large_part_are_stored_once(spark, ws, blob_points):
+    dual.solve_parts(dual.zero_duals(blob_points), P, 200, None, 1, ws, max_part_rows=0)
+    assert sorted(p.rsplit("-", 1)[1] for p in ws._paths.values()) == ["offsets", "sorted"]
