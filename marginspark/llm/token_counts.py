@@ -10,12 +10,13 @@
    which no key can be frequent any more.
 3. A document's count is the sum of frequency times pieces.
 
-A worker cuts each distinct word (a run without ASCII white space) into
-pre-tokens once, and remembers a bounded number of words.  It is cut by the
-library's own normalizer and pre-tokenizer, or, if it has common letters only,
-by the expression that the file gives for them.  That needs a tokenizer for which white
-space separates pre-tokens and leaves no trace, as in files of BPE with word
-ends; for other files a text is cut as a whole.
+Both scans work on the distinct words (runs without ASCII white space) of some
+texts at once.  Words of ASCII letters, with a comma or stop after them or not,
+are cut as columns; of the others a worker remembers a bounded number.  They are
+cut by the library's own normalizer and pre-tokenizer, or, if they have common
+letters only, by the expression that the file gives for them.  That needs a
+tokenizer for which white space separates pre-tokens and leaves no trace, as in
+files of BPE with word ends; for other files a text is cut as a whole.
 
 Defined results: a null text counts as empty, which has no tokens; special
 tokens inside texts are found as the library does by default; each row has its
@@ -28,18 +29,19 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from string import ascii_letters
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginspark.llm.batches import slices, text_batches
+from marginspark.llm.batches import portions, ragged, text_batches
 from marginspark.llm.columns import boxed, unboxed
 from marginspark.llm.heads import frequent
 from marginspark.llm.subwords import byte_letters
@@ -49,10 +51,10 @@ from marginspark.workspace import Workspace
 LIMIT = 2048
 #: Pre-tokens whose counts travel with the tasks.
 HEAD = 65_536
-#: Words that a worker remembers, their length in bytes, and bytes of distinct
-#: words of a portion of the first scan.
+#: Words that a worker remembers, their length in bytes, and bytes of words of a
+#: portion of the first scan, distinct in each of its slices.
 WORDS, WORD_BYTES = 200_000, 64
-PORTION = 8 << 20
+PORTION = 32 << 20
 #: Pre-tokens up to this length are keys as they are, longer ones by a digest.
 KEY_BYTES = 32
 _SEPARATED = (("a b", ["a", "b"]), (" a\n\tb \x0b\x0c\r", ["a", "b"]))
@@ -77,6 +79,7 @@ class PreTokens:
             self.of(text) == [p for w in words for p in self.of(w)] for text, words in _SEPARATED
         )
         self._rule = self._own_rule(strings)
+        self._memory: dict[bytes, list[str]] = {}
 
     def _own_rule(self, added: list[str]):
         """For files that lower a text and split it by a regular expression into
@@ -111,17 +114,49 @@ class PreTokens:
                 found += [p for p, _ in cutter.pre_tokenize_str(plain)]
         return found
 
-    def units(self, text: str) -> list[bytes]:
-        """Parts of a text that are cut into pre-tokens by themselves."""
-        raw = text.encode("utf-8", "surrogatepass")
-        return raw.split() if self.words else [raw] if raw else []
+    def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Parts of texts that are cut into pre-tokens by themselves: of each its
+        text's place and its own place among the distinct ones, and these."""
+        texts = pc.fill_null(texts, "")
+        if self.words:
+            parts = pc.ascii_split_whitespace(texts)
+            rows, texts = pc.list_parent_indices(parts).to_numpy(), parts.flatten()
+        else:
+            rows = np.arange(len(texts))
+        coded = texts.dictionary_encode()
+        return rows.astype(np.int64), coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+    def cut(self, units: pa.Array, distinct: bool = False) -> tuple[np.ndarray, pa.Array]:
+        """The pre-tokens of units, each with its unit's place; an empty unit has
+        none.  ``distinct`` gives each pre-token of a unit once."""
+        size = pc.binary_length(units).to_numpy()
+        at, found, plain = [], [], np.zeros(len(units), bool)
+        if self._rule and self._signs:
+            bare = pc.ascii_rtrim(units, b"".join(self._signs).decode())
+            signs = size - pc.binary_length(bare).to_numpy()
+            plain = pc.ascii_is_alpha(bare).to_numpy(zero_copy_only=False) & (signs <= 1)
+            signed = plain & (signs == 1)
+            at += [np.flatnonzero(plain), np.flatnonzero(signed)]
+            found.append(pc.ascii_lower(bare.filter(pa.array(plain))))
+            found.append(pc.utf8_slice_codeunits(units.filter(pa.array(signed)), -1))
+        rest = np.flatnonzero(~plain & (size > 0))
+        own = list(map(self.of_unit, units.take(pa.array(rest)).cast(pa.binary()).to_pylist()))
+        own = [[*dict.fromkeys(ps)] for ps in own] if distinct else own
+        at.append(np.repeat(rest, np.fromiter(map(len, own), np.int64, len(own))))
+        found.append(pa.array([p for ps in own for p in ps], pa.string()))
+        return np.concatenate(at), pa.concat_arrays(found)
 
     def of_unit(self, unit: bytes) -> list[str]:
-        if self._rule and self._signs:
-            if unit.isalpha():
-                return [unit.lower().decode()]
-            if unit[-1:] in self._signs and unit[:-1].isalpha():
-                return [unit[:-1].lower().decode(), unit[-1:].decode()]
+        known = self._memory.get(unit)
+        if known is None:
+            known = self._of_unit(unit)
+            if len(unit) <= WORD_BYTES:
+                if len(self._memory) >= WORDS:
+                    self._memory.clear()
+                self._memory[unit] = known
+        return known
+
+    def _of_unit(self, unit: bytes) -> list[str]:
         word = unit.decode("utf-8", "surrogatepass")
         if not self._rule or not self._common.fullmatch(word):
             return self.of(word)
@@ -153,35 +188,46 @@ def key_of(pretoken: str) -> bytes:
     return raw if len(raw) <= KEY_BYTES else b"\0" + xxhash.xxh3_128_digest(raw)
 
 
+def keys_of(pretokens: pa.Array) -> pa.Array:
+    keys = pretokens.cast(pa.binary())
+    long = pc.greater(pc.binary_length(keys), KEY_BYTES)
+    made = [key_of(p) for p in pretokens.filter(long).to_pylist()]
+    return pc.replace_with_mask(keys, long, pa.array(made, pa.binary())) if made else keys
+
+
+def _runs(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and how often each is met."""
+    numbers = np.sort(numbers)
+    first = np.flatnonzero(np.diff(numbers, prepend=-1))
+    return numbers[first], np.diff(np.append(first, len(numbers)))
+
+
 def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(key, n_docs, pieces) of all distinct pre-tokens of the texts."""
 
-    def portion(units: Counter) -> pa.RecordBatch:
-        cutter, found = pretokens(path), Counter()
-        for unit, n in units.items():
-            for p in set(cutter.of_unit(unit)):
-                found[p] += n
-        rows = [(key_of(p), p, n) for p, n in found.items()]
-        kinds = (pa.binary(), pa.string(), pa.int64())
-        columns = list(zip(*rows)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "pretoken", "n"]
-        )
+    def summed(table: pa.Table, key: str) -> tuple[pa.Array, np.ndarray]:
+        table = table.group_by(key, use_threads=False).aggregate([("n", "sum")])
+        return table[key].combine_chunks(), table["n_sum"].to_numpy()
+
+    def portion(held: list[pa.Table]) -> pa.RecordBatch:
+        units, n = summed(pa.concat_tables(held), "unit")
+        at, found = pretokens(path).cut(units, distinct=True)
+        found, n = summed(pa.table({"pretoken": found, "n": n[at]}), "pretoken")
+        arrays = [keys_of(found), found, pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "pretoken", "n"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, units, held = pretokens(path), Counter(), 0
-        for _, texts in slices(batches, "text"):
-            for t in texts:
-                before = len(units)
-                own = set(cutter.units(t))
-                units.update(own)
-                # About as much as the new ones hold.
-                held += (len(units) - before) * (80 + sum(map(len, own)) // max(1, len(own)))
-                if held > PORTION:
-                    yield portion(units)
-                    units, held = Counter(), 0
-        if units:
-            yield portion(units)
+        held: list[pa.Table] = []
+        for part in portions(batches, "text"):
+            row, unit, units = pretokens(path).units(part["text"])
+            once, _ = _runs(row * len(units) + unit)
+            n = np.bincount(once % max(1, len(units)), minlength=len(units))
+            held.append(pa.table({"unit": units, "n": n}))
+            if sum(t.nbytes for t in held) > PORTION:
+                yield portion(held)
+                held = []
+        if held:
+            yield portion(held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,10 +244,11 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     )
 
 
-def _head(known: DataFrame, size: int) -> dict[bytes, int]:
-    """Pieces of the pre-tokens met in most documents: ``size`` rows at most."""
-    rows = frequent(known, "n_docs", size).select("key", "pieces").collect()
-    return {bytes(r["key"]): r["pieces"] for r in rows}
+def _head(known: DataFrame, size: int) -> tuple[pa.Array, np.ndarray]:
+    """Keys and pieces of the pre-tokens met in most documents: ``size`` rows at
+    most."""
+    rows = frequent(known, "n_docs", size).select("key", "pieces").toArrow().combine_chunks()
+    return rows["key"].combine_chunks().cast(pa.binary()), rows["pieces"].to_numpy()
 
 
 _TAIL = T.ArrayType(
@@ -209,7 +256,9 @@ _TAIL = T.ArrayType(
 )
 
 
-def _frequencies(docs: DataFrame, path: str, text: str, head: dict[bytes, int]) -> DataFrame:
+def _frequencies(
+    docs: DataFrame, path: str, text: str, head: tuple[pa.Array, np.ndarray]
+) -> DataFrame:
     """(doc, row, n_bytes, near, rest): ``near`` sums the pre-tokens of the head,
     ``rest`` has the frequencies of the others."""
     boxes = docs.select(
@@ -221,37 +270,30 @@ def _frequencies(docs: DataFrame, path: str, text: str, head: dict[bytes, int])
     schema = T.StructType([boxes.schema["doc"], *longs, T.StructField("rest", _TAIL)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = pretokens(path)
-        memory: dict[bytes, tuple[int, tuple[bytes, ...]]] = {}
-
-        def split(unit: bytes) -> tuple[int, tuple[bytes, ...]]:
-            keys = [key_of(p) for p in cutter.of_unit(unit)]
-            found = sum(head.get(k, 0) for k in keys), tuple(k for k in keys if k not in head)
-            if len(unit) <= WORD_BYTES:
-                if len(memory) >= WORDS:
-                    memory.clear()
-                memory[unit] = found
-            return found
-
-        for part, texts in slices(batches, "text"):
-            near, keys, counts, ends = [], [], [], [0]
-            for t in texts:
-                total, rest = 0, Counter()
-                for unit, n in Counter(cutter.units(t)).items():
-                    sure, others = memory.get(unit) or split(unit)
-                    total += n * sure
-                    for k in others:
-                        rest[k] += n
-                near.append(total)
-                keys += rest.keys()
-                counts += rest.values()
-                ends.append(len(keys))
-            pairs = pa.StructArray.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], ["key", "n"]
-            )
+        common, pieces = head
+        for part in portions(batches, "text"):
+            row, unit, units = pretokens(path).units(part["text"])
+            at, found = pretokens(path).cut(units)
+            keys = keys_of(found)
+            place = pc.index_in(keys, common).fill_null(-1).to_numpy()
+            near = place >= 0
+            sure = np.bincount(at[near], pieces[place[near]], len(units))
+            near_of = np.bincount(row, sure[unit], len(part)).astype(np.int64)
+            # What the head lacks: the keys of each unit, then those of each text.
+            rest = keys.filter(pa.array(~near)).dictionary_encode()
+            at, key = at[~near], rest.indices.to_numpy().astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            many = np.bincount(at, minlength=len(units))
+            start = np.cumsum(many) - many
+            key = ragged(key[order], start[unit], many[unit])
+            pairs, n = _runs(np.repeat(row, many[unit]) * len(rest.dictionary) + key)
+            of, key = np.divmod(pairs, max(1, len(rest.dictionary)))
+            ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(part))))
+            keys = rest.dictionary.take(pa.array(key))
+            pairs = pa.StructArray.from_arrays([keys, pa.array(n, pa.int64())], ["key", "n"])
             rest_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            arrays = [*part.columns[:2], pa.array(sizes, pa.int64()), pa.array(near, pa.int64()), rest_of]
+            sizes = pc.binary_length(pc.fill_null(part["text"], "")).cast(pa.int64())
+            arrays = [*part.columns[:2], sizes, pa.array(near_of), rest_of]
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "row", "n_bytes", "near", "rest"])
 
     return boxes.mapInArrow(scan, schema)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -83,6 +84,29 @@ def test_vocabulary_counts_each_pretoken_once(spark):
     assert len(found) == 5 and [len(k) for k in found if k[:1] == b"\0"] == [17]
 
 
+@pytest.mark.parametrize("path", [WORD_FILE, FILE_A])
+def test_words_are_cut_as_columns(path, monkeypatch):
+    p = token_counts.PreTokens(path)
+    texts = [*ODD, " The end. A,b a,, a., , . ,x it's it's Z. É, \x0b\x0cx\x1fy\x1cz "]
+    rows, at, units = p.units(pa.array(texts, pa.string()))
+    units = units.to_pylist()
+    for i, text in enumerate(texts):
+        own = [w.decode() for w in (text or "").encode().split()] if p.words else [text] if text else []
+        assert [u for u in (units[k] for k in at[rows == i]) if u] == own
+    for distinct in (False, True):
+        place, found = p.cut(pa.array(units), distinct)
+        for i, u in enumerate(units):
+            own = [found[int(k)].as_py() for k in np.flatnonzero(place == i)]
+            want = p.of(u) if u else []
+            assert sorted(own) == sorted({*want} if distinct else want)
+    if p.words:  # words of letters take no call each
+        monkeypatch.setattr(p, "of_unit", None)
+        place, found = p.cut(pa.array(["Some", "words,", "", "here."]))
+        assert sorted(zip(place.tolist(), found.to_pylist())) == [
+            (0, "some"), (1, ","), (1, "words"), (3, "."), (3, "here")
+        ]
+
+
 # --- alignment
 
 
