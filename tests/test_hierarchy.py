@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +23,29 @@ def orders(spark):
     return fx.orders(spark, SMALL).cache()
 
 
+@pytest.mark.parametrize("policy", ["stratified_cascade", "divide_conquer"])
+def test_rows_are_stored_once_a_level(blob_points, ws, monkeypatch, policy):
+    """Neither rows that were dealt nor solved rows of large parts twice."""
+    names, plain = [], ws.save
+    monkeypatch.setattr(ws, "save", lambda df, name: names.append(name) or plain(df, name))
+    few = 50 if policy == "divide_conquer" else dual.MAX_PART_ROWS
+    shape = SHAPE | {"levels": 1, "sweeps": None}
+    fit = fit_hierarchy(blob_points, policy, P, workspace=ws, max_part_rows=few, **shape)
+    assert "split-parts" not in names
+    assert policy == "divide_conquer" or "level1-in" not in names
+    whole = fit_hierarchy(blob_points, policy, P, **shape)
+    a, b = (f.duals.orderBy("id").toPandas() for f in (fit, whole))
+    np.testing.assert_allclose(a[["id", "slot", "zeta", "beta"]], b[["id", "slot", "zeta", "beta"]], atol=1e-6)
+
+
+def test_tables_of_few_tasks_are_read_by_many(spark, ws):
+    rows = spark.range(3_000_000).coalesce(1).select("id", F.rand(3).alias("v"))
+    path = ws.path(ws.save(rows, "rows"))
+    files = [f for f in os.listdir(path) if f.endswith(".parquet")]
+    assert len(files) == 1
+    assert pq.read_metadata(f"{path}/{files[0]}").num_row_groups > 1
+
+
 def levels_of(fit):
     return fit.history.orderBy(F.desc("level")).collect()
 
