@@ -6,9 +6,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
-from marginspark.llm import chat, html_text, pieces, simhash, subwords, token_store
+from marginspark.llm import chat, html_text, line_dedup, pieces, simhash, subwords, token_store
 from marginspark.llm.packing import Packer
+from marginspark.llm.screens import screen, screened
 
 PARTS = [
     "a", " ", "\n", "\t", "  ", "'s", "don't", "é", "ß", "3", "12", "!!", " \n", "　", "\x85",
@@ -233,3 +235,26 @@ def test_html_passes_decide_without_marks(prose):
     page = f"<div><ul>{menu}</ul></div><div><p>{half}</p><p>{rest}</p></div><div><ul>{menu}</ul></div>"
     assert html_text.main_text(page) == f"{half}\n\n{rest}"
     assert html_text.main_text(f"<div><ul>{menu}</ul></div><div>Only this.</div>") == "Only this."
+
+
+def test_plans_hold_no_screen(spark):
+    """The text of a plan, which the driver keeps for each query, is as small as
+    the plan, and windows of all lengths are ranked by the same two joins."""
+    run = "\n".join(f"line {i} of a run with many words" for i in range(20))
+    rows = [(i, f"head {i}\n{run}\ntail {i}") for i in range(4)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(out._jdf.queryExecution().toString()) < 100_000
+    assert [r.n_removed_lines for r in out.orderBy("doc_id").collect()] == [0, 20, 20, 20]
+
+
+def test_screen_parts_rows(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("k"))
+    keys = rows.where("k < 100 or k is null")
+    mask = screen(keys, "k")
+    kept = screened(rows, mask, "k")
+    gone = screened(rows, mask, "k", out=True)
+    assert kept.columns == gone.columns == ["k"]
+    assert kept.count() + gone.count() == 2000
+    assert kept.intersect(keys).count() == keys.distinct().count()
+    assert gone.where("k < 100 or k is null").count() == 0
+    assert gone.count() > 1600
