@@ -2,10 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginspark.operators import clustering as C
+from marginspark.operators import dual
 from marginspark.params import MarginParams
 from marginspark.plans.hierarchy import FeatureMap, Policy, fit_hierarchy, rbf_features
+from marginspark.workspace import Workspace
 from tests import brute
 from tests.conftest import blobs, frame
 
@@ -113,3 +116,95 @@ def test_factor_counts_ties_at_the_lowest_score(spark, monkeypatch):
     monkeypatch.setattr(C, "CANDIDATES_PER_PASS", 5)
     picked = [i for i, _ in C.landmarks(points, 5, sigma=1.0)]
     assert picked == [0, 80, 40]
+
+
+def widths(monkeypatch):
+    """The longest vectors of the tables that a workspace stores, by name."""
+    found, plain = [], Workspace.save
+
+    def save(self, df, name):
+        table = plain(self, df, name)
+        if "x" in table.columns:
+            found.append((name, table.agg(F.max(F.size("x"))).first()[0]))
+        return table
+
+    monkeypatch.setattr(Workspace, "save", save)
+    return found
+
+
+@pytest.mark.parametrize(
+    "policy,levels,rows",
+    [
+        ("distribution_aware", 2, 1000), ("distribution_aware", 2, 0),
+        (Policy(2, "kmeans", 0, support_only=True, kmeans_iterations=2), 1, 1000),
+        (Policy(3, "cluster", 1, final_gather=True, kmeans_iterations=2), 1, 1000),
+    ],
+)
+def test_rows_are_stored_with_the_vectors_that_were_given(
+    spark, cloud, ws, monkeypatch, policy, levels, rows
+):
+    """Coordinates in the span of the landmarks, ten times as many numbers, are
+    neither stored nor moved."""
+    stored = widths(monkeypatch)
+    kw = {"levels": levels, "fraction": 1.0, "n_clusters": 8, "kernel": "rbf", "sigma": SIGMA, "rank": 30}
+    fit = fit_hierarchy(cloud[2], policy, P, workspace=ws, max_part_rows=rows, **kw)
+    assert stored and {n for _, n in stored} <= {None, 3}
+    assert fit.n == 31
+    # what the fit says of its last level is said of the mapped rows, as before
+    mapped = {r["id"]: r["x"] for r in fit.features(cloud[2]).collect()}
+    for r in fit.duals.collect():
+        np.testing.assert_allclose(r["x"], mapped[r["id"]], atol=1e-9)
+
+
+@pytest.mark.parametrize("sweeps,rows,levels", [(None, 0, 0), (None, 45, 1), (1, 50, 0), (1, 1000, 1)])
+def test_images_made_in_tasks_give_the_problem_of_the_mapped_rows(spark, cloud, ws, sweeps, rows, levels):
+    _, _, points = cloud
+    features = rbf_features(points, 40, SIGMA, 1.0)
+    policy = Policy(2, "random", 0)
+    kw = {"levels": levels, "sweeps": sweeps, "max_part_rows": rows, "seed": 1, "fraction": 1.0}
+    want = fit_hierarchy(features(points).cache(), policy, P, workspace=ws, **kw)
+    got = fit_hierarchy(points, policy, P, workspace=ws, kernel="rbf", sigma=SIGMA, rank=40, **kw)
+    a, b = (f.coef.toPandas().sort_values(["level", "id"]) for f in (got, want))
+    assert (a[["level", "id"]].to_numpy() == b[["level", "id"]].to_numpy()).all()
+    np.testing.assert_allclose(a["coef"], b["coef"], atol=1e-7)
+
+
+def test_a_part_in_a_task_need_not_hold_its_images():
+    X, y = blobs(700, gap=0.8, seed=2)
+    image = C.Image(X[:20], "rbf", 0.5, bias=True)
+    state = np.linspace(0, 0.1, 700), np.linspace(0.1, 0, 700)
+    want = dual.settle(image(X), y, *state, P, 700)
+    for cells in (0, 10**6):
+        got = dual.settle(X, y, *state, P, 700, image, cells)
+        np.testing.assert_allclose(got, want, atol=1e-9)
+    with pytest.raises(ValueError, match="landmarks of 3"):
+        image(np.ones((4, 21)))
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 7, 8, 9, 20])
+def test_kernel_values_of_short_and_long_vectors(n):
+    rng = np.random.default_rng(n)
+    A, L = rng.normal(size=(2500, n)), rng.normal(size=(6, n))
+    plain = np.exp(-((A[:, None] - L[None]) ** 2).sum(axis=2) / (2 * 0.7**2))
+    np.testing.assert_allclose(C._kernel(A, L, "rbf", 0.7), plain, rtol=1e-12)
+
+
+def test_a_stopped_kernel_run_goes_on(spark, cloud, ws, tmp_path, monkeypatch):
+    kw = {"levels": 3, "fraction": 1.0, "n_clusters": 8, "kernel": "rbf", "sigma": SIGMA, "rank": 20}
+    whole = fit_hierarchy(cloud[2], "distribution_aware", P, workspace=ws, **kw)
+    folder, solve, done = str(tmp_path / "out"), dual.solve_parts, []
+
+    def stops(*args, **kw):
+        done.append(1)
+        if len(done) == 2:
+            raise InterruptedError
+        return solve(*args, **kw)
+
+    monkeypatch.setattr(dual, "solve_parts", stops)
+    with pytest.raises(InterruptedError):
+        fit_hierarchy(cloud[2], "distribution_aware", P, workspace=ws, sink_dir=folder, **kw)
+    monkeypatch.setattr(dual, "solve_parts", solve)
+    fit = fit_hierarchy(cloud[2], "distribution_aware", P, workspace=ws, sink_dir=folder, resume=True, **kw)
+    a, b = (f.coef.toPandas().sort_values(["level", "id"]) for f in (fit, whole))
+    assert (a[["level", "id"]].to_numpy() == b[["level", "id"]].to_numpy()).all()
+    np.testing.assert_allclose(a["coef"], b["coef"], atol=1e-9)
